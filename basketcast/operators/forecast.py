@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,9 +15,10 @@ from basketcast.operators.clean import filter_products
 from basketcast.operators.daily import daily_sales
 from basketcast.operators.features import (ASSOCIATION_FEATURE, forecast_features, latest_lag_state,
                                            time_feature_columns)
-from basketcast.session import broadcast_if_small, scalar
+from basketcast.session import broadcast_if_small, cut_lineage, keep, scalar
 
 NON_FEATURES = ("Date", "ProductID", "Quantity")
+TRAIN_ROWS_PER_PARTITION = 250_000
 
 
 @dataclass
@@ -36,21 +38,25 @@ def train_split(frame: DataFrame, train_ratio: float = 0.8) -> DataFrame:
     """Add ``is_train``: the first ``int(n * ratio)`` rows in date order (ties by product).
 
     Rows per date are counted and summed into offsets on the date table (one row per
-    day); only rows of the one date that straddles the boundary are ranked.
+    day, broadcast after a size check). Only the one date that straddles the
+    boundary needs a rank; its rows (at most one per product) are ranked apart and
+    joined back, so the frame keeps its partitioning.
     """
     n = frame.count()
     cut = int(n * train_ratio)
     per_day = frame.groupBy("Date").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.orderBy("Date").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_day.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
-    offsets = broadcast_if_small(offsets)
-    marked = frame.join(offsets, "Date")
-    boundary = (F.col("_before") < F.lit(cut)) & (F.col("_before") + F.col("_c") > F.lit(cut))
-    inside = marked.filter(boundary)
-    rank = F.row_number().over(Window.partitionBy("Date").orderBy("ProductID"))
-    inside = inside.withColumn("is_train", (F.col("_before") + rank) <= F.lit(cut))
-    outside = marked.filter(~boundary).withColumn("is_train", (F.col("_before") + F.col("_c")) <= F.lit(cut))
-    return inside.unionByName(outside).drop("_c", "_before")
+    offsets = broadcast_if_small(per_day.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))))
+    straddles = (F.col("_before") < F.lit(cut)) & (F.col("_before") + F.col("_c") > F.lit(cut))
+    edge = offsets.filter(straddles).select("Date", "_before")
+    ranked = frame.select("Date", "ProductID").join(edge, "Date") \
+        .withColumn("_edge_train", (F.col("_before") + F.row_number().over(
+            Window.partitionBy("Date").orderBy("ProductID"))) <= F.lit(cut)) \
+        .drop("_before")
+    marked = frame.join(offsets, "Date").join(broadcast_if_small(ranked), ["Date", "ProductID"], "left")
+    whole_day = (F.col("_before") + F.col("_c")) <= F.lit(cut)
+    return marked.withColumn("is_train", F.coalesce(F.col("_edge_train"), whole_day)) \
+                 .drop("_c", "_before", "_edge_train")
 
 
 def gbt_regressor(features_col: str = "features", label_col: str = "Quantity") -> GBTRegressor:
@@ -66,7 +72,10 @@ def train_model(tx: DataFrame, products=None, rules: DataFrame | None = None, tr
     frame, names = training_frame(forecast_features(tx, rules), products)
     if frame.isEmpty():
         raise ValueError("No valid data for forecasting after preprocessing.")
-    train = train_split(frame, train_ratio).filter("is_train")
+    train = cut_lineage(train_split(frame, train_ratio).filter("is_train"))
+    # Boosting runs one job per tree level; size the partitions by rows, not by cores.
+    rows = train.count()
+    train = keep(train.repartition(max(1, math.ceil(rows / TRAIN_ROWS_PER_PARTITION))))
     stages = [VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"),
               regressor or gbt_regressor()]
     return ForecastModel(Pipeline(stages=stages).fit(train), names)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from basketcast.session import broadcast_if_small, cut_lineage, keep
+from basketcast.session import keep, materialize
 
 ITEMSET_SCHEMA = StructType([
     StructField("items", ArrayType(StringType()), False),
@@ -62,15 +62,17 @@ def frequent_itemsets(lines: DataFrame, min_support: float = 0.01, max_len: int
     pairs = lines.select(F.col(txn).alias("t"), F.col(item).cast("string").alias("i"))
     if not assume_distinct:
         pairs = pairs.distinct()
+    pairs = keep(pairs)
     n = count_baskets(pairs, "t")
     if n == 0:
         return spark.createDataFrame([], ITEMSET_SCHEMA)
 
-    l1 = cut_lineage(_frequent(pairs.groupBy("i").agg(F.count(F.lit(1)).alias("freq")), n, min_support)
-                     .select(F.array("i").alias("items"), "freq"))
+    l1, m1, l1_side = materialize(
+        _frequent(pairs.groupBy("i").agg(F.count(F.lit(1)).alias("freq")), n, min_support)
+        .select(F.array("i").alias("items"), "freq"))
     levels = [l1]
-    if max_len >= 2 and not l1.isEmpty():
-        frequent_items = broadcast_if_small(l1.select(F.element_at("items", 1).alias("i")))
+    if max_len >= 2 and m1 > 0:
+        frequent_items = l1_side.select(F.element_at("items", 1).alias("i"))
         pruned = keep(pairs.join(frequent_items, "i", "left_semi").repartition("t"))
         nxt = pruned.select("t", F.col("i").alias("nxt"))
         occ = pruned.select("t", F.array("i").alias("items"), F.col("i").alias("last"))
@@ -79,18 +81,18 @@ def frequent_itemsets(lines: DataFrame, min_support: float = 0.01, max_len: int
             ext = (occ.join(nxt, "t").where(F.col("nxt") > F.col("last"))
                       .select("t", F.concat("items", F.array("nxt")).alias("items"), F.col("nxt").alias("last")))
             if k >= 3:
-                cand = cut_lineage(apriori_candidates(prev, k))
-                if cand.isEmpty():
+                _, n_cand, cand_side = materialize(apriori_candidates(prev, k))
+                if n_cand == 0:
                     break
-                ext = ext.join(broadcast_if_small(cand), "items", "left_semi")
+                ext = ext.join(cand_side, "items", "left_semi")
             counts = _frequent(ext.groupBy("items").agg(F.count(F.lit(1)).alias("freq")), n, min_support)
-            lk = cut_lineage(counts)
-            if lk.isEmpty():
+            lk, mk, lk_side = materialize(counts)
+            if mk == 0:
                 break
             levels.append(lk)
             prev = lk
             if k < max_len:
-                occ = keep(ext.join(broadcast_if_small(lk.select("items")), "items", "left_semi"))
+                occ = keep(ext.join(lk_side.select("items"), "items", "left_semi"))
 
     out = levels[0]
     for lvl in levels[1:]:

@@ -70,6 +70,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, int, DataFrame]:
+    """Checkpoint ``df`` and count it once: ``(table, rows, join side)``.
+
+    The join side is the same table marked for broadcast when its counted size is
+    within the bound, else left to a shuffle join.
+    """
+    table = cut_lineage(df)
+    rows = table.count()
+    side = F.broadcast(table) if rows <= max_broadcast_rows else table
+    return table, rows, side
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Persist a result that several later stages read (spills, recomputes on loss)."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
