@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from basketcast.functions.inventory import service_factor
-from basketcast.operators.clean import filter_products
-from basketcast.operators.daily import demand_stats, top_products  # noqa: F401 (re-export)
-from basketcast.session import scalar
+from basketcast.session import keep, scalar
 
 EOQ_SCHEMA = StructType([StructField("ProductID", StringType()), StructField("annual_demand", DoubleType()),
                          StructField("Price", DoubleType()), StructField("eoq", LongType())])
@@ -34,17 +32,35 @@ def _safety(mean, std, z: float, lead_time_days: int):
     return _ceil(F.when(flat, mean * F.lit(0.2)).otherwise(spread))
 
 
+def product_stats(hist: DataFrame) -> DataFrame:
+    """Everything the inventory operators need per product, in one pass over the rows:
+    mean, sample std, total quantity, mean price, first and last date."""
+    price = F.avg("Price") if "Price" in hist.columns else F.lit(None).cast("double")
+    return hist.groupBy("ProductID").agg(
+        F.avg("Quantity").alias("mean"), F.stddev_samp("Quantity").alias("std"),
+        F.sum("Quantity").alias("_total"), price.alias("_price"),
+        F.min("Date").alias("_first"), F.max("Date").alias("_last"))
+
+
+def _stats(hist: DataFrame) -> DataFrame:
+    """Accept raw rows or an existing ``product_stats`` table."""
+    return hist if "_total" in hist.columns else keep(product_stats(hist))
+
+
 def safety_stock(hist: DataFrame, service_level: float = 0.95, lead_time_days: int = 7) -> DataFrame:
     """``(ProductID, mean, std, safety_stock)`` over the rows given (transaction lines by default)."""
     z = service_factor(service_level)
-    stats = demand_stats(hist)
-    return stats.select("ProductID", "mean", "std",
-                        _safety(F.col("mean"), F.col("std"), z, lead_time_days).alias("safety_stock"))
+    return _safety_cols(_stats(hist), z, lead_time_days).select("ProductID", "mean", "std", "safety_stock")
+
+
+def _safety_cols(stats: DataFrame, z: float, lead_time_days: int) -> DataFrame:
+    return stats.withColumn("safety_stock", _safety(F.col("mean"), F.col("std"), z, lead_time_days))
 
 
 def default_as_of(hist: DataFrame) -> dt.date | None:
     """First day after the history: the start of the lead-time window by default."""
-    end = scalar(hist.agg(F.max("Date")))
+    stats = _stats(hist)
+    end = scalar(stats.agg(F.max("_last")))
     return None if end is None else end + dt.timedelta(days=1)
 
 
@@ -58,13 +74,19 @@ def lead_time_demand(forecast: DataFrame, as_of: dt.date, lead_time_days: int =
 def reorder_points(hist: DataFrame, forecast: DataFrame, lead_time_days: int = 7, service_level: float = 0.95,
                    as_of: dt.date | None = None) -> DataFrame:
     """Safety stock plus lead-time demand (forecast, else mean x lead time), rounded up."""
-    as_of = as_of or default_as_of(hist)
-    ss = safety_stock(hist, service_level, lead_time_days)
+    stats = _stats(hist)
+    return _reorder_cols(stats, forecast, lead_time_days, service_level, as_of) \
+        .select("ProductID", "mean", "std", "safety_stock", "lead_time_demand", "reorder_point")
+
+
+def _reorder_cols(stats: DataFrame, forecast: DataFrame, lead_time_days: int, service_level: float,
+                  as_of: dt.date | None) -> DataFrame:
+    as_of = as_of or default_as_of(stats)
+    ss = _safety_cols(stats, service_factor(service_level), lead_time_days)
     ltd = lead_time_demand(forecast, as_of, lead_time_days)
     out = ss.join(ltd, "ProductID", "left").withColumn(
         "lead_time_demand", F.coalesce(F.col("lead_time_demand"), F.col("mean") * F.lit(float(lead_time_days))))
-    return out.withColumn("reorder_point", _ceil(F.col("lead_time_demand") + F.col("safety_stock"))) \
-              .select("ProductID", "mean", "std", "safety_stock", "lead_time_demand", "reorder_point")
+    return out.withColumn("reorder_point", _ceil(F.col("lead_time_demand") + F.col("safety_stock")))
 
 
 def _eoq(annual, price, holding_cost_pct: float, ordering_cost: float):
@@ -81,14 +103,14 @@ def economic_order_quantity(hist: DataFrame, holding_cost_pct: float = 0.25, ord
     the rows given (at least 1). Without a Price column the result is empty; a zero
     price gives a null ``eoq``.
     """
-    if "Price" not in hist.columns:
+    if "Price" not in hist.columns and "_total" not in hist.columns:
         return hist.sparkSession.createDataFrame([], EOQ_SCHEMA)
-    span = hist.agg(F.greatest(F.datediff(F.max("Date"), F.min("Date")), F.lit(1)).alias("days"))
+    stats = _stats(hist)
+    span = stats.agg(F.greatest(F.datediff(F.max("_last"), F.min("_first")), F.lit(1)).alias("days"))
     days = scalar(span, 1)
-    per = hist.groupBy("ProductID").agg(F.sum("Quantity").alias("_total"), F.avg("Price").alias("Price"))
-    per = per.withColumn("annual_demand", F.col("_total") * F.lit(365.0 / days))
-    return per.select("ProductID", "annual_demand", "Price",
-                      _eoq(F.col("annual_demand"), F.col("Price"), holding_cost_pct, ordering_cost).alias("eoq"))
+    per = stats.withColumn("annual_demand", F.col("_total") * F.lit(365.0 / days))
+    return per.select("ProductID", "annual_demand", F.col("_price").alias("Price"),
+                      _eoq(F.col("annual_demand"), F.col("_price"), holding_cost_pct, ordering_cost).alias("eoq"))
 
 
 def inventory_recommendations(hist: DataFrame, forecast: DataFrame, lead_time_days: int = 7,
@@ -96,8 +118,9 @@ def inventory_recommendations(hist: DataFrame, forecast: DataFrame, lead_time_da
                               ordering_cost: float = 25.0, as_of: dt.date | None = None) -> DataFrame:
     """Reorder points joined to order quantities; a missing order quantity is twice the
     reorder point; days of supply = ceil(eoq / mean daily demand)."""
-    rop = reorder_points(hist, forecast, lead_time_days, service_level, as_of)
-    eoq = economic_order_quantity(hist, holding_cost_pct, ordering_cost).select("ProductID", "eoq")
+    stats = _stats(hist)
+    rop = reorder_points(stats, forecast, lead_time_days, service_level, as_of)
+    eoq = economic_order_quantity(stats, holding_cost_pct, ordering_cost).select("ProductID", "eoq")
     recs = rop.join(eoq, "ProductID", "left").withColumn(
         "eoq", F.coalesce(F.col("eoq"), F.col("reorder_point") * 2).cast("long"))
     dos = F.when(F.col("mean") != 0, _ceil(F.col("eoq") / F.col("mean")))
@@ -130,14 +153,7 @@ def bundle_inventory(hist: DataFrame, forecast: DataFrame, bundles: DataFrame, l
     reference recomputes it per bundle); products without history are left out and
     a bundle with none is dropped. Means are rounded half to even.
     """
-    rop = reorder_points(hist, forecast, lead_time_days, service_level, as_of)
-    if "Price" in hist.columns:
-        price = F.avg("Price")
-    else:
-        price = F.lit(None).cast("double")
-    per = hist.groupBy("ProductID").agg(F.sum("Quantity").alias("_total"), price.alias("_price"),
-                                        F.min("Date").alias("_first"), F.max("Date").alias("_last"))
-    prod = rop.join(per, "ProductID")
+    prod = _reorder_cols(_stats(hist), forecast, lead_time_days, service_level, as_of)
     members = bundles.select("antecedents_str", "consequents_str", "items", "confidence", "lift",
                              F.explode("items").alias("ProductID"))
     joined = members.join(prod, "ProductID")
