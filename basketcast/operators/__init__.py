@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators (cleaning, baskets, mining, features, forecast, inventory, reports)."""

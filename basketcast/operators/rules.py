@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basketcast.functions.metrics import rule_order, with_rule_metrics
 from basketcast.operators.baskets import basket_lines
 from basketcast.operators.itemsets import frequent_itemsets
+from basketcast.session import broadcast_if_small
 
 RULE_COLUMNS = ["antecedents", "consequents", "antecedent_support", "consequent_support", "support",
                 "confidence", "lift", "leverage", "conviction", "zhangs_metric", "jaccard", "certainty",
@@ -37,7 +38,8 @@ def association_rules(itemsets: DataFrame, min_confidence: float = 0.5,
     The two side supports come from equi-joins back to the itemsets: every subset of
     a frequent set is frequent, so both joins always match.
     """
-    sup = itemsets.select("items", "support")
+    # The itemset table is small next to the baskets; broadcast it once its size is counted.
+    sup = broadcast_if_small(itemsets.select("items", "support"))
     rules = (rule_splits(itemsets)
              .join(sup.select(F.col("items").alias("antecedents"), F.col("support").alias("antecedent_support")),
                    "antecedents")
@@ -56,16 +58,19 @@ def sort_rules(rules: DataFrame, by: str = "lift") -> DataFrame:
 
 
 def mine_rules(tx: DataFrame, min_support: float = 0.01, min_confidence: float = 0.5,
-               min_lift: float = 1.0, max_len: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Basket lines -> itemsets (at most ``max_len`` items) -> rules filtered and sorted by lift.
-
-    When nothing survives the result frames are empty (the reference substitutes demo
-    data instead; that data is available from ``demo_association_data``).
+               min_lift: float = 1.0, max_len: int = 4, sort: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Basket lines -> itemsets (at most ``max_len`` items) -> rules filtered by confidence and lift.
+
+    ``sort=True`` orders the rules by lift (ties broken deterministically) as the
+    reference displays them; left unsorted, downstream top-k views order only what
+    they keep instead of sorting the whole rule table. When nothing survives the
+    frames are empty (the reference substitutes demo data; that data is available
+    from ``demo_association_data``).
     """
     lines = basket_lines(tx) if "Quantity" in tx.columns else tx
     itemsets = frequent_itemsets(lines, min_support=min_support, max_len=max_len, assume_distinct=True)
     rules = association_rules(itemsets, min_confidence=min_confidence, min_lift=min_lift)
-    return itemsets, sort_rules(rules)
+    return itemsets, sort_rules(rules) if sort else rules
 
 
 # The reference's fourteen demonstration baskets over six products.
