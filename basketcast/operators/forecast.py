@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,8 +67,12 @@ def gbt_regressor(features_col: str = "features", label_col: str = "Quantity") -
 
 
 def train_model(tx: DataFrame, products=None, rules: DataFrame | None = None, train_ratio: float = 0.8,
-                regressor: GBTRegressor | None = None) -> ForecastModel:
-    """Fit one global model on the training share of the selected products' feature rows."""
+                regressor: GBTRegressor | None = None, product_identity: bool = False) -> ForecastModel:
+    """Fit one global model on the training share of the selected products' feature rows.
+
+    Like the reference, the model has no product identity by default;
+    ``product_identity=True`` adds a one-hot product vector.
+    """
     frame, names = training_frame(forecast_features(tx, rules), products)
     if frame.isEmpty():
         raise ValueError("No valid data for forecasting after preprocessing.")
@@ -76,9 +80,14 @@ def train_model(tx: DataFrame, products=None, rules: DataFrame | None = None, tr
     # Boosting runs one job per tree level; size the partitions by rows, not by cores.
     rows = train.count()
     train = keep(train.repartition(max(1, math.ceil(rows / TRAIN_ROWS_PER_PARTITION))))
-    stages = [VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"),
-              regressor or gbt_regressor()]
-    return ForecastModel(Pipeline(stages=stages).fit(train), names)
+    stages, inputs = [], list(names)
+    if product_identity:
+        stages += [StringIndexer(inputCol="ProductID", outputCol="_product_index", handleInvalid="keep"),
+                   OneHotEncoder(inputCols=["_product_index"], outputCols=["_product_vec"], handleInvalid="keep")]
+        inputs.append("_product_vec")
+    stages += [VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"),
+               regressor or gbt_regressor()]
+    return ForecastModel(Pipeline(stages=stages).fit(train), inputs)
 
 
 def last_date(tx: DataFrame):
@@ -158,7 +167,9 @@ def scenario_forecasts(forecast: DataFrame, adjustments) -> DataFrame:
 def feature_importance(model: ForecastModel, top: int = 15) -> DataFrame:
     """Model feature importances by name, largest first (a model property, not data)."""
     scores = model.model.stages[-1].featureImportances.toArray().tolist()
-    rows = sorted(zip(model.feature_names, scores), key=lambda r: (-r[1], r[0]))[:top]
+    names = [n for n in model.feature_names if n != "_product_vec"]
+    names += [f"ProductID_{i}" for i in range(len(scores) - len(names))]
+    rows = sorted(zip(names, scores), key=lambda r: (-r[1], r[0]))[:top]
     spark = SparkSession.getActiveSession()
     return spark.createDataFrame([(n, float(s)) for n, s in rows], "feature string, importance double")
 

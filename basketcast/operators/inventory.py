@@ -32,19 +32,32 @@ def _safety(mean, std, z: float, lead_time_days: int):
     return _ceil(F.when(flat, mean * F.lit(0.2)).otherwise(spread))
 
 
-def product_stats(hist: DataFrame) -> DataFrame:
+def product_stats(hist: DataFrame, grain: str = "line") -> DataFrame:
     """Everything the inventory operators need per product, in one pass over the rows:
-    mean, sample std, total quantity, mean price, first and last date."""
-    price = F.avg("Price") if "Price" in hist.columns else F.lit(None).cast("double")
+    mean, sample std, total quantity, mean price, first and last date.
+
+    ``grain='line'`` (the reference's behaviour) takes demand statistics over
+    transaction lines; ``grain='day'`` over daily totals (price still averaged over
+    lines, carried through the daily step as a sum and a count).
+    """
+    has_price = "Price" in hist.columns
+    if grain == "day":
+        price_parts = [F.sum("Price").alias("_psum"), F.count("Price").alias("_pn")] if has_price else []
+        hist = hist.groupBy("ProductID", "Date").agg(F.sum("Quantity").alias("Quantity"), *price_parts)
+        price = (F.sum("_psum") / F.sum("_pn")) if has_price else F.lit(None).cast("double")
+    elif grain == "line":
+        price = F.avg("Price") if has_price else F.lit(None).cast("double")
+    else:
+        raise ValueError("grain must be 'line' or 'day'")
     return hist.groupBy("ProductID").agg(
         F.avg("Quantity").alias("mean"), F.stddev_samp("Quantity").alias("std"),
         F.sum("Quantity").alias("_total"), price.alias("_price"),
         F.min("Date").alias("_first"), F.max("Date").alias("_last"))
 
 
-def _stats(hist: DataFrame) -> DataFrame:
+def _stats(hist: DataFrame, grain: str = "line") -> DataFrame:
     """Accept raw rows or an existing ``product_stats`` table."""
-    return hist if "_total" in hist.columns else keep(product_stats(hist))
+    return hist if "_total" in hist.columns else keep(product_stats(hist, grain))
 
 
 def safety_stock(hist: DataFrame, service_level: float = 0.95, lead_time_days: int = 7) -> DataFrame:
@@ -115,10 +128,11 @@ def economic_order_quantity(hist: DataFrame, holding_cost_pct: float = 0.25, ord
 
 def inventory_recommendations(hist: DataFrame, forecast: DataFrame, lead_time_days: int = 7,
                               service_level: float = 0.95, holding_cost_pct: float = 0.25,
-                              ordering_cost: float = 25.0, as_of: dt.date | None = None) -> DataFrame:
+                              ordering_cost: float = 25.0, as_of: dt.date | None = None,
+                              grain: str = "line") -> DataFrame:
     """Reorder points joined to order quantities; a missing order quantity is twice the
     reorder point; days of supply = ceil(eoq / mean daily demand)."""
-    stats = _stats(hist)
+    stats = _stats(hist, grain)
     rop = reorder_points(stats, forecast, lead_time_days, service_level, as_of)
     eoq = economic_order_quantity(stats, holding_cost_pct, ordering_cost).select("ProductID", "eoq")
     recs = rop.join(eoq, "ProductID", "left").withColumn(

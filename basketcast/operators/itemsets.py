@@ -71,9 +71,11 @@ def frequent_itemsets(lines: DataFrame, min_support: float = 0.01, max_len: int
         _frequent(pairs.groupBy("i").agg(F.count(F.lit(1)).alias("freq")), n, min_support)
         .select(F.array("i").alias("items"), "freq"))
     levels = [l1]
+    cached = [pairs]
     if max_len >= 2 and m1 > 0:
         frequent_items = l1_side.select(F.element_at("items", 1).alias("i"))
         pruned = keep(pairs.join(frequent_items, "i", "left_semi").repartition("t"))
+        cached.append(pruned)
         nxt = pruned.select("t", F.col("i").alias("nxt"))
         occ = pruned.select("t", F.array("i").alias("items"), F.col("i").alias("last"))
         prev = l1
@@ -93,7 +95,11 @@ def frequent_itemsets(lines: DataFrame, min_support: float = 0.01, max_len: int
             prev = lk
             if k < max_len:
                 occ = keep(ext.join(lk_side.select("items"), "items", "left_semi"))
+                cached.append(occ)
 
+    # Every level is checkpointed, so the cached lines and occurrences are no longer needed.
+    for df in cached:
+        df.unpersist()
     out = levels[0]
     for lvl in levels[1:]:
         out = out.unionByName(lvl)

@@ -9,6 +9,14 @@ from basketcast.functions.metrics import rule_order
 from basketcast.operators.rule_views import rules_with_product
 
 
+def rounded(df: DataFrame, decimals: int = 2, cols: list[str] | None = None) -> DataFrame:
+    """Display rounding of numeric columns, half to even like Python's ``round``."""
+    numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "decimal")}
+    targets = set(cols) if cols is not None else numeric
+    return df.select(*[F.bround(c, decimals).alias(c) if c in targets and c in numeric else F.col(c)
+                       for c in df.columns])
+
+
 def top_forecast_products(forecast: DataFrame, n: int = 10) -> DataFrame:
     totals = forecast.groupBy("ProductID").agg(F.sum("Predicted_Quantity").alias("main_product_forecast"))
     return totals.orderBy(F.col("main_product_forecast").desc(), F.col("ProductID").asc()).limit(n)

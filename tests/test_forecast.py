@@ -58,3 +58,11 @@ def test_accuracy(spark):
     assert abs(r.RMSE - (2 / 3) ** 0.5) < 1e-12 and abs(r.MAPE - 25.0) < 1e-12
     none = forecast_accuracy(spark.createDataFrame([(0.0, 1.0)], "actual double, predicted double")).first()
     assert none.MAPE is None
+
+
+def test_product_identity_option(spark):
+    tx = fx.transactions(spark, SF_SMALL)
+    small = GBTRegressor(featuresCol="features", labelCol="Quantity", maxIter=2, maxDepth=2, seed=1)
+    products = [r.ProductID for r in tx.select("ProductID").distinct().orderBy("ProductID").limit(2).collect()]
+    model = train_model(tx, products, regressor=small, product_identity=True)
+    assert predict_demand(model, tx, products, horizon=3).count() == 6

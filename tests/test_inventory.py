@@ -66,3 +66,18 @@ def test_bundle_means_round_half_to_even(spark):
     out = bundle_inventory(hist, _fc(spark, []), bundles).first()
     assert out.avg_safety_stock == 2 and out.avg_reorder_point == 90
     assert out.suggested_bundle_stock == round(90 * 0.5 * 1.2)
+
+
+def test_day_grain_statistics(spark):
+    # B10 option: statistics over daily totals instead of transaction lines
+    hist = _hist(spark, [("T1", D, "A", 1.0, 2.0), ("T2", D, "A", 3.0, 4.0), ("T3", D + dt.timedelta(days=1), "A", 2.0, 6.0)])
+    line = inventory_recommendations(hist, _fc(spark, [])).first()
+    day = inventory_recommendations(hist, _fc(spark, []), grain="day").first()
+    assert line.avg_daily_demand == 2.0 and day.avg_daily_demand == 3.0
+
+
+def test_display_rounding(spark):
+    from basketcast.operators.reports import rounded
+    df = spark.createDataFrame([("A", 2.675, 1.125, 3)], "p string, x double, y double, n int")
+    r = rounded(df, 2).first()
+    assert (r.p, r.y, r.n) == ("A", 1.12, 3)
