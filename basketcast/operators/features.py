@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketcast.operators.daily import daily_sales
+from basketcast.session import broadcast_if_small
 
 LAGS = (1, 7, 14, 30)
 ROLLING_MEANS = (7, 14, 30)
@@ -78,7 +79,9 @@ def association_feature(daily: DataFrame, rules: DataFrame) -> DataFrame:
     divided by the number of pairs whose consequent sold that day; 0 when none did
     or p has no rule. Pairs from different rules count separately.
     """
-    pairs = rule_pairs(rules)
+    # Rule pairs grow with the rule table, not with the data; broadcast them once counted
+    # so the daily table is streamed past them without a shuffle.
+    pairs = broadcast_if_small(rule_pairs(rules))
     sold = daily.select(F.col("ProductID").alias("consequent"), "Date", F.col("Quantity").alias("_q"))
     hits = (pairs.join(sold, "consequent")
                  .groupBy(F.col("antecedent").alias("ProductID"), "Date")
