@@ -39,14 +39,18 @@ def build_session(master: str | None = None, app_name: str = "basketcast",
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Point the context at ``spark.checkpoint.dir``.
 
     On a cluster the setting must name a shared folder and is only read here.
     Only a local session without the setting (tests, laptops) gets a folder of
-    its own under the system temp directory.
+    its own under the system temp directory. A session without a classic
+    SparkContext (Spark Connect) keeps whatever its server is configured with.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return None
     current = sc.getCheckpointDir()
     if current:
         return current
