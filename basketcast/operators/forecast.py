@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from basketcast.operators.clean import filter_products
 from basketcast.operators.daily import daily_sales
-from basketcast.operators.features import (ASSOCIATION_FEATURE, forecast_features, latest_lag_state,
-                                           time_feature_columns)
-from basketcast.session import broadcast_if_small, cut_lineage, keep, scalar
+from basketcast.operators.features import (ASSOCIATION_FEATURE, association_feature, forecast_features,
+                                           latest_lag_state, time_feature_columns)
+from basketcast.session import broadcast_if_small, cut_lineage, keep, materialize, scalar
 
 NON_FEATURES = ("Date", "ProductID", "Quantity")
 TRAIN_ROWS_PER_PARTITION = 250_000
@@ -42,9 +42,10 @@ def train_split(frame: DataFrame, train_ratio: float = 0.8) -> DataFrame:
     boundary needs a rank; its rows (at most one per product) are ranked apart and
     joined back, so the frame keeps its partitioning.
     """
-    n = frame.count()
+    frame = keep(frame)  # read by the per-day counts, the boundary ranks and the final join
+    per_day, _, _ = materialize(frame.groupBy("Date").agg(F.count(F.lit(1)).alias("_c")))
+    n = scalar(per_day.agg(F.sum("_c")), 0)
     cut = int(n * train_ratio)
-    per_day = frame.groupBy("Date").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.orderBy("Date").rowsBetween(Window.unboundedPreceding, -1)
     offsets = broadcast_if_small(per_day.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))))
     straddles = (F.col("_before") < F.lit(cut)) & (F.col("_before") + F.col("_c") > F.lit(cut))
@@ -74,9 +75,11 @@ def train_model(tx: DataFrame, products=None, rules: DataFrame | None = None, tr
     ``product_identity=True`` adds a one-hot product vector.
     """
     frame, names = training_frame(forecast_features(tx, rules), products)
+    frame = keep(frame)
     if frame.isEmpty():
         raise ValueError("No valid data for forecasting after preprocessing.")
     train = cut_lineage(train_split(frame, train_ratio).filter("is_train"))
+    frame.unpersist()
     # Boosting runs one job per tree level; size the partitions by rows, not by cores.
     rows = train.count()
     train = keep(train.repartition(max(1, math.ceil(rows / TRAIN_ROWS_PER_PARTITION))))
@@ -105,21 +108,34 @@ def future_grid(tx: DataFrame, products=None, horizon: int = 30) -> DataFrame:
     return prods.select("ProductID", F.explode(days).alias("Date"))
 
 
-def scoring_frame(tx: DataFrame, products=None, horizon: int = 30,
-                  feature_names: list[str] | None = None) -> DataFrame:
-    """Future grid with calendar features and each product's frozen lag state."""
+def scoring_frame(tx: DataFrame, products=None, horizon: int = 30, feature_names: list[str] | None = None,
+                  rules: DataFrame | None = None, association_value: str = "zero") -> DataFrame:
+    """Future grid with calendar features and each product's frozen lag state.
+
+    The associated-product feature is 0 when scoring, as in the reference;
+    ``association_value='last'`` (needs ``rules``) uses each product's value on its
+    newest history day instead.
+    """
     hist = filter_products(tx, products)
     state = latest_lag_state(daily_sales(hist))
     grid = future_grid(tx, products, horizon)
     grid = grid.withColumns(time_feature_columns(F.col("Date"))).join(state, "ProductID")
     if feature_names and ASSOCIATION_FEATURE in feature_names:
-        grid = grid.withColumn(ASSOCIATION_FEATURE, F.lit(0.0))
+        if association_value == "last" and rules is not None:
+            assoc = association_feature(daily_sales(tx), rules).groupBy("ProductID").agg(
+                F.max_by(ASSOCIATION_FEATURE, "Date").alias(ASSOCIATION_FEATURE))
+            grid = grid.join(assoc, "ProductID", "left").fillna(0.0, [ASSOCIATION_FEATURE])
+        elif association_value in ("zero", "last"):
+            grid = grid.withColumn(ASSOCIATION_FEATURE, F.lit(0.0))
+        else:
+            raise ValueError("association_value must be 'zero' or 'last'")
     return grid
 
 
-def predict_demand(model: ForecastModel, tx: DataFrame, products=None, horizon: int = 30) -> DataFrame:
+def predict_demand(model: ForecastModel, tx: DataFrame, products=None, horizon: int = 30,
+                   rules: DataFrame | None = None, association_value: str = "zero") -> DataFrame:
     """``(Date, ProductID, Predicted_Quantity)``: direct multi-step scoring, clipped at 0."""
-    grid = scoring_frame(tx, products, horizon, model.feature_names)
+    grid = scoring_frame(tx, products, horizon, model.feature_names, rules, association_value)
     scored = model.model.transform(grid)
     return scored.select("Date", "ProductID",
                          F.greatest(F.col("prediction"), F.lit(0.0)).alias("Predicted_Quantity"))

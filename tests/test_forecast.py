@@ -31,6 +31,8 @@ def test_model_forecast_shape_and_clip(spark):
     assert "AssociatedProductSales" in model.feature_names
     fc = predict_demand(model, tx, products, horizon=10)
     rows = fc.collect()
+    last = predict_demand(model, tx, products, horizon=10, rules=fx.rules(spark, SF_SMALL), association_value="last")
+    assert last.count() == 30
     assert len(rows) == 3 * 10 and all(r.Predicted_Quantity >= 0 for r in rows)
     end = tx.agg(F.max("Date")).first()[0]
     assert min(r.Date for r in rows) == end + dt.timedelta(days=1)
