@@ -1,13 +1,32 @@
 """Frequent itemsets, level-wise (Apriori) on DataFrames.
 
-Support of a set = baskets holding every item of it / all baskets. Level 1 is a
-``groupBy(item)``; infrequent items are removed from the basket lines once (semi
-join), and the pruned lines are hash-partitioned by basket and persisted, so every
-later level joins them without another shuffle of the lines. Level k extends the
-occurrences of frequent (k-1)-sets in each basket by a larger frequent item of the
-same basket, keeps only Apriori candidates (every (k-1)-subset frequent), counts
-with map-side partial aggregation, and thresholds. Each level's itemsets are
-checkpointed, which ends the lineage between levels.
+Support of a set = baskets holding every item of it / all baskets. One aggregate
+per basket gives the basket count and each basket's width (distinct items); level 1
+is a ``groupBy(item)``, and infrequent items are removed from the lines once (semi
+join against the counted frequent items).
+
+Each level k counts occurrences of k-item candidates per basket, with map-side
+partial aggregation, and thresholds them. How an occurrence is found depends on the
+basket's width:
+
+* **narrow baskets** (width <= ``wide_basket_items``): the basket's items are held
+  in one sorted array (bounded by the width limit); each occurrence of a frequent
+  (k-1)-set is extended by the larger items of that array (``posexplode`` of a
+  ``slice``: no join, inside whole-stage codegen) and kept only if it is a
+  candidate (broadcast semi join). A basket emits at most C(width, 2) rows at
+  level 2, so no basket's output grows with the data, and only the partial counts
+  are shuffled;
+* **wide baskets**: each occurrence is extended by the *candidates* that start with
+  it (a join on the itemset against the counted candidate table), and a candidate
+  is kept when the basket holds its last item (a semi join on ``(basket, item)``,
+  a key with exactly one row per basket line). A basket holding a third of all
+  lines is spread over as many tasks as it has items; nothing pairs its lines with
+  each other.
+
+Candidates are the Apriori candidates (every (k-1)-subset frequent), generated from
+the small itemset table; level-2 candidates come from the sorted list of frequent
+items. Each level's itemsets are checkpointed, which ends the lineage between
+levels.
 """
 
 from __future__ import annotations
@@ -26,6 +45,10 @@ ITEMSET_SCHEMA = StructType([
     StructField("itemsets_str", StringType(), False),
 ])
 
+# Baskets with more distinct frequent items than this are counted against the
+# candidate table instead of being joined with themselves (at most 1,225 pairs each).
+WIDE_BASKET_ITEMS = 50
+
 
 def count_baskets(lines: DataFrame, txn: str = "TransactionID") -> int:
     return int(lines.agg(F.count_distinct(txn)).first()[0] or 0)
@@ -35,9 +58,23 @@ def _frequent(counts: DataFrame, n: int, min_support: float) -> DataFrame:
     return counts.filter((F.col("freq") / F.lit(float(n))) >= F.lit(float(min_support)))
 
 
+def pair_candidates(singles: DataFrame, num_partitions: int) -> DataFrame:
+    """Every pair ``[a, b]`` (a < b) of frequent items.
+
+    The frequent items (a counted table, bounded by mean basket size / min_support)
+    are listed in one sorted array; each item is paired with the larger ones after
+    the items are spread over ``num_partitions`` tasks, so no join is involved.
+    """
+    listed = singles.agg(F.array_sort(F.collect_list(F.element_at("items", 1))).alias("_all"))
+    firsts = listed.select(F.explode("_all").alias("a"), "_all").repartition(num_partitions)
+    partners = firsts.select("a", F.explode(F.filter("_all", lambda y: y > F.col("a"))).alias("b"))
+    return partners.select(F.array("a", "b").alias("items"))
+
+
 def apriori_candidates(prev: DataFrame, k: int) -> DataFrame:
-    """k-item candidates from frequent (k-1)-sets (sorted arrays): join on the common
-    (k-2)-prefix, then keep a candidate only if every other (k-1)-subset is frequent."""
+    """k-item candidates from frequent (k-1)-sets (sorted arrays, k >= 3): join on the
+    common (k-2)-prefix, then keep a candidate only if every other (k-1)-subset is
+    frequent."""
     left = prev.select(F.slice("items", 1, k - 2).alias("prefix"), F.element_at("items", k - 1).alias("x"))
     right = prev.select(F.slice("items", 1, k - 2).alias("prefix"), F.element_at("items", k - 1).alias("y"))
     cand = (left.join(right, "prefix").where(F.col("x") < F.col("y"))
@@ -51,7 +88,7 @@ def apriori_candidates(prev: DataFrame, k: int) -> DataFrame:
 
 def frequent_itemsets(lines: DataFrame, min_support: float = 0.01, max_len: int = 4,
                       txn: str = "TransactionID", item: str = "ProductID",
-                      assume_distinct: bool = False) -> DataFrame:
+                      assume_distinct: bool = False, wide_basket_items: int = WIDE_BASKET_ITEMS) -> DataFrame:
     """All itemsets with ``support >= min_support`` and at most ``max_len`` items.
 
     ``lines`` holds one row per (basket, item); the number of baskets is counted
@@ -63,39 +100,78 @@ def frequent_itemsets(lines: DataFrame, min_support: float = 0.01, max_len: int
     if not assume_distinct:
         pairs = pairs.distinct()
     pairs = keep(pairs)
-    n = count_baskets(pairs, "t")
+    # One aggregate per basket gives the basket count and how many baskets are wide.
+    # Width is taken before infrequent items are removed: an upper bound, so a basket
+    # classed narrow is narrow (the wide path is exact for any basket).
+    widths = keep(pairs.groupBy("t").agg(F.count(F.lit(1)).alias("_w")))
+    cached = [pairs, widths]
+    stats = widths.agg(F.count(F.lit(1)), F.count_if(F.col("_w") > wide_basket_items)).first()
+    n, n_wide = int(stats[0]), int(stats[1])
     if n == 0:
+        for df in cached:
+            df.unpersist()
         return spark.createDataFrame([], ITEMSET_SCHEMA)
 
     l1, m1, l1_side = materialize(
         _frequent(pairs.groupBy("i").agg(F.count(F.lit(1)).alias("freq")), n, min_support)
         .select(F.array("i").alias("items"), "freq"))
     levels = [l1]
-    cached = [pairs]
     if max_len >= 2 and m1 > 0:
-        frequent_items = l1_side.select(F.element_at("items", 1).alias("i"))
-        pruned = keep(pairs.join(frequent_items, "i", "left_semi").repartition("t"))
-        cached.append(pruned)
-        nxt = pruned.select("t", F.col("i").alias("nxt"))
-        occ = pruned.select("t", F.array("i").alias("items"), F.col("i").alias("last"))
+        pruned = pairs.join(l1_side.select(F.element_at("items", 1).alias("i")), "i", "left_semi")
+        narrow = pruned
+        if n_wide:
+            _, _, wide_keys = materialize(widths.filter(F.col("_w") > wide_basket_items).select("t"))
+            narrow = pruned.join(wide_keys, "t", "left_anti")
+            wide = keep(pruned.join(wide_keys, "t", "left_semi"))
+            cached.append(wide)
+            held_w = wide.select("t", F.col("i").alias("nxt"))
+            occ_w = wide.select("t", F.array("i").alias("items"))
+        # Narrow baskets: one sorted item array each (bounded by the width limit).
+        baskets = keep(narrow.groupBy("t").agg(F.array_sort(F.collect_list("i")).alias("arr")).select("arr"))
+        cached.append(baskets)
+        # An occurrence is (items, arr, pos): the set found, its basket's array and the
+        # 1-based position of the set's last (largest) item in that array.
+        occ_n = baskets.select("arr", F.posexplode("arr").alias("_p", "last")).select(
+            F.array("last").alias("items"), "arr", (F.col("_p") + 1).alias("pos"))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         prev = l1
         for k in range(2, max_len + 1):
-            ext = (occ.join(nxt, "t").where(F.col("nxt") > F.col("last"))
-                      .select("t", F.concat("items", F.array("nxt")).alias("items"), F.col("nxt").alias("last")))
-            if k >= 3:
-                _, n_cand, cand_side = materialize(apriori_candidates(prev, k))
+            cand_side = None
+            if k >= 3 or n_wide:
+                cand = pair_candidates(prev, parts) if k == 2 else apriori_candidates(prev, k)
+                _, n_cand, cand_side = materialize(cand)
                 if n_cand == 0:
                     break
-                ext = ext.join(cand_side, "items", "left_semi")
-            counts = _frequent(ext.groupBy("items").agg(F.count(F.lit(1)).alias("freq")), n, min_support)
+            # extend each occurrence by every larger item of its basket: a generator, no join
+            after = F.slice("arr", F.col("pos") + 1, F.size("arr") - F.col("pos"))
+            grown = occ_n.select("items", "arr", "pos", F.posexplode(after).alias("_p", "_x"))
+            ext_n = grown.select(F.concat("items", F.array("_x")).alias("items"), "arr",
+                                 (F.col("pos") + F.col("_p") + 1).alias("pos"))
+            if k >= 3:  # at level 2 every pair of frequent items is a candidate
+                ext_n = ext_n.join(cand_side, "items", "left_semi")
+            found = ext_n.select("items")
+            if n_wide:
+                by_prefix = cand_side.select(F.slice("items", 1, k - 1).alias("_prefix"),
+                                             F.element_at("items", k).alias("nxt"), F.col("items").alias("_cand"))
+                ext_w = (occ_w.join(by_prefix, occ_w["items"] == by_prefix["_prefix"])
+                              .select("t", "nxt", F.col("_cand").alias("items"))
+                              .join(held_w, ["t", "nxt"], "left_semi")
+                              .select("t", "items"))
+                found = found.unionByName(ext_w.select("items"))
+            # partial counts per task; only (itemset, count) rows cross the shuffle
+            counts = _frequent(found.groupBy("items").agg(F.count(F.lit(1)).alias("freq")), n, min_support)
             lk, mk, lk_side = materialize(counts)
             if mk == 0:
                 break
             levels.append(lk)
             prev = lk
             if k < max_len:
-                occ = keep(ext.join(lk_side.select("items"), "items", "left_semi"))
-                cached.append(occ)
+                # next level's occurrences: re-derived from the cached baskets through semi
+                # joins against the checkpointed levels (broadcast once counted), not persisted
+                occ_n = ext_n.join(lk_side.select("items"), "items", "left_semi")
+                if n_wide:
+                    occ_w = keep(ext_w.join(lk_side.select("items"), "items", "left_semi"))
+                    cached.append(occ_w)
 
     # Every level is checkpointed, so the cached lines and occurrences are no longer needed.
     for df in cached:

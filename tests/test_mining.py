@@ -47,6 +47,17 @@ def test_level_wise_equals_fpgrowth(spark):
     assert ours == theirs and any(k.count(",") == 3 for k in ours)
 
 
+def test_wide_basket_path_equals_narrow(spark):
+    # every basket through the candidate join, every basket through the self join: same itemsets
+    lines = basket_lines(fx.transactions(spark, SF_SMALL, fx.TYPE))
+    wide = {r.itemsets_str: r.freq for r in frequent_itemsets(lines, 0.02, 4, assume_distinct=True,
+                                                              wide_basket_items=0).collect()}
+    mixed = {r.itemsets_str: r.freq for r in frequent_itemsets(lines, 0.02, 4, assume_distinct=True,
+                                                               wide_basket_items=2).collect()}
+    narrow = {r.itemsets_str: r.freq for r in frequent_itemsets(lines, 0.02, 4, assume_distinct=True).collect()}
+    assert wide == narrow == mixed and any(k.count(",") == 3 for k in wide)
+
+
 def test_rule_identities(spark):
     _, rules = mine_rules(fx.transactions(spark, SF_SMALL, fx.TYPE), 0.02, 0.05, 0.0)
     rows = rules.collect()

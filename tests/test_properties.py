@@ -22,12 +22,13 @@ def brute_force(bs, min_support, max_len):
     return {", ".join(s): c for s, c in counts.items() if c / n >= min_support}
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(bs=baskets, min_support=st.sampled_from([0.1, 0.2, 0.3]))
-def test_itemsets_and_rules_match_brute_force(spark, bs, min_support):
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(bs=baskets, min_support=st.sampled_from([0.1, 0.2, 0.3]), wide=st.sampled_from([0, 3, 50]))
+def test_itemsets_and_rules_match_brute_force(spark, bs, min_support, wide):
+    # ``wide`` moves baskets with more frequent items than that to the candidate-join path
     rows = [(f"T{i}", item) for i, b in enumerate(bs) for item in b]
     lines = spark.createDataFrame(rows, "TransactionID string, ProductID string")
-    itemsets = frequent_itemsets(lines, min_support=min_support, max_len=4)
+    itemsets = frequent_itemsets(lines, min_support=min_support, max_len=4, wide_basket_items=wide)
     got = {r.itemsets_str: r.freq for r in itemsets.collect()}
     assert got == brute_force(bs, min_support, 4)
     rules = association_rules(itemsets, min_confidence=0.3).collect()
