@@ -24,14 +24,14 @@ basket's width:
   each other.
 
 Candidates are the Apriori candidates (every (k-1)-subset frequent), generated from
-the small itemset table; level-2 candidates come from the sorted list of frequent
-items. Each level's itemsets are checkpointed, which ends the lineage between
+the small itemset table; level-2 candidates pair each frequent item with the
+higher-ranked ones (an equi-join on rank, no cross join). Each level's itemsets are checkpointed, which ends the lineage between
 levels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -61,14 +61,18 @@ def _frequent(counts: DataFrame, n: int, min_support: float) -> DataFrame:
 def pair_candidates(singles: DataFrame, num_partitions: int) -> DataFrame:
     """Every pair ``[a, b]`` (a < b) of frequent items.
 
-    The frequent items (a counted table, bounded by mean basket size / min_support)
-    are listed in one sorted array; each item is paired with the larger ones after
-    the items are spread over ``num_partitions`` tasks, so no join is involved.
+    Items are ranked in sorting order (the frequent-item table is counted and
+    bounded by mean basket size / min_support); each item, spread over
+    ``num_partitions`` tasks, generates the ranks above its own and looks their
+    items up with an equi-join on the rank.
     """
-    listed = singles.agg(F.array_sort(F.collect_list(F.element_at("items", 1))).alias("_all"))
-    firsts = listed.select(F.explode("_all").alias("a"), "_all").repartition(num_partitions)
-    partners = firsts.select("a", F.explode(F.filter("_all", lambda y: y > F.col("a"))).alias("b"))
-    return partners.select(F.array("a", "b").alias("items"))
+    ranked = singles.select(F.element_at("items", 1).alias("a")) \
+        .withColumn("_r", F.row_number().over(Window.orderBy("a")))
+    _, m, by_rank = materialize(ranked)
+    starts = by_rank.filter(F.col("_r") < F.lit(m)).repartition(num_partitions)
+    above = starts.select("a", F.explode(F.sequence(F.col("_r") + 1, F.lit(m))).alias("_r"))
+    partners = by_rank.select("_r", F.col("a").alias("b"))
+    return above.join(partners, "_r").select(F.array("a", "b").alias("items"))
 
 
 def apriori_candidates(prev: DataFrame, k: int) -> DataFrame:
