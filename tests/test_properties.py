@@ -49,3 +49,16 @@ def test_itemsets_and_rules_match_brute_force(spark, bs, min_support, wide):
                 if (f / n) / (got[", ".join(ant)] / n) >= 0.3:  # same arithmetic as the engine
                     expect += 1
     assert len(rules) == expect
+
+
+def test_hot_basket_holds_a_third_of_the_lines(spark):
+    # one basket carries a third of all lines and more distinct items than the narrow limit;
+    # it goes through the candidate join, the rest through the per-basket arrays
+    items = [f"P{i:02d}" for i in range(60)]
+    hot = [items[i % 60] for i in range(300)]  # 300 lines, 60 distinct items, duplicates included
+    small = [[items[(3 * b + j) % 60] for j in range(3)] for b in range(200)]  # 600 lines
+    rows = [("HOT", it) for it in hot] + [(f"S{b}", it) for b, basket in enumerate(small) for it in basket]
+    lines = spark.createDataFrame(rows, "TransactionID string, ProductID string")
+    got = {r.itemsets_str: r.freq for r in frequent_itemsets(lines, min_support=0.01, max_len=3).collect()}
+    bs = [set(hot)] + [set(b) for b in small]
+    assert got == brute_force(bs, 0.01, 3)
