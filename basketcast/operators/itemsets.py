@@ -25,8 +25,8 @@ basket's width:
 
 Candidates are the Apriori candidates (every (k-1)-subset frequent), generated from
 the small itemset table; level-2 candidates pair each frequent item with the
-higher-ranked ones (an equi-join on rank, no cross join). Each level's itemsets are checkpointed, which ends the lineage between
-levels.
+higher-ranked ones (an equi-join on rank, no cross join). Each level's itemsets are
+checkpointed, which ends the lineage between levels.
 """
 
 from __future__ import annotations

@@ -18,6 +18,7 @@ from basketcast.operators.clean import normalize_transactions
 from basketcast.operators.daily import daily_sales
 from basketcast.operators.forecast import future_grid
 from basketcast.operators.rules import mine_rules
+from basketcast.session import keep
 from basketcast.sources.transactions import tpch_transactions
 
 BRAND = "p_brand"
@@ -29,7 +30,11 @@ HORIZON = 30
 
 
 def transactions(spark: SparkSession, sf_dir: str, product: str = BRAND) -> DataFrame:
-    return normalize_transactions(tpch_transactions(spark, sf_dir, product))
+    """The cleaned transaction view, persisted: a query reads it several times (mining,
+    product statistics, the forecast grid), and recomputing it would repeat the
+    lineitem-orders join, two shuffles of the fact table, each time. Spark's cache
+    manager hands every caller of the same plan the same cached data."""
+    return keep(normalize_transactions(tpch_transactions(spark, sf_dir, product)))
 
 
 def mined(spark: SparkSession, sf_dir: str, product: str = BRAND) -> tuple[DataFrame, DataFrame]:
