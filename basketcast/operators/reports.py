@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basketcast.functions.metrics import rule_order
 from basketcast.operators.rule_views import rules_with_product
+from basketcast.session import materialize
 
 
 def rounded(df: DataFrame, decimals: int = 2, cols: list[str] | None = None) -> DataFrame:
@@ -27,11 +28,12 @@ def combined_insights(rules: DataFrame, forecast: DataFrame, n_products: int = 1
     ``n_rules`` rules by lift with the product among the antecedents."""
     top = top_forecast_products(forecast, n_products)
     prank = F.row_number().over(Window.orderBy(F.col("main_product_forecast").desc(), F.col("ProductID").asc()))
-    top = top.withColumn("product_rank", prank)  # at most n_products rows
-    per = rules_with_product(rules, "antecedents").join(F.broadcast(top.select("ProductID")), "ProductID", "left_semi")
+    # at most n_products rows, read twice: checkpointed and counted once, then broadcast
+    _, _, top = materialize(top.withColumn("product_rank", prank))
+    per = rules_with_product(rules, "antecedents").join(top.select("ProductID"), "ProductID", "left_semi")
     rrank = F.row_number().over(Window.partitionBy("ProductID").orderBy(*rule_order("lift")))
     per = per.withColumn("rule_rank", rrank).filter(F.col("rule_rank") <= n_rules)
-    return per.join(F.broadcast(top), "ProductID").select(
+    return per.join(top, "ProductID").select(
         F.col("ProductID").alias("main_product"), "main_product_forecast",
         F.col("consequents_str").alias("associated_products"), "confidence", "lift", "product_rank", "rule_rank")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from basketcast.functions.metrics import rule_order
 from basketcast.operators.clean import filter_products
 from basketcast.operators.inventory import rule_bundles
+from basketcast.session import materialize
 
 RULE_KEY = ["antecedents_str", "consequents_str"]
 
@@ -149,12 +150,13 @@ def lift_matrix(rules: DataFrame, top: DataFrame) -> DataFrame:
     and the other among the consequents; 0 when no rule links them; null on the
     diagonal.
     """
-    names = top.select("ProductID")
-    pairs = _partners(rules).join(F.broadcast(names), "ProductID", "left_semi") \
-        .join(F.broadcast(names.withColumnRenamed("ProductID", "partner")), "partner", "left_semi")
+    # the top list is read four times: checkpointed and counted once, then broadcast
+    _, _, names = materialize(top.select("ProductID"))
+    pairs = _partners(rules).join(names, "ProductID", "left_semi") \
+        .join(names.withColumnRenamed("ProductID", "partner"), "partner", "left_semi")
     cell = pairs.groupBy(F.least("ProductID", "partner").alias("_lo"), F.greatest("ProductID", "partner").alias("_hi")) \
         .agg(F.max("lift").alias("_lift"))
-    listed = top.agg(F.collect_list("ProductID").alias("_p"))
+    listed = names.agg(F.collect_list("ProductID").alias("_p"))
     grid = listed.select(F.explode("_p").alias("product_a"), "_p").select("product_a", F.explode("_p").alias("product_b"))
     grid = grid.withColumns({"_lo": F.least("product_a", "product_b"), "_hi": F.greatest("product_a", "product_b")})
     out = grid.join(cell, ["_lo", "_hi"], "left")
