@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -172,9 +172,11 @@ def bundle_inventory(hist: DataFrame, forecast: DataFrame, bundles: DataFrame, l
                              F.explode("items").alias("ProductID"))
     joined = members.join(prod, "ProductID")
     key = ["antecedents_str", "consequents_str"]
-    span = joined.groupBy(*key).agg(
-        F.greatest(F.datediff(F.max("_last"), F.min("_first")), F.lit(1)).alias("_days"))
-    joined = joined.join(span, key)
+    # per-bundle span as a window on the bundle key: the final aggregate groups by a
+    # superset of that key, so both share one shuffle (a bundle has at most 4 rows)
+    per_bundle = Window.partitionBy(*key)
+    span = F.greatest(F.datediff(F.max("_last").over(per_bundle), F.min("_first").over(per_bundle)), F.lit(1))
+    joined = joined.withColumn("_days", span)
     annual = F.col("_total") * (F.lit(365.0) / F.col("_days"))
     eoq = F.coalesce(_eoq(annual, F.col("_price"), holding_cost_pct, ordering_cost), F.col("reorder_point") * 2)
     joined = joined.withColumn("_eoq", eoq)
