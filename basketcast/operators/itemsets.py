@@ -107,8 +107,9 @@ def frequent_itemsets(lines: DataFrame, min_support: float = 0.01, max_len: int
     # One aggregate per basket gives the basket count and how many baskets are wide.
     # Width is taken before infrequent items are removed: an upper bound, so a basket
     # classed narrow is narrow (the wide path is exact for any basket).
-    widths = keep(pairs.groupBy("t").agg(F.count(F.lit(1)).alias("_w")))
-    cached = [pairs, widths]
+    # (not persisted: one row per basket, read again only when wide baskets exist)
+    widths = pairs.groupBy("t").agg(F.count(F.lit(1)).alias("_w"))
+    cached = [pairs]
     stats = widths.agg(F.count(F.lit(1)), F.count_if(F.col("_w") > wide_basket_items)).first()
     n, n_wide = int(stats[0]), int(stats[1])
     if n == 0:
