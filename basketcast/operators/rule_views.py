@@ -78,15 +78,22 @@ def associated_products(rules: DataFrame, n: int = 5) -> DataFrame:
 def associated_forecast(rules: DataFrame, forecast: DataFrame, products=None, n: int = 3) -> DataFrame:
     """For the first ``n`` associated products of each product that are forecast: mean
     forecast and lift/confidence of the strongest rule linking the two."""
-    assoc = associated_products(rules, 5).filter(F.col("rank") <= n)
+    key = ["ProductID", "AssociatedProductID"]
+    # One aggregate per (product, partner) finds the strongest linking rule in the rule
+    # order (lift, confidence, support descending, then the sides ascending) as the
+    # minimum of a struct with the numeric keys negated; its lift is the pair's max lift.
+    strongest = F.min(F.struct((-F.col("lift")).alias("_l"), (-F.col("confidence")).alias("_c"),
+                               (-F.col("support")).alias("_s"), "antecedents_str", "consequents_str",
+                               "lift", "confidence")).alias("_first")
+    best = _partners(rules).withColumnRenamed("partner", "AssociatedProductID").groupBy(*key).agg(strongest)
+    rank = F.row_number().over(Window.partitionBy("ProductID").orderBy(F.col("_first.lift").desc(),
+                                                                       F.col("AssociatedProductID").asc()))
+    assoc = best.withColumn("rank", rank).filter(F.col("rank") <= n)
     fc = filter_products(forecast, products).groupBy(F.col("ProductID").alias("AssociatedProductID")) \
         .agg(F.avg("Predicted_Quantity").alias("avg_predicted_demand"))
-    link = _partners(rules).withColumnRenamed("partner", "AssociatedProductID")
-    first = F.row_number().over(Window.partitionBy("ProductID", "AssociatedProductID").orderBy(*rule_order("lift")))
-    link = link.withColumn("_r", first).filter(F.col("_r") == 1).select("ProductID", "AssociatedProductID",
-                                                                        "lift", "confidence")
-    return assoc.join(fc, "AssociatedProductID").join(link, ["ProductID", "AssociatedProductID"]) \
-                .select("ProductID", "AssociatedProductID", "rank", "avg_predicted_demand", "lift", "confidence")
+    return assoc.join(fc, "AssociatedProductID").select(
+        "ProductID", "AssociatedProductID", "rank", "avg_predicted_demand",
+        F.col("_first.lift").alias("lift"), F.col("_first.confidence").alias("confidence"))
 
 
 def associated_sales_comparison(daily: DataFrame, rules: DataFrame, n: int = 2) -> DataFrame:
