@@ -50,10 +50,6 @@ ITEMSET_SCHEMA = StructType([
 WIDE_BASKET_ITEMS = 50
 
 
-def count_baskets(lines: DataFrame, txn: str = "TransactionID") -> int:
-    return int(lines.agg(F.count_distinct(txn)).first()[0] or 0)
-
-
 def _frequent(counts: DataFrame, n: int, min_support: float) -> DataFrame:
     return counts.filter((F.col("freq") / F.lit(float(n))) >= F.lit(float(min_support)))
 
