@@ -12,6 +12,6 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session(master="local[4]", app_name="basketcast-tests", shuffle_partitions=4)
+    session = build_session(master=os.environ.get("TEST_MASTER", "local[4]"), app_name="basketcast-tests", shuffle_partitions=4)
     yield session
     session.stop()
