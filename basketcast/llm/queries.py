@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketcast.llm import byte_bpe, fingerprint, packing, rendezvous, secrets
+from basketcast.llm import byte_bpe, fingerprint, ngram_join, ordinal, packing, rendezvous, secrets
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -30,10 +30,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), BPE_JSON, PATTERN)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade 2: good and not toxic, one less for each flaw; kept if grade 2 is at least as likely as not."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ratings = (labels.where("quality IN (0, 1) AND toxic IN (0, 1)")
+               .select(F.col("doc_id").cast("long"), (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade")))
+    docs = documents(spark, sf_dir)
+    return ordinal.grade(docs, ordinal.train(docs, ratings, 3), wanted=2)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.exact_dedup(documents(spark, sf_dir))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.shard_records(documents(spark, sf_dir), [1.0] * SHARDS).withColumnRenamed("key", "doc_id")
 
@@ -45,7 +58,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
+    "op3_quality_classifier": op3_quality_classifier,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op8_sharding": op8_sharding,
     "op10_byte_bpe": op10_byte_bpe,
 }
