@@ -36,16 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketcast.llm.bitmap import bit_of, key_filter
 from basketcast.llm.components import connected_components
 from basketcast.llm.shingles import mix, shingle_set
-from basketcast.llm.text import columns_of, id_text, rows_out
+from basketcast.llm.text import columns_of, id_text, rows_out, sorted_runs
 from basketcast.session import cut_lineage
 
 PERCENT = 75
 BUCKETS = 1 << 18
 _PART = 1 << 12          # buckets per row while counts travel
 _SEEN = 500_000          # nodes a task remembers to emit equal sets once
-BITS = 1 << 23
 
 _MARK_TYPES = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("part", pa.int32()),
                ("counts", pa.binary())]
@@ -150,24 +150,6 @@ def _prefix_batch(held: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=pa.schema(_PREFIX_TYPES))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Column arrays in runs that never cut a gram in two (rows arrive sorted by gram)."""
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
-        if rest is not None:
-            cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-        grams = cols[0]
-        cut = int(np.searchsorted(grams, grams[-1], side="left"))
-        if cut:
-            yield [c[:cut] for c in cols]
-        rest = [c[cut:] for c in cols]
-    if rest is not None:
-        yield rest
-
-
 def passes(n_a, place_a, oct_a, n_b, place_b, oct_b, percent: int) -> np.ndarray:
     """Length, positional and suffix filters, on arrays."""
     n_a, n_b = n_a.astype(np.int64), n_b.astype(np.int64)
@@ -184,7 +166,7 @@ _NAMES = ["gram", "node", "n", "place", "octants"]
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Only rows of grams that two or more nodes hold, each (gram, node) once."""
-    for cols in _groups(batches, _NAMES):
+    for cols in sorted_runs(batches, _NAMES):
         gram, node = cols[0], cols[1]
         fresh = np.ones(len(gram), dtype=bool)
         fresh[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
@@ -210,7 +192,7 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 def _near_pairs(percent: int):
     """Round one: neighbours by size, and everyone with the first of the gram."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, node, n, place, octants in _groups(batches, _NAMES):
+        for gram, node, n, place, octants in sorted_runs(batches, _NAMES):
             order = np.lexsort((node, n, gram))
             gram, node, n, place, octants = (c[order] for c in (gram, node, n, place, octants))
             new = np.r_[True, gram[1:] != gram[:-1]]
@@ -225,7 +207,7 @@ def _near_pairs(percent: int):
 def _cross_pairs(percent: int, block: int = 4096):
     """Round two: pairs of a gram in different components; one row against a block at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, node, n, place, octants, label in _groups(batches, [*_NAMES, "label"]):
+        for gram, node, n, place, octants, label in sorted_runs(batches, [*_NAMES, "label"]):
             order = np.lexsort((n, gram))
             gram, node, n, place, octants, label = (c[order] for c in (gram, node, n, place, octants, label))
             edges = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True])
@@ -255,40 +237,6 @@ def _cross_pairs(percent: int, block: int = 4096):
     return run
 
 
-def _bit(nodes: np.ndarray) -> np.ndarray:
-    return (mix(nodes.view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
-
-
-def node_filter(pairs: DataFrame):
-    """Broadcast bitmap (``BITS`` bits) that holds every node of ``pairs``: a filter that may
-    let others through but misses none."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, dtype=np.uint8)
-        for batch in batches:
-            for name in ("a", "b"):
-                bits[_bit(batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False).astype(np.int64))] = 1
-        packed = np.packbits(bits)
-        size = 1 << 14
-        yield rows_out([(p, packed[p * size:(p + 1) * size].tobytes()) for p in range(len(packed) // size)
-                        if packed[p * size:(p + 1) * size].any()], [("part", pa.int32()), ("counts", pa.binary())])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ors: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, packed in zip(*columns_of(batch, "part", "counts"), strict=True):
-                more = np.frombuffer(packed, dtype=np.uint8)
-                ors[part] = ors[part] | more if part in ors else more
-        yield rows_out([(p, o.tobytes()) for p, o in ors.items()], [("part", pa.int32()), ("counts", pa.binary())])
-
-    spark = pairs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = pairs.mapInArrow(run, "part int, counts binary").repartition(n, "part").mapInArrow(join, "part int, counts binary")
-    packed = np.zeros(BITS // 8, dtype=np.uint8)
-    for row in parts.toLocalIterator():  # at most BITS bits in all
-        packed[row["part"] << 14:(row["part"] + 1) << 14] = np.frombuffer(row["counts"], dtype=np.uint8)
-    return spark.sparkContext.broadcast(np.unpackbits(packed))
-
-
 def sets_of(source: DataFrame, wanted) -> DataFrame:
     """``node, grams`` (sorted 64-bit hashes) of the nodes that pass the filter, each once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +249,7 @@ def sets_of(source: DataFrame, wanted) -> DataFrame:
                 if not len(grams):
                     continue
                 node = node_of(grams)
-                if node in seen or not bits[_bit(np.array([node], dtype=np.int64))[0]]:
+                if node in seen or not bits[bit_of(np.array([node], dtype=np.int64))[0]]:
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
@@ -328,7 +276,7 @@ def verify(pairs: DataFrame, source: DataFrame, percent: int) -> DataFrame:
                     rows.append((a, b))
             yield rows_out(rows, _PAIR_TYPES)
 
-    sets = cut_lineage(sets_of(source, node_filter(pairs)))
+    sets = cut_lineage(sets_of(source, key_filter(pairs)))
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")

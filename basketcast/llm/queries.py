@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketcast.llm import byte_bpe, fingerprint, ngram_join, ordinal, packing, rendezvous, secrets
+from basketcast.llm import byte_bpe, fingerprint, ngram_join, ordinal, packing, pfp, rendezvous, secrets
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,6 +39,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade(docs, ordinal.train(docs, ratings, 3), wanted=2)
 
 
+def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp.remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.exact_dedup(documents(spark, sf_dir))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_repeat_removal": op4_repeat_removal,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_sharding": op8_sharding,

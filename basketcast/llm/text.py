@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,3 +39,20 @@ def rows_out(rows: list[tuple], types: list[tuple[str, pa.DataType]]) -> pa.Reco
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, types, strict=True)],
                                       schema=pa.schema(types))
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Column arrays in runs that never cut a key in two (rows arrive sorted by ``names[0]``)."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
+        if rest is not None:
+            cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
+        if cut:
+            yield [c[:cut] for c in cols]
+        rest = [c[cut:] for c in cols]
+    if rest is not None:
+        yield rest
