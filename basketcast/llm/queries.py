@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketcast.llm import byte_bpe, fingerprint, ngram_join, ordinal, packing, pfp, rendezvous, secrets
+from basketcast.llm import bm25, byte_bpe, fingerprint, lm_score, ngram_join, ordinal, packing, pfp, rendezvous, secrets
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -43,6 +43,11 @@ def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfp.remove_repeats(documents(spark, sf_dir)).drop("spans")
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every document whose id is divisible by 20, whole; against all documents."""
+    return bm25.search(documents(spark, sf_dir), F.col("doc_id") % 20 == 0, k=10)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.exact_dedup(documents(spark, sf_dir))
 
@@ -55,6 +60,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.shard_records(documents(spark, sf_dir), [1.0] * SHARDS).withColumnRenamed("key", "doc_id")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), BPE_RANKS, PATTERN)
 
@@ -64,8 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_repeat_removal": op4_repeat_removal,
+    "op5_topk_search": op5_topk_search,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_sharding": op8_sharding,
+    "op9_lm_score": op9_lm_score,
     "op10_byte_bpe": op10_byte_bpe,
 }
