@@ -1,32 +1,22 @@
-"""Frequent itemsets, level-wise (Apriori) on DataFrames.
-
-Support of a set = baskets holding every item of it / all baskets. One aggregate
-per basket gives the basket count and each basket's width (distinct items); level 1
-is a ``groupBy(item)``, and infrequent items are removed from the lines once (semi
-join against the counted frequent items).
-
-Each level k counts occurrences of k-item candidates per basket, with map-side
-partial aggregation, and thresholds them. How an occurrence is found depends on the
-basket's width:
-
-* **narrow baskets** (width <= ``wide_basket_items``): the basket's items are held
-  in one sorted array (bounded by the width limit); each occurrence of a frequent
-  (k-1)-set is extended by the larger items of that array (``posexplode`` of a
-  ``slice``: no join, inside whole-stage codegen) and kept only if it is a
-  candidate (broadcast semi join). A basket emits at most C(width, 2) rows at
-  level 2, so no basket's output grows with the data, and only the partial counts
-  are shuffled;
-* **wide baskets**: each occurrence is extended by the *candidates* that start with
-  it (a join on the itemset against the counted candidate table), and a candidate
-  is kept when the basket holds its last item (a semi join on ``(basket, item)``,
-  a key with exactly one row per basket line). A basket holding a third of all
-  lines is spread over as many tasks as it has items; nothing pairs its lines with
-  each other.
-
-Candidates are the Apriori candidates (every (k-1)-subset frequent), generated from
-the small itemset table; level-2 candidates pair each frequent item with the
-higher-ranked ones (an equi-join on rank, no cross join). Each level's itemsets are
-checkpointed, which ends the lineage between levels.
+"""Frequent itemsets, level-wise (Apriori) on DataFrames, one exact path for baskets of any width.
+
+Support of a set = baskets holding every item of it / all baskets. Level 1 is a
+``groupBy(item)``; infrequent items are removed from the lines once, and the frequent
+items get dense integer codes in sorting order, so everything after works on integers
+and the names come back on the final table.
+
+* **Pairs.** A basket's codes are grouped by blocks of ``block_items`` codes, so an array
+  holds at most that many items however wide the basket is. Pairs inside a block come
+  from its array; pairs across blocks from joining two blocks of the same basket on
+  ``(basket, block)``, a key that spreads a wide basket over as many tasks as it has
+  blocks. Only pairs that a basket really holds are made, never pairs of the item table.
+* **Larger sets.** Two occurrences of frequent (k-1)-sets in the same basket that share
+  their first k-2 items make an occurrence of a k-set: a self-join on ``(basket,
+  prefix)``, kept if every (k-1)-subset is frequent. An occurrence carries its own
+  items and nothing of the rest of its basket.
+
+Only ``(set, count)`` rows cross the counting shuffle (partial counts per task), and
+each level's sets are checkpointed, which ends the lineage between levels.
 """
 
 from __future__ import annotations
@@ -45,32 +35,14 @@ ITEMSET_SCHEMA = StructType([
     StructField("itemsets_str", StringType(), False),
 ])
 
-# Baskets with more distinct frequent items than this are counted against the
-# candidate table instead of being joined with themselves (at most 1,225 pairs each).
-WIDE_BASKET_ITEMS = 50
+# Most codes in one block of a basket: an array's bound, whatever the basket's width.
+BLOCK_ITEMS = 64
 
 
 def _frequent(counts: DataFrame, n: int, min_support: float) -> DataFrame:
     return counts.filter((F.col("freq") / F.lit(float(n))) >= F.lit(float(min_support)))
 
 
-def pair_candidates(singles: DataFrame, num_partitions: int) -> DataFrame:
-    """Every pair ``[a, b]`` (a < b) of frequent items.
-
-    Items are ranked in sorting order (the frequent-item table is counted and
-    bounded by mean basket size / min_support); each item, spread over
-    ``num_partitions`` tasks, generates the ranks above its own and looks their
-    items up with an equi-join on the rank.
-    """
-    ranked = singles.select(F.element_at("items", 1).alias("a")) \
-        .withColumn("_r", F.row_number().over(Window.orderBy("a")))
-    _, m, by_rank = materialize(ranked)
-    starts = by_rank.filter(F.col("_r") < F.lit(m)).repartition(num_partitions)
-    above = starts.select("a", F.explode(F.sequence(F.col("_r") + 1, F.lit(m))).alias("_r"))
-    partners = by_rank.select("_r", F.col("a").alias("b"))
-    return above.join(partners, "_r").select(F.array("a", "b").alias("items"))
-
-
 def apriori_candidates(prev: DataFrame, k: int) -> DataFrame:
     """k-item candidates from frequent (k-1)-sets (sorted arrays, k >= 3): join on the
     common (k-2)-prefix, then keep a candidate only if every other (k-1)-subset is
@@ -86,9 +58,45 @@ def apriori_candidates(prev: DataFrame, k: int) -> DataFrame:
     return cand
 
 
+def coded_items(singles: DataFrame) -> DataFrame:
+    """Dense codes 0.. of the frequent items in sorting order (a table of at most mean
+    basket width / min_support rows)."""
+    return singles.select("i", "freq", (F.row_number().over(Window.orderBy("i")) - 1).alias("code"))
+
+
+def pair_occurrences(blocks: DataFrame, n_blocks: int) -> DataFrame:
+    """``t, items`` (two codes, ascending) for every pair of frequent items in every basket.
+
+    ``blocks`` has ``t, block, codes``; later blocks hold larger codes.
+    """
+    at = blocks.select("t", "codes", F.posexplode("codes").alias("_p", "x"))
+    after = F.slice("codes", F.col("_p") + 2, F.size("codes"))
+    pairs = at.select("t", "x", F.explode(after).alias("y"))
+    if n_blocks > 1:
+        several = (blocks.groupBy("t").agg(F.array_sort(F.collect_list("block")).alias("held"))
+                   .where(F.size("held") > 1))  # at most n_blocks numbers per basket
+        first = several.select("t", "held", F.posexplode("held").alias("_p", "a"))
+        meet = first.select("t", "a", F.explode(F.slice("held", F.col("_p") + 2, F.size("held"))).alias("b"))
+        left = blocks.select("t", F.col("block").alias("a"), F.col("codes").alias("_xs"))
+        right = blocks.select("t", F.col("block").alias("b"), F.col("codes").alias("_ys"))
+        across = (meet.join(left, ["t", "a"]).join(right, ["t", "b"])
+                  .select("t", F.explode("_xs").alias("x"), "_ys").select("t", "x", F.explode("_ys").alias("y")))
+        pairs = pairs.unionByName(across)
+    return pairs.select("t", F.array("x", "y").alias("items"))
+
+
+def grown_occurrences(occ: DataFrame, k: int) -> DataFrame:
+    """Occurrences of k-sets from those of (k-1)-sets with the same first k-2 items."""
+    prefix, last = F.slice("items", 1, k - 2), F.element_at("items", k - 1)
+    left = occ.select("t", prefix.alias("prefix"), last.alias("x"))
+    right = occ.select("t", prefix.alias("prefix"), last.alias("y"))
+    return (left.join(right, ["t", "prefix"]).where(F.col("x") < F.col("y"))
+                .select("t", F.concat("prefix", F.array("x", "y")).alias("items")))
+
+
 def frequent_itemsets(lines: DataFrame, min_support: float = 0.01, max_len: int = 4,
                       txn: str = "TransactionID", item: str = "ProductID",
-                      assume_distinct: bool = False, wide_basket_items: int = WIDE_BASKET_ITEMS) -> DataFrame:
+                      assume_distinct: bool = False, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """All itemsets with ``support >= min_support`` and at most ``max_len`` items.
 
     ``lines`` holds one row per (basket, item); the number of baskets is counted
@@ -99,88 +107,47 @@ def frequent_itemsets(lines: DataFrame, min_support: float = 0.01, max_len: int
     pairs = lines.select(F.col(txn).alias("t"), F.col(item).cast("string").alias("i"))
     if not assume_distinct:
         pairs = pairs.distinct()
-    pairs = keep(pairs)
-    # One aggregate per basket gives the basket count and how many baskets are wide.
-    # Width is taken before infrequent items are removed: an upper bound, so a basket
-    # classed narrow is narrow (the wide path is exact for any basket).
-    # (not persisted: one row per basket, read again only when wide baskets exist)
-    widths = pairs.groupBy("t").agg(F.count(F.lit(1)).alias("_w"))
+    pairs = keep(pairs)  # read by the basket count, the item counts and the coding
     cached = [pairs]
-    stats = widths.agg(F.count(F.lit(1)), F.count_if(F.col("_w") > wide_basket_items)).first()
-    n, n_wide = int(stats[0]), int(stats[1])
-    if n == 0:
+    try:
+        n = pairs.select("t").distinct().count()
+        if n == 0:
+            return spark.createDataFrame([], ITEMSET_SCHEMA)
+        singles = _frequent(pairs.groupBy("i").agg(F.count(F.lit(1)).alias("freq")), n, min_support)
+        coded, m, codes = materialize(coded_items(singles))
+        levels = [coded.select(F.array("code").alias("items"), "freq")]
+        if max_len >= 2 and m > 1:
+            blocks = keep(pairs.join(codes.select("i", "code"), "i")
+                          .groupBy("t", F.floor(F.col("code") / block_items).cast("int").alias("block"))
+                          .agg(F.array_sort(F.collect_list("code")).alias("codes")))
+            cached.append(blocks)
+            found = pair_occurrences(blocks, -(-m // block_items))
+            for k in range(2, max_len + 1):
+                if k > 2:
+                    _, n_cand, cand = materialize(apriori_candidates(levels[-1].select("items"), k))
+                    if n_cand == 0:
+                        break
+                    found = grown_occurrences(occ, k).join(cand, "items", "left_semi")
+                counts = found.groupBy("items").agg(F.count(F.lit(1)).alias("freq"))
+                level, mk, side = materialize(_frequent(counts, n, min_support))
+                if mk == 0:
+                    break
+                levels.append(level)
+                if k < max_len:
+                    occ = keep(found.join(side.select("items"), "items", "left_semi"))
+                    cached.append(occ)
+    finally:
+        # every level is checkpointed: the lines and occurrences are no longer needed
         for df in cached:
             df.unpersist()
-        return spark.createDataFrame([], ITEMSET_SCHEMA)
-
-    l1, m1, l1_side = materialize(
-        _frequent(pairs.groupBy("i").agg(F.count(F.lit(1)).alias("freq")), n, min_support)
-        .select(F.array("i").alias("items"), "freq"))
-    levels = [l1]
-    if max_len >= 2 and m1 > 0:
-        pruned = pairs.join(l1_side.select(F.element_at("items", 1).alias("i")), "i", "left_semi")
-        narrow = pruned
-        if n_wide:
-            _, _, wide_keys = materialize(widths.filter(F.col("_w") > wide_basket_items).select("t"))
-            narrow = pruned.join(wide_keys, "t", "left_anti")
-            wide = keep(pruned.join(wide_keys, "t", "left_semi"))
-            cached.append(wide)
-            held_w = wide.select("t", F.col("i").alias("nxt"))
-            occ_w = wide.select("t", F.array("i").alias("items"))
-        # Narrow baskets: one sorted item array each (bounded by the width limit).
-        baskets = keep(narrow.groupBy("t").agg(F.array_sort(F.collect_list("i")).alias("arr")).select("arr"))
-        cached.append(baskets)
-        # An occurrence is (items, arr, pos): the set found, its basket's array and the
-        # 1-based position of the set's last (largest) item in that array.
-        occ_n = baskets.select("arr", F.posexplode("arr").alias("_p", "last")).select(
-            F.array("last").alias("items"), "arr", (F.col("_p") + 1).alias("pos"))
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        prev = l1
-        for k in range(2, max_len + 1):
-            cand_side = None
-            if k >= 3 or n_wide:
-                cand = pair_candidates(prev, parts) if k == 2 else apriori_candidates(prev, k)
-                _, n_cand, cand_side = materialize(cand)
-                if n_cand == 0:
-                    break
-            # extend each occurrence by every larger item of its basket: a generator, no join
-            after = F.slice("arr", F.col("pos") + 1, F.size("arr") - F.col("pos"))
-            grown = occ_n.select("items", "arr", "pos", F.posexplode(after).alias("_p", "_x"))
-            ext_n = grown.select(F.concat("items", F.array("_x")).alias("items"), "arr",
-                                 (F.col("pos") + F.col("_p") + 1).alias("pos"))
-            if k >= 3:  # at level 2 every pair of frequent items is a candidate
-                ext_n = ext_n.join(cand_side, "items", "left_semi")
-            found = ext_n.select("items")
-            if n_wide:
-                by_prefix = cand_side.select(F.slice("items", 1, k - 1).alias("_prefix"),
-                                             F.element_at("items", k).alias("nxt"), F.col("items").alias("_cand"))
-                ext_w = (occ_w.join(by_prefix, occ_w["items"] == by_prefix["_prefix"])
-                              .select("t", "nxt", F.col("_cand").alias("items"))
-                              .join(held_w, ["t", "nxt"], "left_semi")
-                              .select("t", "items"))
-                found = found.unionByName(ext_w.select("items"))
-            # partial counts per task; only (itemset, count) rows cross the shuffle
-            counts = _frequent(found.groupBy("items").agg(F.count(F.lit(1)).alias("freq")), n, min_support)
-            lk, mk, lk_side = materialize(counts)
-            if mk == 0:
-                break
-            levels.append(lk)
-            prev = lk
-            if k < max_len:
-                # next level's occurrences: re-derived from the cached baskets through semi
-                # joins against the checkpointed levels (broadcast once counted), not persisted
-                occ_n = ext_n.join(lk_side.select("items"), "items", "left_semi")
-                if n_wide:
-                    occ_w = keep(ext_w.join(lk_side.select("items"), "items", "left_semi"))
-                    cached.append(occ_w)
-
-    # Every level is checkpointed, so the cached lines and occurrences are no longer needed.
-    for df in cached:
-        df.unpersist()
-    out = levels[0]
-    for lvl in levels[1:]:
-        out = out.unionByName(lvl)
-    return out.select(
+    sets = levels[0]
+    for level in levels[1:]:
+        sets = sets.unionByName(level)
+    names = (sets.select("items", "freq", F.posexplode("items").alias("_p", "code"))
+             .join(codes.select("code", "i"), "code")
+             .groupBy("items", "freq").agg(F.array_sort(F.collect_list(F.struct("_p", "i"))).alias("_n")))
+    named = names.select(F.col("_n.i").alias("items"), "freq")
+    return named.select(
         "items",
         F.size("items").alias("size"),
         F.col("freq").cast("long").alias("freq"),

@@ -4,7 +4,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
 
 from basketcast.operators.baskets import basket_lines
-from basketcast.operators.itemsets import frequent_itemsets
+from basketcast.operators.itemsets import frequent_itemsets, pair_occurrences
 from basketcast.operators.rules import DEMO_BASKETS, association_rules, demo_association_data, mine_rules
 from basketcast.plans import fixtures as fx
 from conftest import SF_SMALL
@@ -47,15 +47,23 @@ def test_level_wise_equals_fpgrowth(spark):
     assert ours == theirs and any(k.count(",") == 3 for k in ours)
 
 
-def test_wide_basket_path_equals_narrow(spark):
-    # every basket through the candidate join, every basket through the self join: same itemsets
+def test_pairs_across_blocks_equal_pairs_in_one(spark):
+    # blocks of one or two items: every pair, or most, comes from joining blocks of a basket
     lines = basket_lines(fx.transactions(spark, SF_SMALL, fx.TYPE))
-    wide = {r.itemsets_str: r.freq for r in frequent_itemsets(lines, 0.02, 4, assume_distinct=True,
-                                                              wide_basket_items=0).collect()}
-    mixed = {r.itemsets_str: r.freq for r in frequent_itemsets(lines, 0.02, 4, assume_distinct=True,
-                                                               wide_basket_items=2).collect()}
-    narrow = {r.itemsets_str: r.freq for r in frequent_itemsets(lines, 0.02, 4, assume_distinct=True).collect()}
-    assert wide == narrow == mixed and any(k.count(",") == 3 for k in wide)
+    sizes = [{r.itemsets_str: r.freq for r in frequent_itemsets(lines, 0.02, 4, assume_distinct=True, block_items=b).collect()}
+             for b in (1, 2, 64)]
+    assert sizes[0] == sizes[1] == sizes[2] and any(k.count(",") == 3 for k in sizes[0])
+
+
+def test_no_level_makes_pairs_of_the_item_table(spark):
+    # 3,000 frequent items, none of them together in a basket: no pair may come up at all
+    lines = spark.range(6000).selectExpr("cast(id AS string) AS TransactionID", "concat('P', id % 3000) AS ProductID")
+    n_items = 3000
+    codes = spark.range(n_items).selectExpr("concat('P', id) AS i", "cast(id AS int) AS code")
+    blocks = (lines.join(codes, lines["ProductID"] == codes["i"])
+              .selectExpr("TransactionID AS t", "cast(code DIV 64 AS int) AS block", "array(code) AS codes"))
+    assert pair_occurrences(blocks, -(-n_items // 64)).count() == 0
+    assert frequent_itemsets(lines, 1 / 4000, 4).count() == n_items
 
 
 def test_rule_identities(spark):

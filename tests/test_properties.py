@@ -23,12 +23,12 @@ def brute_force(bs, min_support, max_len):
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(bs=baskets, min_support=st.sampled_from([0.1, 0.2, 0.3]), wide=st.sampled_from([0, 3, 50]))
-def test_itemsets_and_rules_match_brute_force(spark, bs, min_support, wide):
-    # ``wide`` moves baskets with more frequent items than that to the candidate-join path
+@given(bs=baskets, min_support=st.sampled_from([0.1, 0.2, 0.3]), block=st.sampled_from([1, 3, 64]))
+def test_itemsets_and_rules_match_brute_force(spark, bs, min_support, block):
+    # small blocks: most pairs come from joining two blocks of a basket
     rows = [(f"T{i}", item) for i, b in enumerate(bs) for item in b]
     lines = spark.createDataFrame(rows, "TransactionID string, ProductID string")
-    itemsets = frequent_itemsets(lines, min_support=min_support, max_len=4, wide_basket_items=wide)
+    itemsets = frequent_itemsets(lines, min_support=min_support, max_len=4, block_items=block)
     got = {r.itemsets_str: r.freq for r in itemsets.collect()}
     assert got == brute_force(bs, min_support, 4)
     rules = association_rules(itemsets, min_confidence=0.3).collect()
@@ -52,13 +52,25 @@ def test_itemsets_and_rules_match_brute_force(spark, bs, min_support, wide):
 
 
 def test_hot_basket_holds_a_third_of_the_lines(spark):
-    # one basket carries a third of all lines and more distinct items than the narrow limit;
-    # it goes through the candidate join, the rest through the per-basket arrays
+    # one basket carries a third of all lines; its items make several blocks
     items = [f"P{i:02d}" for i in range(60)]
     hot = [items[i % 60] for i in range(300)]  # 300 lines, 60 distinct items, duplicates included
     small = [[items[(3 * b + j) % 60] for j in range(3)] for b in range(200)]  # 600 lines
     rows = [("HOT", it) for it in hot] + [(f"S{b}", it) for b, basket in enumerate(small) for it in basket]
     lines = spark.createDataFrame(rows, "TransactionID string, ProductID string")
-    got = {r.itemsets_str: r.freq for r in frequent_itemsets(lines, min_support=0.01, max_len=3).collect()}
+    got = {r.itemsets_str: r.freq for r in frequent_itemsets(lines, min_support=0.01, max_len=3, block_items=8).collect()}
     bs = [set(hot)] + [set(b) for b in small]
     assert got == brute_force(bs, 0.01, 3)
+
+
+def test_a_basket_of_thousands_of_items(spark):
+    # 2,000 distinct items in one basket; only items that others hold too are frequent
+    rows = [("WIDE", f"I{i:04d}") for i in range(2000)]
+    rows += [(f"S{b}", f"I{(b * 7 + j) % 150:04d}") for b in range(400) for j in range(3)]
+    lines = spark.createDataFrame(rows, "TransactionID string, ProductID string")
+    baskets_ = {}
+    for t, i in rows:
+        baskets_.setdefault(t, set()).add(i)
+    got = {r.itemsets_str: r.freq for r in frequent_itemsets(lines, min_support=0.006, max_len=3).collect()}
+    keep = {i for i in {i for _, i in rows} if sum(i in b for b in baskets_.values()) / 401 >= 0.006}
+    assert got == brute_force([b & keep for b in baskets_.values()], 0.006, 3)
