@@ -79,23 +79,28 @@ def association_feature(daily: DataFrame, rules: DataFrame) -> DataFrame:
     divided by the number of pairs whose consequent sold that day; 0 when none did
     or p has no rule. Pairs from different rules count separately.
     """
-    # Rule pairs grow with the rule table, not with the data; broadcast them once counted
-    # so the daily table is streamed past them without a shuffle.
-    pairs = broadcast_if_small(rule_pairs(rules))
+    # one row per product pair, however many rules link it; broadcast once counted, so the
+    # daily table is streamed past it without a shuffle
+    pairs = broadcast_if_small(rule_pairs(rules).groupBy("antecedent", "consequent").agg(
+        F.sum("confidence").alias("_conf"), F.count(F.lit(1)).alias("_pairs")))
     sold = daily.select(F.col("ProductID").alias("consequent"), "Date", F.col("Quantity").alias("_q"))
     hits = (pairs.join(sold, "consequent")
                  .groupBy(F.col("antecedent").alias("ProductID"), "Date")
-                 .agg(F.sum(F.col("_q") * F.col("confidence")).alias("_s"), F.count(F.lit(1)).alias("_n")))
+                 .agg(F.sum(F.col("_q") * F.col("_conf")).alias("_s"), F.sum("_pairs").alias("_n")))
     return (daily.join(hits, ["ProductID", "Date"], "left")
                  .withColumn(ASSOCIATION_FEATURE, F.coalesce(F.col("_s") / F.col("_n"), F.lit(0.0)))
                  .drop("_s", "_n"))
 
 
 def forecast_features(tx: DataFrame, rules: DataFrame | None = None, exclude_current: bool = False) -> DataFrame:
-    """Daily sales -> calendar -> lags/rolling -> associated-product sales (when rules are given)."""
+    """Daily sales -> calendar -> lags/rolling -> associated-product sales.
+
+    ``tx`` may be transactions or an existing daily table. Without rules, or with an
+    empty rule table, there is no associated-product feature.
+    """
     daily = daily_sales(tx)
     feats = lag_features(time_features(daily), exclude_current=exclude_current)
-    if rules is not None:
+    if rules is not None and not rules.isEmpty():
         feats = association_feature(feats, rules)
     return feats
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketcast.session import broadcast_if_small, keep
+from basketcast.session import broadcast_if_small, cut_lineage
 
 
 def position_within(df: DataFrame, part_cols: list[str], order_cols: list[str], out: str = "pos",
@@ -22,9 +22,11 @@ def position_within(df: DataFrame, part_cols: list[str], order_cols: list[str],
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*part_cols, *order_cols]
-    ranged = keep(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-                    .withColumn("_pid", F.spark_partition_id())
-                    .withColumn("_mid", F.monotonically_increasing_id()))
+    # written before it is counted: the counts and the numbered rows read the same files, so a
+    # lost executor cannot make them see different ranges
+    ranged = cut_lineage(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                           .withColumn("_pid", F.spark_partition_id())
+                           .withColumn("_mid", F.monotonically_increasing_id()))
     spans = ranged.groupBy("_pid", *part_cols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*part_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spans.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -14,8 +14,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest number of rows a side may have to be broadcast by ``broadcast_if_small``.
+# Largest side that may be broadcast: rows, and bytes (counted rows x a row's size).
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
 def build_session(master: str | None = None, app_name: str = "basketcast",
@@ -29,7 +30,7 @@ def build_session(master: str | None = None, app_name: str = "basketcast",
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.sql.session.timeZone", "UTC")
-               .config("spark.driver.memory", os.environ.get("BASKETCAST_DRIVER_MEMORY", "16g"))
+               .config("spark.driver.memory", os.environ.get("BASKETCAST_DRIVER_MEMORY", "8g"))
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for key, value in (extra or {}).items():
@@ -81,9 +82,27 @@ def materialize(df: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS)
     within the bound, else left to a shuffle join.
     """
     table = cut_lineage(df)
-    rows = table.count()
-    side = F.broadcast(table) if rows <= max_broadcast_rows else table
-    return table, rows, side
+    rows, size = _measure(table)
+    small = rows <= max_broadcast_rows and size <= DEFAULT_BROADCAST_BYTES
+    return table, rows, F.broadcast(table) if small else table
+
+
+def _measure(df: DataFrame) -> tuple[int, int]:
+    """Rows and the bytes they hold, in one job: strings, binaries and arrays by their real
+    length, other values as 8 bytes."""
+    per_row = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            width = F.octet_length(c)
+        elif kind in ("array", "map", "struct"):
+            width = F.octet_length(F.to_json(c)) if kind != "map" else F.size(c) * 64
+        else:
+            width = F.lit(8)
+        per_row = per_row + F.coalesce(width.cast("long"), F.lit(8).cast("long"))
+    row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(per_row), F.lit(0))).first()
+    return int(row[0]), int(row[1])
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -92,10 +111,9 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting it; beyond the bound leave the join to a shuffle."""
-    if df.count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    """Broadcast ``df`` only after measuring it (written once, so it is not computed twice);
+    beyond the bounds leave the join to a shuffle."""
+    return materialize(df, max_rows)[2]
 
 
 def scalar(df: DataFrame, default=None):
