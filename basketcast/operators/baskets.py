@@ -41,7 +41,3 @@ def basket_encoding(lines: DataFrame) -> DataFrame:
     so no basket is ever collected into one array.
     """
     return lines.select("TransactionID", "ProductID").distinct()
-
-
-def basket_sizes(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("TransactionID").agg(F.count_distinct("ProductID").alias("n_items"))

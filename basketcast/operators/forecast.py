@@ -169,12 +169,13 @@ def scenario_forecasts(forecast: DataFrame, adjustments) -> DataFrame:
     spark = forecast.sparkSession
     if isinstance(adjustments, DataFrame):
         factors = adjustments.select("scenario", "ProductID", F.col("factor").cast("double"))
-        names = [r[0] for r in factors.select("scenario").distinct().orderBy("scenario").collect()]
+        # one row that holds the scenarios' names, joined to every forecast row
+        names = factors.agg(F.array_sort(F.collect_set("scenario")).alias("_names"))
+        out = forecast.join(F.broadcast(names)).withColumn("scenario", F.explode("_names")).drop("_names")
     else:
-        names = list(adjustments)
         rows = [(s, str(p), float(f)) for s, adj in adjustments.items() for p, f in adj.items()]
         factors = spark.createDataFrame(rows, "scenario string, ProductID string, factor double")
-    out = forecast.withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in names])))
+        out = forecast.withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in adjustments])))
     out = out.join(broadcast_if_small(factors), ["scenario", "ProductID"], "left")
     return out.withColumn("Predicted_Quantity", F.col("Predicted_Quantity") * F.coalesce("factor", F.lit(1.0))) \
               .drop("factor")

@@ -71,9 +71,9 @@ def _safety_cols(stats: DataFrame, z: float, lead_time_days: int) -> DataFrame:
 
 
 def default_as_of(hist: DataFrame) -> dt.date | None:
-    """First day after the history: the start of the lead-time window by default."""
-    stats = _stats(hist)
-    end = scalar(stats.agg(F.max("_last")))
+    """First day after the history given, which must be that of all products: the forecast
+    starts there, so a selection of products needs the date passed to it."""
+    end = scalar(hist.agg(F.max("_last" if "_last" in hist.columns else "Date")))
     return None if end is None else end + dt.timedelta(days=1)
 
 
@@ -130,7 +130,7 @@ def inventory_recommendations(hist: DataFrame, forecast: DataFrame, lead_time_da
                               service_level: float = 0.95, holding_cost_pct: float = 0.25,
                               ordering_cost: float = 25.0, as_of: dt.date | None = None,
                               grain: str = "line") -> DataFrame:
-    """Reorder points joined to order quantities; a missing order quantity is twice the
+    """Reorder points joined to order quantities (``as_of`` must be given when ``hist`` is a selection); a missing order quantity is twice the
     reorder point; days of supply = ceil(eoq / mean daily demand)."""
     stats = _stats(hist, grain)
     rop = reorder_points(stats, forecast, lead_time_days, service_level, as_of)

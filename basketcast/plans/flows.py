@@ -17,9 +17,10 @@ from basketcast.operators import forecast as fc
 from basketcast.operators import inventory, reports, rule_views
 from basketcast.operators.baskets import basket_lines, dataset_stats, product_list
 from basketcast.operators.clean import filter_products, normalize_transactions
-from basketcast.operators.daily import sales_trend, sales_trend_stats, top_products
+from basketcast.operators.daily import daily_sales, sales_trend, sales_trend_stats, top_products
 from basketcast.operators.rules import mine_rules
 from basketcast.operators.validate import validate
+from basketcast.session import cut_lineage
 from basketcast.sources.transactions import read_transactions
 
 
@@ -33,9 +34,10 @@ class Upload:
     message: str
 
 
-def upload(spark: SparkSession, path: str) -> Upload:
-    """Read a CSV/Parquet file, clean it and validate it (raises on an unusable file)."""
-    tx = normalize_transactions(read_transactions(spark, path))
+def upload(spark: SparkSession, path: str, fmt: str | None = None) -> Upload:
+    """Read CSV or Parquet (a file, a folder or a glob), clean it and validate it (raises on
+    an unusable file)."""
+    tx = normalize_transactions(read_transactions(spark, path, fmt))
     ok, message = validate(tx)
     return Upload(tx, basket_lines(tx), product_list(tx), dataset_stats(tx), ok, message)
 
@@ -49,22 +51,29 @@ def associations(tx: DataFrame, min_support: float = 0.01, min_confidence: float
 def demand_forecast(tx: DataFrame, products=None, rules: DataFrame | None = None, horizon: int = 30,
                     train_ratio: float = 0.8, **model_options) -> tuple[fc.ForecastModel, DataFrame]:
     """Train on the selected products (with the associated-product feature when rules
-    are given) and forecast ``horizon`` days."""
-    model = fc.train_model(tx, products, rules, train_ratio, **model_options)
-    return model, fc.predict_demand(model, tx, products, horizon)
+    are given) and forecast ``horizon`` days. The daily table is computed once and all steps
+    read it."""
+    daily = cut_lineage(daily_sales(tx))
+    model = fc.train_model(daily, products, rules, train_ratio, **model_options)
+    return model, fc.predict_demand(model, daily, products, horizon)
 
 
 def inventory_advice(tx: DataFrame, forecast: DataFrame, rules: DataFrame | None = None, products=None,
                      lead_time_days: int = 7, service_level: float = 0.95,
                      holding_cost_pct: float = 0.25) -> tuple[DataFrame, DataFrame | None]:
-    """Per-product recommendations and, with rules, bundle stock for the selected products."""
+    """Per-product recommendations and, with rules, bundle stock for the selected products.
+
+    The lead time starts the day after the history of all products ends, whichever are
+    selected: that is where the forecast starts.
+    """
+    as_of = inventory.default_as_of(tx)
     hist = filter_products(tx, products)
     fcast = filter_products(forecast, products)
-    recs = inventory.inventory_recommendations(hist, fcast, lead_time_days, service_level, holding_cost_pct)
+    recs = inventory.inventory_recommendations(hist, fcast, lead_time_days, service_level, holding_cost_pct, as_of=as_of)
     bundles = None
     if rules is not None:
         bundles = inventory.bundle_inventory(hist, fcast, rule_views.all_rule_bundles(rules), lead_time_days,
-                                             service_level, holding_cost_pct)
+                                             service_level, holding_cost_pct, as_of=as_of)
     return recs, bundles
 
 

@@ -22,3 +22,25 @@ def test_flows_end_to_end(spark, tmp_path):
     assert recs.count() == 3 and bundles.count() == rules.count()
     tables = flows.report_tables(up.transactions, rules, forecast)
     assert all(df.count() >= 0 for df in tables.values())
+
+
+def test_selected_products_get_the_same_advice(spark):
+    # A stops selling 10 days before the others: the lead time still starts where the forecast starts
+    import datetime as dt
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    rows = [(f"T{k}", day(k), p, 5.0, 2.0) for k in range(40) for p in "AB" if p == "B" or k < 30]
+    tx = spark.createDataFrame(rows, "TransactionID string, Date date, ProductID string, Quantity double, Price double")
+    forecast = spark.createDataFrame([(day(40 + k), p, 5.0) for k in range(30) for p in "AB"],
+                                     "Date date, ProductID string, Predicted_Quantity double")
+    every = {r.ProductID: (r.lead_time_demand, r.reorder_point) for r in flows.inventory_advice(tx, forecast)[0].collect()}
+    one = flows.inventory_advice(tx, forecast, products=["A"])[0].first()
+    assert every["A"][0] == 40.0 and (one.lead_time_demand, one.reorder_point) == every["A"]
+
+
+def test_empty_rules_leave_the_feature_out(spark):
+    from basketcast.operators.features import ASSOCIATION_FEATURE, forecast_features
+    from basketcast.plans import fixtures as fx
+    from conftest import SF_SMALL
+    _, rules = flows.associations(fx.transactions(spark, SF_SMALL), 0.9, 0.9)
+    assert rules.isEmpty()
+    assert ASSOCIATION_FEATURE not in forecast_features(fx.transactions(spark, SF_SMALL), rules).columns
