@@ -42,8 +42,7 @@ def recommendation_text(insights: DataFrame, n: int = 5) -> DataFrame:
     """Text advice for the first ``n`` insights (product rank, then rule rank)."""
     first = insights.orderBy("product_rank", "rule_rank").limit(n)
     text = F.format_string(
-        "Product %s is forecasted to have high demand (%.2f units). It's frequently purchased with %s. "
-        "Consider bundling these products or ensuring sufficient inventory for the associated products as well. "
-        "The association has a confidence of %.2f and a lift of %.2f.",
+        "%s: %.2f units forecast. Often sold together with %s (confidence %.2f, lift %.2f): "
+        "stock them together or offer a bundle.",
         "main_product", "main_product_forecast", "associated_products", "confidence", "lift")
     return first.select("main_product", "product_rank", "rule_rank", text.alias("recommendation"))

@@ -11,21 +11,23 @@ SUPPORTED = ("csv", "parquet")
 
 
 def file_format(path: str) -> str:
-    """Format from the file extension; anything else is rejected like the reference does."""
+    """Format by the extension of a file, folder or glob (``sales/*.csv``); a path without a
+    known one needs ``fmt``."""
     ext = os.path.basename(path.rstrip("/")).rsplit(".", 1)[-1].lower()
     if ext not in SUPPORTED:
-        raise ValueError("Unsupported file format. Please provide a CSV or Parquet file.")
+        raise ValueError(f"cannot tell the format of {path!r}: name it with fmt, one of {', '.join(SUPPORTED)}")
     return ext
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Scan a transaction file. CSV columns are read as strings; typing happens in cleaning."""
-    fmt = fmt or file_format(path)
+    """Scan a file, a folder (partitioned or not) or a glob. CSV columns are read as strings;
+    typing happens in cleaning."""
+    fmt = (fmt or file_format(path)).lower()
     if fmt == "csv":
         return spark.read.option("header", True).option("inferSchema", False).csv(path)
     if fmt == "parquet":
         return spark.read.parquet(path)
-    raise ValueError("Unsupported file format. Please provide a CSV or Parquet file.")
+    raise ValueError(f"format {fmt!r} is not one of {', '.join(SUPPORTED)}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from basketcast.operators.clean import normalize_transactions
+from basketcast.operators.clean import normalize_transactions, rename_columns
 from basketcast.operators.daily import daily_sales
 
 
@@ -23,10 +23,10 @@ def transaction_stream(spark: SparkSession, path: str, schema: StructType | str,
     reader = spark.readStream.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
-    df = normalize_transactions(reader.format(fmt).load(path))
-    if "TransactionID" not in df.columns:
-        raise ValueError("A transaction id column is required for streamed uploads.")
-    return df
+    raw = rename_columns(reader.format(fmt).load(path))
+    if "TransactionID" not in raw.columns:
+        raise ValueError("a stream needs a transaction id column")
+    return normalize_transactions(raw)
 
 
 def daily_sales_stream(tx_stream: DataFrame, watermark: str | None = None) -> DataFrame:

@@ -93,3 +93,32 @@ def test_preview_is_ordered_top_k(spark):
     rows = [Row(TransactionID=f"T{i:02d}", Date=dt.date(2024, 1, 1), ProductID="A", Quantity=1.0) for i in range(20)]
     out = preview(spark.createDataFrame(rows), n=3).collect()
     assert [r.TransactionID for r in out] == ["T00", "T01", "T02"]
+
+
+def test_text_dates_in_many_formats(spark):
+    same = ["2025-01-15", "2025-01-15 10:30:00", "01/15/2025", "1/15/2025 9:05", "Jan 15, 2025", "January 15, 2025", "15 Jan 2025",
+            "15-Jan-2025", "2025/1/15", "20250115", "15/01/2025", "15.1.2025", " 2025-01-15 "]
+    df = spark.createDataFrame([(f"T{i}", d, "A", 1.0) for i, d in enumerate(same)],
+                               "TransactionID string, Date string, ProductID string, Quantity double")
+    assert {r.Date for r in normalize_transactions(df).collect()} == {dt.date(2025, 1, 15)}
+    blank = spark.createDataFrame([("T", "  ", "A", 1.0), ("U", None, "A", 1.0)],
+                                  "TransactionID string, Date string, ProductID string, Quantity double")
+    assert normalize_transactions(blank).count() == 0
+
+
+def test_folders_and_globs(spark, tmp_path):
+    for day in (1, 2):
+        (tmp_path / f"d{day}").mkdir()
+        (tmp_path / f"d{day}" / "part.csv").write_text(f"Date,TransactionID,ProductID,Quantity\n2025-01-0{day},T{day},P,2\n")
+    assert read_transactions(spark, str(tmp_path / "*" / "*.csv")).count() == 2
+    assert read_transactions(spark, str(tmp_path / "d1"), fmt="csv").count() == 1
+    with pytest.raises(ValueError, match="fmt"):
+        read_transactions(spark, str(tmp_path / "d1"))
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    from basketcast import session
+    wide = spark.range(100).selectExpr("id", "repeat('x', 2000000) AS s")
+    assert session._measure(wide)[1] > session.DEFAULT_BROADCAST_BYTES
+    table, rows, side = session.materialize(wide)
+    assert rows == 100 and side is table

@@ -1,3 +1,5 @@
+import pytest
+
 from basketcast.streaming import daily_sales_stream, transaction_stream
 
 SCHEMA = "TransactionID string, Date string, ProductID string, Quantity string"
@@ -18,3 +20,8 @@ def test_daily_sales_over_arriving_files(spark, tmp_path):
     finally:
         q.stop()
     assert rows == {("2024-01-01", "A"): 10.0}
+
+
+def test_stream_without_transaction_id_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="transaction id"):
+        transaction_stream(spark, str(tmp_path), "Date string, ProductID string, Quantity string")

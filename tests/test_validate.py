@@ -1,6 +1,7 @@
 import datetime as dt
 
-from basketcast.operators.validate import MSG_OK, MSG_PRODUCTS, MSG_ROWS, MSG_SPAN, MSG_TXNS, MSG_WARN, validate
+from basketcast.operators.validate import (MSG_DATE, MSG_OK, MSG_PRODUCTS, MSG_QUANTITY, MSG_ROWS, MSG_SPAN, MSG_TXNS,
+                                             MSG_WARN, validate)
 
 
 def _df(spark, rows):
@@ -21,3 +22,12 @@ def test_rule_order(spark):
     assert validate(_df(spark, good)) == (True, MSG_OK)
     warn = good + [("T99", d0, "A", 0.0)]
     assert validate(_df(spark, warn)) == (True, MSG_WARN)
+
+
+def test_schema_is_judged_without_reading_rows(spark):
+    text = spark.createDataFrame([("T", "2024-01-01", "A", 1.0)], "TransactionID string, Date string, ProductID string, Quantity double")
+    assert validate(text) == (False, MSG_DATE)
+    words = spark.createDataFrame([("T", dt.date(2024, 1, 1), "A", "x")], "TransactionID string, Date date, ProductID string, Quantity string")
+    assert validate(words) == (False, MSG_QUANTITY)
+    ok, message = validate(words.drop("Date", "TransactionID"))
+    assert not ok and "Date" in message and "TransactionID" in message
