@@ -7,6 +7,8 @@ equals the level-wise result because support is anti-monotone.
 
 from __future__ import annotations
 
+from basketcast.operators import validate as v
+
 
 def _expand_r6(sql: str) -> str:
     """``r6(x, 6)`` -> ``round((x) + 1e-10, 6)``: the same tie-robust rounding the Spark side uses."""
@@ -41,17 +43,19 @@ def tx(product: str = "p_brand") -> str:
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part pt ON l.l_partkey = pt.p_partkey)"""
 
 
-LINES = """lines AS (
+LINES = """lines AS MATERIALIZED (
   SELECT TransactionID, ProductID, SUM(Quantity) AS Quantity FROM transactions
   GROUP BY TransactionID, ProductID HAVING SUM(Quantity) > 0)"""
 
 DAILY = """daily AS (SELECT Date, ProductID, SUM(Quantity) AS Quantity FROM transactions GROUP BY Date, ProductID)"""
 
 FORECAST = """fc AS (
-  SELECT CAST(m.d + CAST(r.k AS INTEGER) AS DATE) AS Date, a.ProductID, a.m AS Predicted_Quantity
-  FROM (SELECT ProductID, AVG(Quantity) AS m FROM daily GROUP BY ProductID) a,
-       (SELECT MAX(Date) AS d FROM transactions) m,
-       range(1, 31) r(k))"""
+  SELECT g.Date, g.ProductID, COALESCE(w.m, g.m) AS Predicted_Quantity
+  FROM (SELECT CAST(m.d + CAST(r.k AS INTEGER) AS DATE) AS Date, a.ProductID, a.m
+        FROM (SELECT ProductID, AVG(Quantity) AS m FROM daily GROUP BY ProductID) a,
+             (SELECT MAX(Date) AS d FROM daily) m, range(1, 31) r(k)) g
+  LEFT JOIN (SELECT ProductID, isodow(Date) AS dow, AVG(Quantity) AS m FROM daily GROUP BY 1, 2) w
+    ON w.ProductID = g.ProductID AND w.dow = isodow(g.Date))"""
 
 
 def itemsets(min_support: float) -> str:
@@ -67,23 +71,35 @@ c4 AS (SELECT [a.i, b.i, c.i, d.i] AS items, COUNT(*) AS freq FROM bl a
        JOIN bl b ON a.t = b.t AND a.i < b.i JOIN bl c ON b.t = c.t AND b.i < c.i
        JOIN bl d ON c.t = d.t AND c.i < d.i
        GROUP BY a.i, b.i, c.i, d.i),
-itemsets AS (
+itemsets AS MATERIALIZED (
   SELECT items, CAST(len(items) AS INTEGER) AS size, freq, freq / n AS support,
          array_to_string(items, ', ') AS itemsets_str
   FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4) u, nb
   WHERE freq / n >= CAST({min_support} AS DOUBLE))"""
 
 
+def _splits() -> str:
+    """``(size, left positions, right positions)`` of every split of a set of 2 to 4 items."""
+    rows = []
+    for size in (2, 3, 4):
+        for mask in range(1, (1 << size) - 1):
+            left = [i + 1 for i in range(size) if mask >> i & 1]
+            right = [i + 1 for i in range(size) if not mask >> i & 1]
+            rows.append(f"({size}, {left}, {right})")
+    return ", ".join(rows)
+
+
 def rules(min_confidence: float, min_lift: float) -> str:
-    return f"""splits AS (
-  SELECT items, support, unnest(generate_series(1, (1 << size) - 2)) AS mask FROM itemsets WHERE size >= 2),
-sides AS (
-  SELECT list_filter(items, lambda x, i: ((mask >> (i - 1)) & 1) = 1) AS ant,
-         list_filter(items, lambda x, i: ((mask >> (i - 1)) & 1) = 0) AS con, support FROM splits),
+    return f"""splits(size, l, r) AS (VALUES {_splits()}),
+sides AS MATERIALIZED (
+  SELECT list_select(i.items, p.l) AS ant, list_select(i.items, p.r) AS con, i.support,
+         array_to_string(list_select(i.items, p.l), ', ') AS ant_str,
+         array_to_string(list_select(i.items, p.r), ', ') AS con_str
+  FROM itemsets i JOIN splits p ON p.size = i.size),
 r0 AS (
   SELECT s.ant, s.con, a.support AS a, c.support AS c, s.support AS s
-  FROM sides s JOIN itemsets a ON a.items = s.ant JOIN itemsets c ON c.items = s.con),
-rules AS (
+  FROM sides s JOIN itemsets a ON a.itemsets_str = s.ant_str JOIN itemsets c ON c.itemsets_str = s.con_str),
+rules AS MATERIALIZED (
   SELECT ant AS antecedents, con AS consequents, a AS antecedent_support, c AS consequent_support, s AS support,
          s / a AS confidence, (s / a) / c AS lift, s - a * c AS leverage,
          CASE WHEN s / a >= 1 THEN CAST('Infinity' AS DOUBLE) ELSE (1 - c) / (1 - s / a) END AS conviction,
@@ -230,8 +246,8 @@ bstock AS (
   FROM j2 GROUP BY antecedents_str, consequents_str, items, confidence, lift)"""
 
 
-def _sql() -> dict[str, str]:
-    b = brand_rules()
+def _sql(b: list[str]) -> dict[str, str]:
+    """All SQL; ``b`` are the CTEs of the rules (the product is theirs)."""
     t = type_rules()
     q: dict[str, str] = {}
     q["clean_transactions"] = with_(tx()) + "SELECT TransactionID, Date, ProductID, Quantity, Price FROM transactions"
@@ -241,17 +257,12 @@ SELECT strftime(Date, '%Y%m%d') || '_' || CAST(row_number() OVER (PARTITION BY D
 FROM (SELECT CAST(o.o_orderdate AS DATE) AS Date, pt.p_brand AS ProductID, l.l_quantity AS Quantity,
              l.l_orderkey AS k1, l.l_linenumber AS k2
       FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part pt ON l.l_partkey = pt.p_partkey) s"""
-    q["validation_profile"] = with_(tx()) + """
+    q["validation_profile"] = with_(tx()) + f"""
 SELECT n_rows, n_products, n_transactions, min_date, max_date, date_span_days, n_nonpositive,
        NOT (n_rows < 10 OR n_products < 2 OR n_transactions < 5 OR COALESCE(date_span_days, 0) < 7) AS is_valid,
-       CASE WHEN n_rows < 10 THEN 'Data has fewer than 10 records. More data is needed for meaningful analysis.'
-            WHEN n_products < 2 THEN 'Data needs at least 2 unique products for association analysis.'
-            WHEN n_transactions < 5 THEN 'Data needs at least 5 unique transactions for meaningful analysis.'
-            WHEN COALESCE(date_span_days, 0) < 7
-              THEN 'Data spans less than 7 days. More historical data is needed for forecasting.'
-            WHEN n_nonpositive > 0 THEN 'Warning: Some quantity values are negative or zero. They are kept in daily '
-              || 'sales and inventory statistics and removed from basket lines.'
-            ELSE 'Data validation successful.' END AS message
+       CASE WHEN n_rows < 10 THEN '{v.MSG_ROWS}' WHEN n_products < 2 THEN '{v.MSG_PRODUCTS}'
+            WHEN n_transactions < 5 THEN '{v.MSG_TXNS}' WHEN COALESCE(date_span_days, 0) < 7 THEN '{v.MSG_SPAN}'
+            WHEN n_nonpositive > 0 THEN '{v.MSG_WARN}' ELSE '{v.MSG_OK}' END AS message
 FROM (SELECT COUNT(*) AS n_rows, COUNT(DISTINCT ProductID) AS n_products,
              COUNT(DISTINCT TransactionID) AS n_transactions, MIN(Date) AS min_date, MAX(Date) AS max_date,
              CAST(MAX(Date) - MIN(Date) AS INTEGER) AS date_span_days,
@@ -406,7 +417,7 @@ SELECT ProductID, r6(avg_daily_demand, 6) AS avg_daily_demand, r6(demand_std_dev
        safety_stock, r6(lead_time_demand, 6) AS lead_time_demand, reorder_point, eoq, days_of_supply FROM recs"""
     q["top_reorder"] = with_(*inv) + \
         "SELECT ProductID, reorder_point FROM recs ORDER BY reorder_point DESC, ProductID LIMIT 10"
-    binv = [tx(), LINES, itemsets(0.01), rules(0.1, 1.0), DAILY, FORECAST, STATS]
+    binv = [*b, DAILY, FORECAST, STATS]
     q["bundle_inventory"] = with_(*binv, bundle_stock("TRUE")) + "SELECT * FROM bstock"
     q["bundle_stock"] = with_(*binv, bundle_stock("confidence >= CAST(0.12 AS DOUBLE) AND lift >= CAST(1.02 AS DOUBLE)")) \
         + "SELECT * FROM bstock"
@@ -420,9 +431,9 @@ SELECT antecedents_str AS Antecedents, consequents_str AS Consequents, printf('%
        printf('%.3f', confidence) AS Confidence, printf('%.3f', lift) AS Lift
 FROM rules ORDER BY {ORDER_LIFT} LIMIT 10"""
     q["top_rules_by_lift"] = with_(*b) + f"""
-SELECT {RULE_COLS} FROM rules WHERE lift >= (SELECT MIN(lift) FROM rules) ORDER BY {ORDER_LIFT} LIMIT 20"""
+SELECT {RULE_COLS} FROM rules WHERE lift >= CAST(1.01 AS DOUBLE) ORDER BY {ORDER_LIFT} LIMIT 20"""
     q["top_rules_by_confidence"] = with_(*b) + f"""
-SELECT {RULE_COLS} FROM rules WHERE lift >= (SELECT MIN(lift) FROM rules) ORDER BY {ORDER_CONF} LIMIT 10"""
+SELECT {RULE_COLS} FROM rules WHERE lift >= CAST(1.01 AS DOUBLE) ORDER BY {ORDER_CONF} LIMIT 10"""
     q["rule_labels"] = with_(*t) + """
 SELECT antecedents_str, consequents_str,
        antecedents[1] || CASE WHEN len(antecedents) > 1 THEN '+' || CAST(len(antecedents) - 1 AS VARCHAR) ELSE '' END
@@ -440,7 +451,7 @@ LEFT JOIN cell c ON c.lo = least(a.ProductID, b.ProductID) AND c.hi = greatest(a
     q["association_report"] = with_(*b) + f"""
 SELECT antecedents_str AS Antecedents, consequents_str AS Consequents, printf('%.4f', support) AS Support,
        printf('%.4f', confidence) AS Confidence, printf('%.4f', lift) AS Lift
-FROM (SELECT * FROM rules WHERE lift >= CAST(10 * 0.1 AS DOUBLE) ORDER BY {ORDER_LIFT} LIMIT 20) t
+FROM (SELECT * FROM rules WHERE lift >= CAST(10 * 0.102 AS DOUBLE) ORDER BY {ORDER_LIFT} LIMIT 20) t
 ORDER BY {ORDER_LIFT} LIMIT 10"""
     q["rules_min_lift"] = with_(*b) + f"SELECT {RULE_COLS} FROM rules WHERE lift >= CAST(1.05 AS DOUBLE)"
     ins = [*b, DAILY, FORECAST]
@@ -459,12 +470,66 @@ SELECT main_product, r6(main_product_forecast, 6) AS main_product_forecast, asso
        lift, product_rank, rule_rank FROM insights"""
     q["recommendation_text"] = with_(*ins, insights) + """
 SELECT main_product, product_rank, rule_rank,
-       printf('Product %s is forecasted to have high demand (%.2f units). It''s frequently purchased with %s. '
-              || 'Consider bundling these products or ensuring sufficient inventory for the associated products as '
-              || 'well. The association has a confidence of %.2f and a lift of %.2f.',
+       printf('%s: %.2f units forecast. Often sold together with %s (confidence %.2f, lift %.2f): '
+              || 'stock them together or offer a bundle.',
               main_product, main_product_forecast, associated_products, confidence, lift) AS recommendation
 FROM insights ORDER BY product_rank, rule_rank LIMIT 5"""
+    sel = "('Brand#11', 'Brand#23', 'Brand#3', 'Brand#14')"
+    q["inventory_selected"] = with_(tx().replace("transactions AS (", "every AS ("),
+        "transactions AS (SELECT * FROM every WHERE ProductID <> 'Brand#23' OR Date < DATE '1998-06-01')",
+        DAILY.replace("transactions", "every"), FORECAST,
+        STATS.replace("SELECT greatest(MAX(Date) - MIN(Date), 1) FROM transactions",
+                      f"SELECT greatest(MAX(Date) - MIN(Date), 1) FROM transactions WHERE ProductID IN {sel}")) + f"""
+SELECT ProductID, safety_stock, r6(lead_time_demand, 6) AS lead_time_demand, reorder_point, eoq, days_of_supply
+FROM recs WHERE ProductID IN {sel}"""
+    q["safety_stock_99"] = with_(tx()) + """
+SELECT ProductID, r6(mean, 6) AS mean, r6(std, 6) AS std,
+       CAST(ceil(CASE WHEN std IS NULL OR std = 0 THEN mean * 0.2 ELSE std * 2.326 * sqrt(14) END) AS BIGINT) AS safety_stock
+FROM (SELECT ProductID, AVG(Quantity) AS mean, stddev_samp(Quantity) AS std FROM transactions GROUP BY ProductID) s"""
+    q["product_filter"] = with_(tx()) + f"""
+SELECT ProductID, COUNT(*) AS n, 'list' AS how FROM transactions WHERE ProductID IN {sel} GROUP BY ProductID
+UNION ALL
+SELECT ProductID, COUNT(*) AS n, 'semi' AS how FROM transactions GROUP BY ProductID HAVING SUM(Quantity) % 2 = 0"""
+    q["product_history"] = with_(tx(), DAILY) + "SELECT Date, ProductID, Quantity FROM daily WHERE ProductID = 'Brand#11'"
+    q["forecast_stats_one"] = with_(tx(), DAILY, FORECAST) + """
+SELECT ProductID, r6(SUM(Predicted_Quantity), 6) AS total, r6(AVG(Predicted_Quantity), 6) AS average,
+       r6(MIN(Predicted_Quantity), 6) AS min, r6(MAX(Predicted_Quantity), 6) AS max
+FROM fc WHERE ProductID = 'Brand#23' GROUP BY ProductID"""
+    q["display_rounding"] = with_(tx()) + """
+SELECT TransactionID, ProductID, round_even(Quantity / 8, 2) AS eighths, round_even(Quantity / 2, 0) AS halves, Quantity
+FROM transactions"""
+    q["clean_messy"] = """
+SELECT TransactionID, Date, ProductID, SUM(Quantity) AS Quantity, COUNT(*) AS n, r6(SUM(Price), 6) AS price
+FROM (SELECT CAST(l.l_orderkey AS VARCHAR) AS TransactionID, CAST(o.o_orderdate AS DATE) AS Date, pt.p_brand AS ProductID,
+             CASE WHEN CAST(l.l_quantity AS INTEGER) % 10 = 5 THEN -CAST(CAST(l.l_quantity AS INTEGER) AS DOUBLE)
+                  ELSE CAST(CAST(l.l_quantity AS INTEGER) AS DOUBLE) END AS Quantity, pt.p_retailprice AS Price
+      FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part pt ON l.l_partkey = pt.p_partkey
+      WHERE l.l_linenumber NOT IN (6, 7) AND CAST(l.l_quantity AS INTEGER) % 10 NOT IN (3, 7)) c
+GROUP BY TransactionID, Date, ProductID"""
+    q["csv_upload"] = q["clean_messy"]
+    tt = [*type_rules(), DAILY, FORECAST]
+    q["csv_roundtrip"] = with_(*tt, insights) + """
+SELECT 'rules' AS report, antecedents_str || '|' || consequents_str AS line FROM rules
+UNION ALL SELECT 'forecast', CAST(Date AS VARCHAR) || '|' || ProductID FROM fc
+UNION ALL SELECT 'summary', ProductID FROM (SELECT DISTINCT ProductID FROM fc) a
+UNION ALL SELECT 'insights', main_product || '|' || associated_products FROM insights
+UNION ALL SELECT 'plan', ProductID FROM (SELECT DISTINCT ProductID FROM fc) b"""
     return q
 
 
-ORACLE_SQL: dict[str, str] = {k: _expand_r6(v) for k, v in _sql().items()}
+def _all() -> dict[str, str]:
+    """The queries over brands, and the rule queries again over product types (``_multi``)."""
+    sql = _sql(brand_rules())
+    typed = _sql(type_rules())
+    sql |= {f"{name}_multi": typed[name] for name in MULTI}
+    return {k: _expand_r6(text) for k, text in sql.items()}
+
+
+# Rule queries that are registered over both products.
+MULTI = [
+    "top_associations", "product_bundles", "cross_sell", "all_rule_bundles", "associated_products", "associated_forecast",
+    "associated_sales_comparison", "rule_item_frequency", "association_feature", "forecast_features", "bundle_inventory",
+    "top_rules_table", "top_rules_by_lift", "top_rules_by_confidence", "lift_matrix", "association_report", "rules_min_lift",
+    "combined_insights", "recommendation_text",
+]
+ORACLE_SQL: dict[str, str] = _all()

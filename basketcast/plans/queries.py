@@ -8,21 +8,29 @@ order are rounded to 6 places on both sides; item sets are compared as
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketcast.operators import (baskets, daily, features, forecast, inventory, itemsets, reports,
                                   rule_views, validate)
-from basketcast.operators.clean import normalize_transactions
+from basketcast.operators.clean import filter_products, normalize_transactions
 from basketcast.plans import fixtures as fx
+from basketcast.plans import flows
+from basketcast.plans.oracle import MULTI
+from basketcast.session import cut_lineage, ensure_checkpoint_dir
+from basketcast.sources.sinks import write_csv
 from basketcast.sources.transactions import tpch_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 RULE_COLS = ["antecedents_str", "consequents_str", "support", "confidence", "lift"]
 METRIC_COLS = ["antecedents_str", "consequents_str", "antecedent_support", "consequent_support", "support",
                "confidence", "lift", "leverage", "conviction", "zhangs_metric", "jaccard", "certainty", "kulczynski"]
+TOP_LIFT = 1.01  # inside the range of lifts of the mined rules
+SELECTED = ["Brand#11", "Brand#23", "Brand#3", "Brand#14"]
 SCENARIOS = {"base": {}, "promotion": {"Brand#11": 1.25, "Brand#23": 1.5}, "shortage": {"Brand#11": 0.6}}
 
 
@@ -95,32 +103,32 @@ def q_association_rules_brand(spark, sf):
     return fx.rules(spark, sf, fx.BRAND).select(*METRIC_COLS)
 
 
-def q_top_associations(spark, sf):
-    return rule_views.top_associations(fx.rules(spark, sf), 5).select("ProductID", "rank", *RULE_COLS)
+def q_top_associations(spark, sf, product=fx.BRAND):
+    return rule_views.top_associations(fx.rules(spark, sf, product), 5).select("ProductID", "rank", *RULE_COLS)
 
 
-def q_product_bundles(spark, sf):
-    out = rule_views.product_bundles(fx.rules(spark, sf), min_confidence=0.12, min_lift=1.02)
+def q_product_bundles(spark, sf, product=fx.BRAND):
+    out = rule_views.product_bundles(fx.rules(spark, sf, product), min_confidence=0.12, min_lift=1.02)
     return out.select("antecedents_str", "consequents_str", F.array_join("items", ", ").alias("items_str"),
                       "confidence", "lift")
 
 
-def q_cross_sell(spark, sf):
-    return rule_views.cross_sell(fx.rules(spark, sf)).select("ProductID", *RULE_COLS)
+def q_cross_sell(spark, sf, product=fx.BRAND):
+    return rule_views.cross_sell(fx.rules(spark, sf, product)).select("ProductID", *RULE_COLS)
 
 
-def q_all_rule_bundles(spark, sf):
-    out = rule_views.all_rule_bundles(fx.rules(spark, sf))
+def q_all_rule_bundles(spark, sf, product=fx.BRAND):
+    out = rule_views.all_rule_bundles(fx.rules(spark, sf, product))
     return out.select("antecedents_str", "consequents_str", F.array_join("items", ", ").alias("items_str"),
                       F.size("items").alias("n_items"), "confidence", "lift")
 
 
-def q_associated_products(spark, sf):
-    return rule_views.associated_products(fx.rules(spark, sf), 5)
+def q_associated_products(spark, sf, product=fx.BRAND):
+    return rule_views.associated_products(fx.rules(spark, sf, product), 5)
 
 
-def q_associated_forecast(spark, sf):
-    out = rule_views.associated_forecast(fx.rules(spark, sf), fx.stand_in_forecast(spark, sf))
+def q_associated_forecast(spark, sf, product=fx.BRAND):
+    out = rule_views.associated_forecast(fx.rules(spark, sf, product), fx.stand_in_forecast(spark, sf, product))
     return out.withColumn("avg_predicted_demand", r6("avg_predicted_demand"))
 
 
@@ -143,9 +151,9 @@ def q_top_products(spark, sf):
     return daily.top_products(fx.transactions(spark, sf), 15)
 
 
-def q_associated_sales_comparison(spark, sf):
-    tx = fx.transactions(spark, sf)
-    return rule_views.associated_sales_comparison(daily.daily_sales(tx), fx.rules(spark, sf))
+def q_associated_sales_comparison(spark, sf, product=fx.BRAND):
+    tx = fx.transactions(spark, sf, product)
+    return rule_views.associated_sales_comparison(daily.daily_sales(tx), fx.rules(spark, sf, product))
 
 
 def q_forecast_summary(spark, sf):
@@ -154,8 +162,8 @@ def q_forecast_summary(spark, sf):
                       r6("min").alias("min"), r6("max").alias("max"))
 
 
-def q_rule_item_frequency(spark, sf):
-    return rule_views.rule_item_frequency(fx.rules(spark, sf))
+def q_rule_item_frequency(spark, sf, product=fx.BRAND):
+    return rule_views.rule_item_frequency(fx.rules(spark, sf, product))
 
 
 def q_demand_stats(spark, sf):
@@ -164,9 +172,9 @@ def q_demand_stats(spark, sf):
 
 
 # ---------------------------------------------------------------- windows and features
-def _features(spark, sf, rules=False):
-    tx = fx.transactions(spark, sf)
-    return features.forecast_features(tx, fx.rules(spark, sf) if rules else None)
+def _features(spark, sf, rules=False, product=fx.BRAND):
+    tx = fx.transactions(spark, sf, product)
+    return features.forecast_features(tx, fx.rules(spark, sf, product) if rules else None)
 
 
 def q_time_features(spark, sf):
@@ -188,14 +196,14 @@ def q_rolling_std(spark, sf):
     return _features(spark, sf).select("Date", "ProductID", r6("Quantity_RollingStd7").alias("Quantity_RollingStd7"))
 
 
-def q_association_feature(spark, sf):
-    tx = fx.transactions(spark, sf)
-    out = features.association_feature(daily.daily_sales(tx), fx.rules(spark, sf))
+def q_association_feature(spark, sf, product=fx.BRAND):
+    tx = fx.transactions(spark, sf, product)
+    out = features.association_feature(daily.daily_sales(tx), fx.rules(spark, sf, product))
     return out.select("Date", "ProductID", r6(features.ASSOCIATION_FEATURE).alias(features.ASSOCIATION_FEATURE))
 
 
-def q_forecast_features(spark, sf):
-    feats = _features(spark, sf, rules=True)
+def q_forecast_features(spark, sf, product=fx.BRAND):
+    feats = _features(spark, sf, rules=True, product=product)
     exact = ["Date", "ProductID", "Quantity", *features.TIME_FEATURES, *[f"Quantity_Lag{k}" for k in features.LAGS]]
     rounded = [c for c in feats.columns if c not in exact]
     return feats.select(*exact, *[r6(c).alias(c) for c in rounded])
@@ -213,28 +221,26 @@ def q_train_split(spark, sf):
 
 
 def q_future_grid(spark, sf):
-    return forecast.future_grid(fx.transactions(spark, sf), horizon=fx.HORIZON)
+    return forecast.future_grid(fx.daily_table(spark, sf), horizon=fx.HORIZON)
 
 
-_MODELS: dict[str, forecast.ForecastModel] = {}
+def q_demand_forecast(spark, sf):
+    return flows.demand_forecast(fx.transactions(spark, sf), rules=fx.rules(spark, sf), horizon=fx.HORIZON)[1]
 
 
 def _model(spark, sf):
-    if sf not in _MODELS:
-        _MODELS[sf] = forecast.train_model(fx.transactions(spark, sf), rules=fx.rules(spark, sf))
-    return _MODELS[sf]
-
-
-def q_demand_forecast(spark, sf):
-    return forecast.predict_demand(_model(spark, sf), fx.transactions(spark, sf), horizon=fx.HORIZON)
+    """Daily table, rules and the fitted model, trained by every query that needs it."""
+    daily_, rules = fx.daily_table(spark, sf), fx.rules(spark, sf)
+    return daily_, rules, forecast.train_model(daily_, rules=rules)
 
 
 def q_feature_importance(spark, sf):
-    return forecast.feature_importance(_model(spark, sf))
+    return forecast.feature_importance(_model(spark, sf)[2])
 
 
 def q_holdout_accuracy(spark, sf):
-    return forecast.evaluate_holdout(_model(spark, sf), fx.transactions(spark, sf), rules=fx.rules(spark, sf))
+    daily_, rules, model = _model(spark, sf)
+    return forecast.evaluate_holdout(model, daily_, rules=rules)
 
 
 def q_forecast_accuracy(spark, sf):
@@ -252,12 +258,14 @@ def q_scenario_forecast(spark, sf):
 
 
 def q_actual_vs_forecast(spark, sf):
-    out = forecast.actual_vs_forecast(fx.transactions(spark, sf), fx.stand_in_forecast(spark, sf))
+    days = fx.daily_table(spark, sf)
+    out = forecast.actual_vs_forecast(days, fx.stand_in_forecast(spark, sf, daily=days))
     return out.select("series", "ProductID", "Date", r6("Quantity").alias("Quantity"))
 
 
 def q_forecast_report(spark, sf):
-    out = forecast.forecast_report(fx.stand_in_forecast(spark, sf), fx.transactions(spark, sf))
+    days = fx.daily_table(spark, sf)
+    out = forecast.forecast_report(fx.stand_in_forecast(spark, sf, daily=days), days)
     return out.select("ProductID", "ForecastDate", r6("Predicted_Quantity").alias("Predicted_Quantity"))
 
 
@@ -292,10 +300,10 @@ def q_top_reorder(spark, sf):
     return inventory.top_reorder(_recs(spark, sf), 10).select("ProductID", "reorder_point")
 
 
-def q_bundle_inventory(spark, sf):
-    tx = fx.transactions(spark, sf)
-    bundles = rule_views.all_rule_bundles(fx.rules(spark, sf))
-    out = inventory.bundle_inventory(tx, fx.stand_in_forecast(spark, sf), bundles)
+def q_bundle_inventory(spark, sf, product=fx.BRAND):
+    tx = fx.transactions(spark, sf, product)
+    bundles = rule_views.all_rule_bundles(fx.rules(spark, sf, product))
+    out = inventory.bundle_inventory(tx, fx.stand_in_forecast(spark, sf, product), bundles)
     return out.drop("confidence", "lift")
 
 
@@ -305,46 +313,42 @@ def q_inventory_plan(spark, sf):
 
 
 # ---------------------------------------------------------------- report tables
-def q_top_rules_table(spark, sf):
-    return rule_views.top_rules_table(fx.rules(spark, sf), 10)
+def q_top_rules_table(spark, sf, product=fx.BRAND):
+    return rule_views.top_rules_table(fx.rules(spark, sf, product), 10)
 
 
-def q_top_rules_by_lift(spark, sf):
-    rules = fx.rules(spark, sf)
-    min_lift = rules.agg(F.min("lift")).first()[0]
-    return rule_views.top_rules(rules, "lift", 20, min_lift).select(*RULE_COLS)
+def q_top_rules_by_lift(spark, sf, product=fx.BRAND):
+    return rule_views.top_rules(fx.rules(spark, sf, product), "lift", 20, TOP_LIFT).select(*RULE_COLS)
 
 
-def q_top_rules_by_confidence(spark, sf):
-    rules = fx.rules(spark, sf)
-    min_lift = rules.agg(F.min("lift")).first()[0]
-    return rule_views.top_rules(rules, "confidence", 10, min_lift).select(*RULE_COLS)
+def q_top_rules_by_confidence(spark, sf, product=fx.BRAND):
+    return rule_views.top_rules(fx.rules(spark, sf, product), "confidence", 10, TOP_LIFT).select(*RULE_COLS)
 
 
 def q_rule_labels(spark, sf):
     return rule_views.rule_labels(fx.rules(spark, sf, fx.TYPE))
 
 
-def q_lift_matrix(spark, sf):
-    tx = fx.transactions(spark, sf)
-    return rule_views.lift_matrix(fx.rules(spark, sf), daily.top_products(tx, 15))
+def q_lift_matrix(spark, sf, product=fx.BRAND):
+    tx = fx.transactions(spark, sf, product)
+    return rule_views.lift_matrix(fx.rules(spark, sf, product), daily.top_products(tx, 15))
 
 
-def q_association_report(spark, sf):
-    return rule_views.association_report(fx.rules(spark, sf), min_support=0.1)
+def q_association_report(spark, sf, product=fx.BRAND):
+    return rule_views.association_report(fx.rules(spark, sf, product), min_support=0.102)
 
 
-def q_rules_min_lift(spark, sf):
-    return rule_views.rules_min_lift(fx.rules(spark, sf), 1.05).select(*RULE_COLS)
+def q_rules_min_lift(spark, sf, product=fx.BRAND):
+    return rule_views.rules_min_lift(fx.rules(spark, sf, product), 1.05).select(*RULE_COLS)
 
 
-def q_combined_insights(spark, sf):
-    out = reports.combined_insights(fx.rules(spark, sf), fx.stand_in_forecast(spark, sf))
+def q_combined_insights(spark, sf, product=fx.BRAND):
+    out = reports.combined_insights(fx.rules(spark, sf, product), fx.stand_in_forecast(spark, sf, product))
     return out.withColumn("main_product_forecast", r6("main_product_forecast"))
 
 
-def q_recommendation_text(spark, sf):
-    ins = reports.combined_insights(fx.rules(spark, sf), fx.stand_in_forecast(spark, sf))
+def q_recommendation_text(spark, sf, product=fx.BRAND):
+    ins = reports.combined_insights(fx.rules(spark, sf, product), fx.stand_in_forecast(spark, sf, product))
     return reports.recommendation_text(ins, 5)
 
 
@@ -355,6 +359,96 @@ def q_bundle_stock(spark, sf):
     return inventory.bundle_inventory(tx, fx.stand_in_forecast(spark, sf), bundles).drop("confidence", "lift")
 
 
+# ---------------------------------------------------------------- selections, messy input, files
+def q_inventory_selected(spark, sf):
+    """Advice for some products only: the lead time starts where the forecast of all products starts."""
+    tx = fx.transactions(spark, sf).where("ProductID <> 'Brand#23' OR Date < DATE'1998-06-01'")  # one stops selling early
+    recs, _ = flows.inventory_advice(tx, fx.stand_in_forecast(spark, sf), products=SELECTED)
+    return recs.select("ProductID", "safety_stock", r6("lead_time_demand").alias("lead_time_demand"), "reorder_point", "eoq",
+                       "days_of_supply")
+
+
+def q_safety_stock_99(spark, sf):
+    out = inventory.safety_stock(fx.transactions(spark, sf), service_level=0.99, lead_time_days=14)
+    return out.select("ProductID", r6("mean").alias("mean"), r6("std").alias("std"), "safety_stock")
+
+
+def q_product_filter(spark, sf):
+    """Rows of the selected products by an IN list, of all products by a semi join with itself."""
+    tx = fx.transactions(spark, sf)
+    listed = filter_products(tx, SELECTED).groupBy("ProductID").agg(F.count(F.lit(1)).alias("n"))
+    big = tx.groupBy("ProductID").agg(F.sum("Quantity").alias("q")).where("q % 2 = 0").select("ProductID")
+    semi = filter_products(tx, big).groupBy("ProductID").agg(F.count(F.lit(1)).alias("n"))
+    return listed.withColumn("how", F.lit("list")).unionByName(semi.withColumn("how", F.lit("semi")))
+
+
+def q_product_history(spark, sf):
+    return daily.product_history(daily.daily_sales(fx.transactions(spark, sf)), SELECTED[:1]).select("Date", "ProductID", "Quantity")
+
+
+def q_forecast_stats_one(spark, sf):
+    out = forecast.forecast_summary(fx.stand_in_forecast(spark, sf), SELECTED[1:2])
+    return out.select("ProductID", *[r6(c).alias(c) for c in ("total", "average", "min", "max")])
+
+
+def q_display_rounding(spark, sf):
+    """Halves and other values, rounded half to even for display."""
+    halves = fx.transactions(spark, sf).select("TransactionID", "ProductID", (F.col("Quantity") / 8).alias("eighths"),
+                                              (F.col("Quantity") / 2).alias("halves"), "Quantity")
+    out = reports.rounded(halves, 2, ["eighths"])
+    return reports.rounded(out, 0, ["halves"])
+
+
+def _messy(spark, sf):
+    """The test tables as an export would hold them: odd headers, text everywhere, three date
+    formats, quantities that are not numbers, missing keys."""
+    n = F.col("l_linenumber")
+    day = F.col("o_orderdate").cast("date")
+    date = (F.when(n == 1, F.date_format(day, "MM/dd/yyyy")).when(n == 2, F.date_format(day, "MMM d, yyyy"))
+            .when(n == 7, F.lit(None)).otherwise(F.date_format(day, "yyyy-MM-dd")))
+    whole = F.col("l_quantity").cast("int")
+    quantity = (F.when(whole % 10 == 3, F.lit("n/a")).when(whole % 10 == 7, F.lit(None))
+                .when(whole % 10 == 5, F.concat(F.lit("-"), whole.cast("string"))).otherwise(whole.cast("string")))
+    return tpch_lines(spark, sf).select(
+        date.alias("Order Date"), F.col("l_orderkey").alias("Invoice-No"), F.when(n != 6, F.col("_product")).alias("SKU"),
+        F.col("_product").alias("Product Name"), quantity.alias("Qty"), F.col("p_retailprice").cast("string").alias("Price"))
+
+
+def _cleaned(df):
+    return df.groupBy("TransactionID", "Date", "ProductID").agg(
+        F.sum("Quantity").alias("Quantity"), F.count(F.lit(1)).alias("n"), r6(F.sum("Price")).alias("price"))
+
+
+def q_clean_messy(spark, sf):
+    return _cleaned(normalize_transactions(_messy(spark, sf)))
+
+
+def _scratch(spark, name):
+    """A folder for files that every machine sees: below ``spark.checkpoint.dir``."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def q_csv_upload(spark, sf):
+    """The messy table as a folder of CSV files, read back by the upload step."""
+    path = write_csv(_messy(spark, sf), _scratch(spark, "sales"))
+    return _cleaned(flows.upload(spark, path, fmt="csv").transactions)
+
+
+def q_csv_roundtrip(spark, sf):
+    """The report sinks: rules, forecast, summary, insights and plan written as CSV and read back."""
+    rules, fc = cut_lineage(fx.rules(spark, sf, fx.TYPE)), cut_lineage(fx.stand_in_forecast(spark, sf, fx.TYPE))
+    tables = {"rules": rules.select("antecedents", "consequents"), "forecast": fc.select("Date", "ProductID"),
+              "summary": forecast.forecast_summary(fc).select("ProductID"),
+              "insights": reports.combined_insights(rules, fc).select("main_product", "associated_products"),
+              "plan": inventory.inventory_plan(fc).select("ProductID")}
+    out = None
+    for name, df in tables.items():
+        back = spark.read.option("header", True).csv(write_csv(df, _scratch(spark, name)))
+        lines = back.select(F.lit(name).alias("report"), F.concat_ws("|", *[f"`{c}`" for c in back.columns]).alias("line"))
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
 QUERIES: dict[str, Query] = {
     "clean_transactions": q_clean_transactions,
     "synth_txn_id": q_synth_txn_id,
@@ -418,4 +512,16 @@ QUERIES: dict[str, Query] = {
     "rules_min_lift": q_rules_min_lift,
     "combined_insights": q_combined_insights,
     "recommendation_text": q_recommendation_text,
+    "inventory_selected": q_inventory_selected,
+    "safety_stock_99": q_safety_stock_99,
+    "product_filter": q_product_filter,
+    "product_history": q_product_history,
+    "forecast_stats_one": q_forecast_stats_one,
+    "display_rounding": q_display_rounding,
+    "clean_messy": q_clean_messy,
+    "csv_upload": q_csv_upload,
+    "csv_roundtrip": q_csv_roundtrip,
 }
+
+# Queries over rules, again over product types: rules with up to three items on a side.
+QUERIES |= {f"{name}_multi": partial(QUERIES[name], product=fx.TYPE) for name in MULTI}

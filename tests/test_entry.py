@@ -1,13 +1,18 @@
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
 import __spark_entry__ as E
+from basketcast.plans.queries import QUERIES
 from conftest import SF_SMALL
 
 CHECKED = ["daily_sales", "frequent_itemsets", "association_rules_brand", "association_feature",
-           "inventory_recommendations", "bundle_inventory", "lift_matrix", "train_split", "synth_txn_id"]
+           "inventory_recommendations", "inventory_selected", "clean_messy", "csv_upload", "bundle_inventory_multi",
+           "association_feature_multi", "rule_labels", "bundle_inventory", "lift_matrix", "train_split", "synth_txn_id"]
 
 
 def test_entry_runs(spark):
@@ -18,7 +23,17 @@ def test_entry_runs(spark):
 
 def test_every_sql_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(E.queries()) - set(E.oracle_sql()) == E.NO_SQL
+    assert set(QUERIES) - set(E.oracle_sql()) == E.NO_SQL
+
+
+def test_entry_stands_without_the_text_subpackage(tmp_path):
+    # as after deleting the subpackage and the pipeline: the rest imports and keeps its queries
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    shutil.copytree(os.path.join(root, "basketcast"), tmp_path / "basketcast", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()))"],
+                         cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert out.stdout.split()[-2:] == [str(len(QUERIES)), str(len(QUERIES) - len(E.NO_SQL))], out.stderr
 
 
 def _norm(v):

@@ -8,11 +8,13 @@ uses from the fact table.
 import pytest
 
 import __spark_entry__ as E
+from basketcast.plans.queries import QUERIES
 from conftest import SF_SMALL
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 # The model-based queries train boosted trees; their plans are covered by the forecast tests.
-PLANNED = sorted(set(E.queries()) - E.NO_SQL)
+# ``_multi`` queries are the same plans over another product column.
+PLANNED = sorted(q for q in set(QUERIES) - E.NO_SQL if not q.endswith("_multi"))
 
 
 def _plan(df) -> str:
@@ -30,3 +32,11 @@ def test_fact_scan_reads_only_used_columns(spark):
     assert "l_quantity" in plan
     for unused in ("l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate", "o_totalprice"):
         assert unused not in plan
+
+
+@pytest.mark.parametrize("name,scans", [("demand_stats", 1), ("safety_stock", 1), ("scenario_forecast", 0), ("inventory_plan", 0),
+                                        ("forecast_report", 0), ("actual_vs_forecast", 0)])
+def test_fact_table_is_read_once(spark, name, scans):
+    # forecasts and what follows from them read the daily table, which is written once
+    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    assert plan.count("lineitem.parquet") <= scans
