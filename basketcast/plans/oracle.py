@@ -429,7 +429,7 @@ FROM (SELECT ProductID, a, mx, CASE WHEN mx > a THEN (mx - a) * 1.5 ELSE a * 0.2
     q["top_rules_table"] = with_(*b) + f"""
 SELECT antecedents_str AS Antecedents, consequents_str AS Consequents, printf('%.3f', support) AS Support,
        printf('%.3f', confidence) AS Confidence, printf('%.3f', lift) AS Lift
-FROM rules ORDER BY {ORDER_LIFT} LIMIT 10"""
+FROM (SELECT * FROM rules ORDER BY {ORDER_LIFT} LIMIT 10) t"""
     q["top_rules_by_lift"] = with_(*b) + f"""
 SELECT {RULE_COLS} FROM rules WHERE lift >= CAST(1.01 AS DOUBLE) ORDER BY {ORDER_LIFT} LIMIT 20"""
     q["top_rules_by_confidence"] = with_(*b) + f"""
@@ -451,8 +451,8 @@ LEFT JOIN cell c ON c.lo = least(a.ProductID, b.ProductID) AND c.hi = greatest(a
     q["association_report"] = with_(*b) + f"""
 SELECT antecedents_str AS Antecedents, consequents_str AS Consequents, printf('%.4f', support) AS Support,
        printf('%.4f', confidence) AS Confidence, printf('%.4f', lift) AS Lift
-FROM (SELECT * FROM rules WHERE lift >= CAST(10 * 0.102 AS DOUBLE) ORDER BY {ORDER_LIFT} LIMIT 20) t
-ORDER BY {ORDER_LIFT} LIMIT 10"""
+FROM (SELECT * FROM (SELECT * FROM rules WHERE lift >= CAST(10 * 0.102 AS DOUBLE) ORDER BY {ORDER_LIFT} LIMIT 20) x
+      ORDER BY {ORDER_LIFT} LIMIT 10) t"""
     q["rules_min_lift"] = with_(*b) + f"SELECT {RULE_COLS} FROM rules WHERE lift >= CAST(1.05 AS DOUBLE)"
     ins = [*b, DAILY, FORECAST]
     insights = f"""insights AS (
@@ -529,7 +529,7 @@ def _all() -> dict[str, str]:
 MULTI = [
     "top_associations", "product_bundles", "cross_sell", "all_rule_bundles", "associated_products", "associated_forecast",
     "associated_sales_comparison", "rule_item_frequency", "association_feature", "forecast_features", "bundle_inventory",
-    "top_rules_table", "top_rules_by_lift", "top_rules_by_confidence", "lift_matrix", "association_report", "rules_min_lift",
+    "top_rules_table", "top_rules_by_lift", "top_rules_by_confidence", "lift_matrix", "association_report",
     "combined_insights", "recommendation_text",
 ]
 ORACLE_SQL: dict[str, str] = _all()
