@@ -44,7 +44,7 @@ from basketcast.session import cut_lineage
 
 LEAST = 400
 GRAM = 64
-GROUP = 20_000      # different phrases of one trigger that are compared in one task
+GROUP = 5_000       # different phrases of one trigger that are compared in one task
 BUFFER = 1 << 20    # bytes parsed at once
 _PLACE_BITS = np.uint64(28)
 _BASE = 0x2545F4914F6CDD1B  # 3 modulo 8
@@ -325,23 +325,33 @@ def repeated_parts(contested: DataFrame, least: int) -> DataFrame:
             .mapInArrow(run, "trigger long, name long, low int, high int"))
 
 
-_PLACE_TYPES = [("name", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int64()), ("size", pa.int32())]
+_PLACE_TYPES = [("name", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int64()), ("last", pa.int64()),
+                ("size", pa.int32())]
 
 
 def places(source: DataFrame, wanted, least: int) -> DataFrame:
-    """``name, k1, k2, at, size``: where phrases that pass ``wanted`` stand in the distinct texts (named by k1, k2)."""
+    """``name, k1, k2, at, last, size``: where phrases that pass ``wanted`` stand in the distinct texts (named by k1, k2).
+
+    A phrase that follows itself (a text with a short period) is one row from its first place to
+    its last: phrases next to each other begin less than ``least`` bytes apart, and their repeated
+    parts have ``least`` bytes, so what the row covers has no gaps.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for data, starts, ends, keys, offsets in buffers(batches, least, once=True):
             low, size, _, _, name = parse(data, starts, ends, least)
             if not len(low):
                 continue
-            hit = np.flatnonzero(bits[bit_of(name)])
-            text = np.searchsorted(starts, low[hit], side="right") - 1
-            halves = np.array([split_key(k) for k in keys], dtype=np.int64).reshape(-1, 2)[text]
-            yield _arrow(_PLACE_TYPES, name[hit], halves[:, 0], halves[:, 1], low[hit] - starts[text] + offsets[text], size[hit])
+            text = np.searchsorted(starts, low, side="right") - 1
+            first = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (text[1:] != text[:-1])])
+            last = np.r_[first[1:], len(name)] - 1
+            hit = bits[bit_of(name[first])]
+            first, last = first[hit], last[hit]
+            at = low - starts[text] + offsets[text]
+            halves = np.array([split_key(k) for k in keys], dtype=np.int64).reshape(-1, 2)[text[first]]
+            yield _arrow(_PLACE_TYPES, name[first], halves[:, 0], halves[:, 1], at[first], at[last], size[first])
 
-    return source.select("text").mapInArrow(run, "name long, k1 long, k2 long, at long, size int")
+    return source.select("text").mapInArrow(run, "name long, k1 long, k2 long, at long, last long, size int")
 
 
 def split_key(key: bytes) -> tuple[int, int]:
@@ -429,7 +439,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, group: int = GROUP, id_c
     placed = places(source, key_filter(parts.select("name")), least).join(parts, "name")
     stretch = F.transform("parts", lambda p: F.struct(
         (F.col("at") + p["low"]).alias("low"),
-        (F.col("at") + F.when(p["high"] < 0, F.col("size")).otherwise(p["high"])).alias("high")))
+        (F.col("last") + F.when(p["high"] < 0, F.col("size")).otherwise(p["high"])).alias("high")))
     by_text = cut_lineage(placed.select("k1", "k2", stretch.alias("stretches")).distinct().groupBy("k1", "k2")
                           .agg(F.flatten(F.collect_list("stretches")).alias("covered")))
 
