@@ -7,7 +7,9 @@ cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark import StorageLevel
@@ -30,6 +32,7 @@ def build_session(master: str | None = None, app_name: str = "basketcast",
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.sql.session.timeZone", "UTC")
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.driver.memory", os.environ.get("BASKETCAST_DRIVER_MEMORY", "8g"))
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
@@ -65,6 +68,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="basketcast-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)  # this process's own folder
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -24,8 +24,3 @@ def flatten_arrays(df: DataFrame, sep: str = ", ") -> DataFrame:
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     flatten_arrays(df).write.mode(mode).option("header", True).csv(path)
     return path
-
-
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.write.mode(mode).parquet(path)
-    return path
