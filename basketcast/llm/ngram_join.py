@@ -8,18 +8,20 @@ only.  A pair that meets must also pass
 
 * the length filter (the smaller set has ``threshold`` of the larger's size),
 * the positional filter (the places of the shared shingle leave room for the overlap),
-* the suffix filter (the sets' counts in eight hash ranges differ by no more than the
-  symmetric difference allows),
+* the suffix filter (each node has a sketch of two bits per shingle, the parities of its
+  hash buckets; the bits in which two sketches differ are at most the symmetric difference),
 
 before its sets are fetched and intersected, once per pair.
 
-Frequencies for the order come from all documents: counts per hash bucket (a table whose
-size is the parameter ``buckets``).  Any order is exact; the counts only make prefixes rare.
+Frequencies for the order come from all documents: counts per hash bucket, in ``BUCKETS``
+buckets, a parameter to raise with the corpus (what several shingles share a bucket for is noise
+in the counts).  Any order is exact; the counts only make prefixes rare.
 
 The answer is a component per document, so pairs inside one component need not all be
 looked at.  Round one verifies, per meeting shingle, neighbours by size and everyone
-with the first; its links give components.  Round two verifies every remaining pair
-that meets and lies in different components.  No link between different components is
+with the first; its links give components.  Round two does the same with neighbours that lie
+in different components.  Round three verifies every remaining pair that meets and lies in
+different components.  No link between different components is
 lost, and a large group of near copies costs its size, not its square.
 
 Nulls, empty texts and texts without words have no shingles and link with nothing.
@@ -29,6 +31,7 @@ but is never a component's id unless the component has no other.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,12 +46,12 @@ from basketcast.llm.text import columns_of, id_text, rows_out, sorted_runs
 from basketcast.session import cut_lineage
 
 PERCENT = 75
-BUCKETS = 1 << 18
-_PART = 1 << 12          # buckets per row while counts travel
+BUCKETS = 1 << 22
+_PART = 1 << 15          # buckets per row while counts travel
 _SEEN = 500_000          # nodes a task remembers to emit equal sets once
 
-_MARK_TYPES = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("part", pa.int32()),
-               ("counts", pa.binary())]
+_MARK_TYPES = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()),
+               ("part", pa.int32()), ("counts", pa.binary())]
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -63,54 +66,89 @@ def least_overlap(n_a, n_b, percent: int):
     return -(-(percent * (n_a + n_b)) // (100 + percent))
 
 
+def sketch_of(grams: np.ndarray) -> bytes:
+    """Parities of a set's hash buckets; about two buckets per shingle, a power of two of them."""
+    bits = 1 << max(6, (2 * len(grams) - 1).bit_length())
+    parity = np.bincount((grams >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer folded to the shorter: at most the symmetric difference."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    n, m = 8 * len(a), 8 * len(b)
+    while n > m:
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    while m > n:
+        m //= 2
+        y = (y >> m) ^ (y & ((1 << m) - 1))
+    return (x ^ y).bit_count()
+
+
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document, then the task's shingle counts by bucket."""
-    counts, seen = np.zeros(BUCKETS, dtype=np.int64), set()
+    """A row per document, then the task's shingle counts by bucket (a byte each, written whenever one is full)."""
+    counts, seen = np.zeros(BUCKETS, dtype=np.uint8), set()
+
+    def out():
+        parts = ((p, counts[p * _PART:(p + 1) * _PART]) for p in range(BUCKETS // _PART))
+        return rows_out([(None, None, None, None, p, zlib.compress(c.tobytes(), 1)) for p, c in parts if c.any()], _MARK_TYPES)
+
     for batch in batches:
         rows = []
         for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
             grams = shingle_set(text)
             node = node_of(grams) if len(grams) else None
-            rows.append((doc_id, len(grams), node, None, None))
-            if node is not None and node not in seen:
+            fresh = node is not None and node not in seen
+            rows.append((doc_id, len(grams), node, sketch_of(grams) if fresh else None, None, None))
+            if fresh:
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(node)
-                np.add.at(counts, (grams & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                at, n = np.unique((grams & np.uint64(BUCKETS - 1)).astype(np.int32), return_counts=True)
+                total = counts[at] + n  # a set's own count per bucket is small
+                if total.max() > 255:
+                    yield out()
+                    counts[:] = 0
+                    total = np.minimum(n, 255)
+                counts[at] = total
         yield rows_out(rows, _MARK_TYPES)
-    if seen:
-        small = counts.astype("<u4")
-        yield rows_out([(None, None, None, p, small[p * _PART:(p + 1) * _PART].tobytes())
-                        for p in range(BUCKETS // _PART)], _MARK_TYPES)
+    yield out()
 
 
 def sum_parts(rows: DataFrame) -> DataFrame:
-    """Sum of ``counts`` (unsigned 32-bit, saturating) per ``part``, streamed."""
+    """Sum of ``counts`` (compressed bytes in, unsigned 32-bit out) per ``part``, streamed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(*columns_of(batch, "part", "counts"), strict=True):
-                more = np.frombuffer(counts, dtype="<u4").astype(np.uint64)
-                sums[part] = sums[part] + more if part in sums else more
-        yield rows_out([(p, np.minimum(s, 0xFFFFFFFF).astype("<u4").tobytes()) for p, s in sums.items()],
+                more = np.frombuffer(zlib.decompress(counts), dtype=np.uint8)
+                if part in sums:
+                    sums[part] += more
+                else:
+                    sums[part] = more.astype(np.uint32)
+        yield rows_out([(p, s.astype("<u4").tobytes()) for p, s in sums.items()],
                        [("part", pa.int32()), ("counts", pa.binary())])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.select("part", "counts").repartition(n, "part").mapInArrow(run, "part int, counts binary")
 
 
-def _octants(grams: np.ndarray) -> int:
-    """Counts of a set in eight hash ranges, a byte each (clipped, which keeps differences lower bounds)."""
-    counts = np.minimum(np.bincount((grams >> np.uint64(61)).astype(np.int64), minlength=8), 255).astype(np.uint8)
-    return int(np.frombuffer(counts.tobytes(), dtype="<i8")[0])
+_PREFIX_TYPES = [("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("place", pa.int32()),
+                 ("small", pa.int64())]
 
 
-_PREFIX_TYPES = [("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("place", pa.int32()),
-                 ("octants", pa.int64())]
+def small_sketch(grams: np.ndarray) -> int:
+    """The sketch folded to 64 bits: settles short sets where they meet."""
+    x, n = int.from_bytes(sketch_of(grams), "little"), 8 * len(sketch_of(grams))
+    while n > 64:
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def prefix_rows(source: DataFrame, frequency, percent: int) -> DataFrame:
-    """``gram, node, n, place, octants``: the rare-first prefix of every distinct set."""
+    """``gram, node, n, place, small``: the rare-first prefix of every distinct set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, seen = frequency.value, set()
@@ -130,7 +168,7 @@ def prefix_rows(source: DataFrame, frequency, percent: int) -> DataFrame:
                 take = n + (-percent * n) // 100 + 1
                 rank = freq[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 first = np.lexsort((grams, rank))[:take] if take < n else np.lexsort((grams, rank))
-                held.append((grams[first], node, n, _octants(grams)))
+                held.append((grams[first], node, n, small_sketch(grams)))
                 size += take
                 if size > 200_000:
                     yield _prefix_batch(held)
@@ -138,7 +176,7 @@ def prefix_rows(source: DataFrame, frequency, percent: int) -> DataFrame:
             if held:
                 yield _prefix_batch(held)
 
-    return source.select("text").mapInArrow(run, "gram long, node long, n int, place int, octants long")
+    return source.select("text").mapInArrow(run, "gram long, node long, n int, place int, small long")
 
 
 def _prefix_batch(held: list) -> pa.RecordBatch:
@@ -150,22 +188,20 @@ def _prefix_batch(held: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=pa.schema(_PREFIX_TYPES))
 
 
-def passes(n_a, place_a, oct_a, n_b, place_b, oct_b, percent: int) -> np.ndarray:
-    """Length, positional and suffix filters, on arrays."""
+def passes(n_a, place_a, small_a, n_b, place_b, small_b, percent: int) -> np.ndarray:
+    """Length and positional filters, and the suffix filter on 64 bits, on arrays."""
     n_a, n_b = n_a.astype(np.int64), n_b.astype(np.int64)
     need = least_overlap(n_a, n_b, percent)
     room = np.minimum(place_a, place_b) + np.minimum(n_a - place_a, n_b - place_b)
-    a = np.ascontiguousarray(oct_a, dtype="<i8").view(np.uint8).reshape(-1, 8).astype(np.int64)
-    b = np.ascontiguousarray(oct_b, dtype="<i8").view(np.uint8).reshape(-1, 8).astype(np.int64)
-    apart = np.abs(a - b).sum(axis=1)
+    apart = np.bitwise_count(small_a.view(np.uint64) ^ small_b.view(np.uint64)).astype(np.int64)
     return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (room >= need) & (apart <= n_a + n_b - 2 * need)
 
 
-_NAMES = ["gram", "node", "n", "place", "octants"]
+_NAMES = ["gram", "node", "n", "place", "small"]
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Only rows of grams that two or more nodes hold, each (gram, node) once."""
+    """Only rows of grams that two or more nodes hold, each (gram, node) once, with ``many``: more than two do."""
     for cols in sorted_runs(batches, _NAMES):
         gram, node = cols[0], cols[1]
         fresh = np.ones(len(gram), dtype=bool)
@@ -177,7 +213,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many[1:] |= same
         many[:-1] |= same
         if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in cols], schema=pa.schema(_PREFIX_TYPES))
+            gram = gram[many]
+            edges = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True])
+            crowd = np.repeat(np.diff(edges) > 2, np.diff(edges))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[many]) for c in cols), pa.array(crowd)],
+                                             schema=pa.schema([*_PREFIX_TYPES, ("many", pa.bool_())]))
 
 
 _PAIR_TYPES = [("a", pa.int64()), ("b", pa.int64())]
@@ -189,42 +229,83 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
                                       schema=pa.schema(_PAIR_TYPES))
 
 
+def _steps_between(percent: int):
+    """Round two: neighbours by size in different components, and the first of each component with the gram's first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, node, n, place, small, label in sorted_runs(batches, [*_NAMES, "label"]):
+            order = np.lexsort((label, n, gram))
+            gram, node, n, place, small, label = (c[order] for c in (gram, node, n, place, small, label))
+            new = np.r_[True, gram[1:] != gram[:-1]]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
+            _, lead = np.unique(np.stack([gram, label], axis=1), axis=0, return_index=True)
+            i = np.flatnonzero(~new)
+            left, right = np.r_[i - 1, first[lead]], np.r_[i, lead]
+            ok = label[left] != label[right]
+            left, right = left[ok], right[ok]
+            ok = passes(n[left], place[left], small[left], n[right], place[right], small[right], percent)
+            yield _pair_batch(node[left[ok]], node[right[ok]])
+    return run
+
+
 def _near_pairs(percent: int):
     """Round one: neighbours by size, and everyone with the first of the gram."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, node, n, place, octants in sorted_runs(batches, _NAMES):
+        for gram, node, n, place, small in sorted_runs(batches, _NAMES):
             order = np.lexsort((node, n, gram))
-            gram, node, n, place, octants = (c[order] for c in (gram, node, n, place, octants))
+            gram, node, n, place, small = (c[order] for c in (gram, node, n, place, small))
             new = np.r_[True, gram[1:] != gram[:-1]]
             first = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
             i = np.flatnonzero(~new)
             left, right = np.r_[i - 1, first[i]], np.r_[i, i]
-            ok = passes(n[left], place[left], octants[left], n[right], place[right], octants[right], percent)
+            ok = passes(n[left], place[left], small[left], n[right], place[right], small[right], percent)
             yield _pair_batch(node[left[ok]], node[right[ok]])
     return run
 
 
+def folded(sketches: list[bytes]) -> list[np.ndarray | None]:
+    """Sketches by size: ``out[k]`` has a row of 2^k bits (as 64-bit words) for every sketch of at least that size."""
+    sizes = np.array([8 * len(x) for x in sketches])
+    out: list[np.ndarray | None] = [None] * (int(sizes.max()).bit_length() + 1)
+    for k in range(int(sizes.max()).bit_length() - 1, 5, -1):
+        words = (1 << k) // 64
+        rows = np.zeros((len(sketches), words), dtype=np.uint64)
+        own = np.flatnonzero(sizes == 1 << k)
+        if len(own):
+            rows[own] = np.frombuffer(b"".join(sketches[j] for j in own.tolist()), dtype="<u8").reshape(len(own), words)
+        longer = out[k + 1] if k + 1 < len(out) else None
+        if longer is not None:
+            rows |= longer[:, :words] ^ longer[:, words:]  # rows of shorter sketches are zero there
+        out[k] = rows
+    return out
+
+
 def _cross_pairs(percent: int, block: int = 4096):
-    """Round two: pairs of a gram in different components; one row against a block at a time."""
+    """Round three: pairs of a gram in different components that pass all filters, the sketches' included;
+    one row against a block at a time, so what is written is what may be similar, not what meets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, node, n, place, octants, label in sorted_runs(batches, [*_NAMES, "label"]):
+        for gram, node, n, place, small, label, sketch in sorted_runs(batches, [*_NAMES, "label", "sketch"]):
             order = np.lexsort((n, gram))
-            gram, node, n, place, octants, label = (c[order] for c in (gram, node, n, place, octants, label))
+            gram, node, n, place, small, label, sketch = (c[order] for c in (gram, node, n, place, small, label, sketch))
             edges = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True])
             found_a, found_b, held = [], [], 0
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if hi - lo < 3 or (label[lo:hi] == label[lo]).all():
                     continue
+                levels = folded(sketch[lo:hi].tolist())
                 for i in range(lo, hi - 1):
                     # sizes rise, so the partners of i end where they get too large
                     end = lo + int(np.searchsorted(n[lo:hi], 100 * int(n[i]) // percent, side="right"))
+                    rows = levels[(8 * len(sketch[i])).bit_length() - 1]
                     for at in range(i + 1, end, block):
                         j = np.arange(at, min(at + block, end))
                         j = j[label[j] != label[i]]
                         if not len(j):
                             continue
                         k = np.full(len(j), i)
-                        ok = j[passes(n[k], place[k], octants[k], n[j], place[j], octants[j], percent)]
+                        j = j[passes(n[k], place[k], small[k], n[j], place[j], small[j], percent)]
+                        apart = np.bitwise_count(rows[j - lo] ^ rows[i - lo]).sum(axis=1, dtype=np.int64)
+                        size = n[j].astype(np.int64) + int(n[i])
+                        ok = j[apart <= size - 2 * least_overlap(size, 0, percent)]
                         if len(ok):
                             found_a.append(np.full(len(ok), node[i]))
                             found_b.append(node[ok])
@@ -237,14 +318,33 @@ def _cross_pairs(percent: int, block: int = 4096):
     return run
 
 
-def sets_of(source: DataFrame, wanted) -> DataFrame:
-    """``node, grams`` (sorted 64-bit hashes) of the nodes that pass the filter, each once."""
+def sketch_filter(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The suffix filter: pairs whose sketches leave room for the threshold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, b, x, y, n_a, n_b in zip(*columns_of(batch, "a", "b", "x", "y", "n_a", "n_b"), strict=True):
+                if differing_bits(x, y) <= n_a + n_b - 2 * least_overlap(n_a, n_b, percent):
+                    rows.append((a, b))
+            yield rows_out(rows, _PAIR_TYPES)
+
+    left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("n_a"))
+    right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("n_b"))
+    return (pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n_a", "n_b")
+            .mapInArrow(run, "a long, b long"))
+
+
+def sets_of(source: DataFrame, wanted, nodes) -> DataFrame:
+    """``node, grams`` (sorted 64-bit hashes) of the documents whose id passes ``wanted`` (or is null)
+    and whose node passes ``nodes``, each node once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = wanted.value, set()
+        ids, bits, seen = wanted.value, nodes.value, set()
         types = [("node", pa.int64()), ("grams", pa.binary())]
         for batch in batches:
             rows, size = [], 0
-            for (text,) in zip(*columns_of(batch, "text"), strict=True):
+            column = batch.column(batch.schema.get_field_index("doc_id"))
+            hit = ids[bit_of(column.fill_null(0).to_numpy(zero_copy_only=False))] | column.is_null().to_numpy(zero_copy_only=False)
+            for (text,) in zip(*columns_of(batch.filter(pa.array(hit)), "text"), strict=True):
                 grams = shingle_set(text)
                 if not len(grams):
                     continue
@@ -261,11 +361,11 @@ def sets_of(source: DataFrame, wanted) -> DataFrame:
                     rows, size = [], 0
             yield rows_out(rows, types)
 
-    return source.select("text").mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
+    return source.mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
 
 
-def verify(pairs: DataFrame, source: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets reach the threshold."""
+def verify(pairs: DataFrame, source: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets reach the threshold; ``members`` has a document id for each node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -276,7 +376,9 @@ def verify(pairs: DataFrame, source: DataFrame, percent: int) -> DataFrame:
                     rows.append((a, b))
             yield rows_out(rows, _PAIR_TYPES)
 
-    sets = cut_lineage(sets_of(source, key_filter(pairs)))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = members.join(nodes, "node").where("doc_id IS NOT NULL").select("doc_id")
+    sets = sets_of(source, key_filter(ids), key_filter(pairs))
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -287,7 +389,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     spark = docs.sparkSession
     source = id_text(docs, id_col, text_col)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = cut_lineage(source.mapInArrow(_marks, "doc_id long, n_shingles long, node long, part int, counts binary"))
+    marks = cut_lineage(source.mapInArrow(_marks, "doc_id long, n_shingles long, node long, sketch binary, part int, counts binary"))
     counts = np.zeros(BUCKETS, dtype=np.uint32)
     for row in sum_parts(marks.where("part IS NOT NULL")).toLocalIterator():  # BUCKETS numbers in all
         counts[row["part"] * _PART:(row["part"] + 1) * _PART] = np.frombuffer(row["counts"], dtype="<u4")
@@ -295,21 +397,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
     # rows of a gram together; a gram that a third of all sets share stays out of prefixes as long as they hold rarer ones
     by_gram = prefix_rows(source, frequency, percent).repartition(n_parts, "gram").sortWithinPartitions("gram", "node")
-    shared = cut_lineage(by_gram.mapInArrow(_shared, "gram long, node long, n int, place int, octants long"))
-
-    pairs = cut_lineage(shared.repartition(n_parts, "gram").sortWithinPartitions("gram")
-                        .mapInArrow(_near_pairs(percent), "a long, b long").distinct())
-    links = cut_lineage(verify(pairs, source, percent))
-    labels = connected_components(links)
-
-    labelled = (shared.join(labels, "node", "left")
-                .select("gram", "node", "n", "place", "octants", F.coalesce("label", "node").alias("label")))
-    more = cut_lineage(labelled.repartition(n_parts, "gram").sortWithinPartitions("gram")
-                       .mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
-                       .join(pairs, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        found = verify(more, source, percent)
-        labels = connected_components(cut_lineage(links.unionByName(found)))
+    shared = cut_lineage(by_gram.mapInArrow(_shared, "gram long, node long, n int, place int, small long, many boolean"))
+
+    nodes = marks.where("sketch IS NOT NULL").dropDuplicates(["node"]).select("node", "n_shingles", "sketch")
+    members = marks.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+
+    def meet(rows: DataFrame, pairs_of) -> DataFrame:
+        by_gram = rows.repartition(n_parts, "gram").sortWithinPartitions("gram")
+        return by_gram.mapInArrow(pairs_of(percent), "a long, b long").distinct()
+
+    known, links, labels = cut_lineage(meet(shared, _near_pairs)), None, None
+    fresh = known
+    for pairs_of in (_steps_between, _cross_pairs, None):
+        likely = cut_lineage(sketch_filter(fresh, nodes, percent))
+        if labels is None or likely.limit(1).count():
+            found = verify(likely, source, members, percent)
+            links = cut_lineage(found if links is None else links.unionByName(found))
+            labels = connected_components(links)
+        if pairs_of is None:
+            break
+        # grams of two nodes were settled in round one
+        labelled = (shared.where("many").join(labels, "node", "left")
+                    .select("gram", "node", "n", "place", "small", F.coalesce("label", "node").alias("label")))
+        if pairs_of is _cross_pairs:
+            labelled = labelled.join(nodes.select("node", "sketch"), "node")
+        fresh = cut_lineage(meet(labelled, pairs_of).join(known, ["a", "b"], "left_anti"))
+        known = known.unionByName(fresh)
 
     rows = marks.where("part IS NULL").select("doc_id", "n_shingles", "node")
     named = (rows.join(labels, "node", "left")

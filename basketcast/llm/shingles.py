@@ -44,7 +44,9 @@ def shingle_set(text: str) -> np.ndarray:
     h = np.fromiter(map(_HASHES.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     span = min(SHINGLE_WORDS, len(h))
     last = len(h) - span + 1
-    acc = np.full(last, np.uint64(span), dtype=np.uint64)
-    for k in range(span):
-        acc = mix(acc * _MULTIPLIER + h[k:k + last])
+    acc = h[:last] + np.uint64(span)
+    for k in range(1, span):  # a polynomial in an odd base, then mixed: order and place count
+        acc *= _MULTIPLIER
+        acc += h[k:k + last]
+    acc = mix(acc)
     return np.unique(acc)

@@ -92,5 +92,9 @@ def test_filters_never_drop_a_similar_pair():
         assert len(shared)
         arr = lambda v: np.array([v])
         for g in shared:
-            assert ngram_join.passes(arr(len(a)), np.searchsorted(a, arr(g)), arr(ngram_join._octants(a)),
-                                     arr(len(b)), np.searchsorted(b, arr(g)), arr(ngram_join._octants(b)), 75)[0]
+            assert ngram_join.passes(arr(len(a)), np.searchsorted(a, arr(g)), arr(ngram_join.small_sketch(a)),
+                                     arr(len(b)), np.searchsorted(b, arr(g)), arr(ngram_join.small_sketch(b)), 75)[0]
+        apart = len(np.setxor1d(a, b))
+        assert ngram_join.differing_bits(ngram_join.sketch_of(a), ngram_join.sketch_of(b)) <= apart
+        half = b[::3]
+        assert ngram_join.differing_bits(ngram_join.sketch_of(a), ngram_join.sketch_of(half)) <= len(np.setxor1d(a, half))
