@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from basketcast.functions.inventory import service_factor
-from basketcast.session import keep, scalar
+from basketcast.session import cut_lineage, scalar
 
 EOQ_SCHEMA = StructType([StructField("ProductID", StringType()), StructField("annual_demand", DoubleType()),
                          StructField("Price", DoubleType()), StructField("eoq", LongType())])
@@ -56,8 +56,8 @@ def product_stats(hist: DataFrame, grain: str = "line") -> DataFrame:
 
 
 def _stats(hist: DataFrame, grain: str = "line") -> DataFrame:
-    """Accept raw rows or an existing ``product_stats`` table."""
-    return hist if "_total" in hist.columns else keep(product_stats(hist, grain))
+    """Accept raw rows or an existing ``product_stats`` table; a new one (a row per product) is written once."""
+    return hist if "_total" in hist.columns else cut_lineage(product_stats(hist, grain))
 
 
 def safety_stock(hist: DataFrame, service_level: float = 0.95, lead_time_days: int = 7) -> DataFrame:
