@@ -3,6 +3,8 @@
 Labels live in a table; every round takes the smallest label among a node's
 neighbours and then the label of its label, so a path of length n needs about log n
 rounds.  Each round is checkpointed, which ends the lineage and survives lost executors.
+Tasks are as many as the links need (``ROWS_PER_TASK``), so a small graph does not leave a
+file per shuffle partition in every round.
 """
 
 from __future__ import annotations
@@ -12,21 +14,26 @@ from pyspark.sql import functions as F
 
 from basketcast.session import cut_lineage
 
+ROWS_PER_TASK = 200_000
+
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, label`` of every node of ``links`` (columns ``a, b``); label = smallest node."""
     both = cut_lineage(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
                        .where("a <> b").distinct())
+    tasks = max(1, -(-both.count() // ROWS_PER_TASK))
+    both = both.coalesce(tasks)
     labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m"))
-                         .select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+                         .select(F.col("a").alias("node"), F.least("a", "m").alias("label")).coalesce(tasks))
     for _ in range(max_rounds):
-        near = (both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near")))
+        near = (both.join(labels, both["b"] == labels["node"]).select("a", "label").coalesce(tasks)
+                .groupBy("a").agg(F.min("label").alias("near")))
         lower = (labels.join(near, labels["node"] == near["a"])
-                 .select("node", F.least("label", "near").alias("next"), F.col("label").alias("was")))
+                 .select("node", F.least("label", "near").alias("next"), F.col("label").alias("was")).coalesce(tasks))
         parents = labels.select(F.col("node").alias("p"), F.col("label").alias("top"))
         jumped = (lower.join(parents, lower["next"] == parents["p"], "left")
                   .select("node", F.least("next", F.coalesce("top", "next")).alias("label"), "was"))
-        stepped = cut_lineage(jumped)
+        stepped = cut_lineage(jumped.coalesce(tasks))
         labels = stepped.select("node", "label")
         if not stepped.where("label <> was").limit(1).count():
             return labels
