@@ -18,9 +18,16 @@ import numpy as np
 Params = dict[str, np.ndarray]
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def loss_of_softmax(x: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray]:
+    """Summed loss of the entries ``at``, one of each row, and its gradient; ``x`` is used up."""
+    rows = np.arange(len(at))
+    x -= x.max(axis=1, keepdims=True)
+    own = x[rows, at]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    x /= total[:, None]
+    x[rows, at] -= 1
+    return float((np.log(total) - own).sum()), x
 
 
 def log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -115,23 +122,19 @@ class Gru:
             saved.append(gates)
             states.append(h)
         flat, target = np.concatenate(states), y.ravel()
-        rows = np.arange(len(target))
         which = self.class_of(target)
-        logs = log_softmax(flat @ p["outer"] + p["outer_bias"])
-        loss = -float(logs[rows, which].sum())
-        d = np.exp(logs)
-        d[rows, which] -= 1
+        loss, d = loss_of_softmax(flat @ p["outer"] + p["outer_bias"], which)
         g = {"outer": flat.T @ d, "outer_bias": d.sum(axis=0), "inner": np.zeros_like(p["inner"]),
              "inner_bias": np.zeros_like(p["inner_bias"])}
         d_flat = d @ p["outer"].T
-        for c in np.unique(which[which < self.n_head_classes]).tolist():
-            r = np.flatnonzero(which == c)
-            logs = log_softmax(flat[r] @ p["inner"][c] + p["inner_bias"][c])
-            at = target[r] - c * self.block
-            loss -= float(logs[np.arange(len(r)), at].sum())
-            d = np.exp(logs)
-            d[np.arange(len(r)), at] -= 1
-            g["inner"][c], g["inner_bias"][c] = flat[r].T @ d, d.sum(axis=0)
+        order = np.argsort(which, kind="stable")
+        edges = np.searchsorted(which[order], np.arange(self.n_head_classes + 1))
+        for c in np.flatnonzero(np.diff(edges)).tolist():
+            r = order[edges[c]:edges[c + 1]]
+            own = flat[r]
+            more, d = loss_of_softmax(own @ p["inner"][c] + p["inner_bias"][c], target[r] - c * self.block)
+            loss += more
+            g["inner"][c], g["inner_bias"][c] = own.T @ d, d.sum(axis=0)
             d_flat[r] += d @ p["inner"][c].T
         d_states = d_flat.reshape(steps, streams, k)
         g["recurrent"], g["bias"] = np.zeros_like(p["recurrent"]), np.zeros_like(p["bias"])
@@ -151,7 +154,9 @@ class Gru:
             g["bias"] += db.sum(axis=0)
             carry = (dh * update + db @ p["recurrent"].T) * keep[t][:, None]
         g["inputs"] = np.zeros_like(p["inputs"])
-        np.add.at(g["inputs"], x.ravel(), d_inputs.reshape(-1, 3 * k))
+        order = np.argsort(x.ravel(), kind="stable")
+        read, begin = np.unique(x.ravel()[order], return_index=True)
+        g["inputs"][read] = np.add.reduceat(d_inputs.reshape(-1, 3 * k)[order], begin, axis=0)
         return loss, g, h
 
     def train(self, texts: list[np.ndarray], streams: int = 32, window: int = 24, rate: float = 0.01, passes: int = 1,
@@ -171,14 +176,17 @@ class Gru:
             y = np.concatenate([texts[k] for k in order])
             starts = np.concatenate([np.r_[True, np.zeros(len(texts[k]) - 1, dtype=bool)] for k in order])
             x = np.where(starts, self.first, np.r_[0, y[:-1]])
-            length = len(y) // streams  # the few tokens over are in another stream's place the next time
+            length, over = divmod(len(y), streams)
             cut = lambda a: a[:length * streams].reshape(streams, length).T
-            x, y, keep = cut(x), cut(y), cut(~starts).astype(np.float32)
+            rest = lambda a: a[length * streams:].reshape(over, 1)
+            keep = (~starts).astype(np.float32)
+            windows = [tuple(cut(a)[t:t + window] for a in (x, y, keep)) for t in range(0, length, window)]
+            windows += [tuple(rest(a) for a in (x, y, keep))] if over else []  # the few tokens over: a last stream of their own
             h = np.zeros((streams, self.hidden), dtype=np.float32)
-            planned = passes * -(-length // window)
-            for t in range(0, length, window):
-                _, g, h = self.loss_and_gradients(h, x[t:t + window], y[t:t + window], keep[t:t + window])
-                n = x[t:t + window].size
+            planned = passes * len(windows)
+            for part in windows:
+                _, g, h = self.loss_and_gradients(h[-part[0].shape[1]:], *part)
+                n = part[0].size
                 seen += n
                 norm = np.sqrt(sum(float((a * a).sum()) for a in g.values())) / n
                 scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / n)

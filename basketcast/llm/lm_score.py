@@ -8,10 +8,10 @@ join on the word hash.
 Model: a gated recurrent network (``gru``) over symbols: the ``n_head`` most frequent
 words, and ``n_tail`` classes of all other words by their ending.  A tail word's
 probability is its class's probability times (count + 1) / (class total + words + 1), so every
-word, seen or not, has one.  The network is first fitted on ``first_rows`` documents (a
-parameter), then every partition continues on the ``share`` of its own training
-documents, whole texts, and the partitions' weights are averaged by tokens; so what it
-learns from grows with the corpus.
+word, seen or not, has one.  The partitions need a common start: the network is first fitted, in
+one task, on ``first_rows`` documents (a parameter), ``FIRST_CHARS`` characters of each.  Then
+every partition continues on all of its own training documents (``share`` 1), whole texts, and
+the partitions' weights are averaged by tokens; so it learns from every training row.
 
 Score: log10 probability of all tokens of a text, the state carried through windows.
 
@@ -38,7 +38,9 @@ from basketcast.session import cut_lineage
 N_HEAD, N_TAIL, BLOCK, HIDDEN = 1024, 48, 32, 24
 KNOWN_WORDS = 1 << 20
 FIRST_ROWS = 400
-SHARE = 0.03
+FIRST_CHARS = 20_000
+SHARE = 1.0
+STREAMS = 256
 END = b" "  # no word holds a space
 MEMORY_WORDS = 400_000
 _PART = 1 << 14
@@ -215,27 +217,44 @@ def fit(source: DataFrame, vocabulary: Vocabulary, first_rows: int = FIRST_ROWS,
         block: int = BLOCK) -> Gru:
     """The network: fitted on ``first_rows`` training documents, then on ``share`` of all of them in the partitions."""
     spark = source.sparkSession
-    counts = vocabulary.symbol_counts()
-    model = Gru.start(counts, vocabulary.n_head, block, hidden)
+    model = Gru.start(vocabulary.symbol_counts(), vocabulary.n_head, block, hidden)
     training = source.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2)
     pick = F.xxhash64(F.col("doc_id"), F.lit(17))
-    sample = (training.select("doc_id", "text").orderBy(pick, "doc_id").limit(first_rows).toArrow())
-    model.train(_symbols(vocabulary, sample.column("text").to_pylist()), passes=2)
+    started = spark.sparkContext.broadcast((vocabulary, model))
+    size = len(pack_params(model.p))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, start = started.value
+        start.train(_symbols(vocab, [t for batch in batches for t in columns_of(batch, "text")[0]]), passes=2)
+        yield rows_out([(pack_params(start.p).tobytes(),)], [("weights", pa.binary())])
+
+    sample = (training.select(pick.alias("pick"), "doc_id", F.substring("text", 1, FIRST_CHARS).alias("text"))
+              .orderBy("pick", "doc_id").limit(first_rows).select("text"))
+    for row in sample.mapInArrow(first, "weights binary").toLocalIterator():  # one task, one model
+        model.p = unpack_params(np.frombuffer(row["weights"]), model.p)
 
     shared = spark.sparkContext.broadcast((vocabulary, model))
-    size = len(pack_params(model.p))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, start = shared.value
-        texts = []
         own = Gru(start.n_head, start.n_tail, start.block, {n: a.copy() for n, a in start.p.items()})
-        seen = 0
+        known, rows, held, seen = _Known(vocab), [], 0, 0
+
+        def train() -> int:
+            symbols = known.facts()[0]
+            return own.train([symbols[r] for r in rows], streams=STREAMS, rate=0.004)
+
         for batch in batches:
-            texts += columns_of(batch, "text")[0]
-            if sum(map(len, texts)) > 4 << 20:
-                seen += own.train(_symbols(vocab, texts), rate=0.004)
-                texts = []
-        seen += own.train(_symbols(vocab, texts), rate=0.004)
+            for text in columns_of(batch, "text")[0]:
+                words = tokens(text)
+                rows.append(np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)))
+                held += len(words)
+                if held > 700_000:
+                    seen += train()
+                    rows, held = [], 0
+                    if len(known) > MEMORY_WORDS:
+                        known = _Known(vocab)
+        seen += train()
         types = [("part", pa.int32()), ("weights", pa.binary()), ("seen", pa.int64())]
         flat = pack_params(own.p) * seen
         yield rows_out([(k, flat[k * _PART:(k + 1) * _PART].tobytes(), seen) for k in range(-(-len(flat) // _PART))] if seen else [],
@@ -253,7 +272,7 @@ def fit(source: DataFrame, vocabulary: Vocabulary, first_rows: int = FIRST_ROWS,
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "part int, weights binary, seen long"
-    chosen = training.where(F.pmod(pick, F.lit(100_000)) < int(100_000 * share)).select("text")
+    chosen = training.where(F.pmod(pick, F.lit(100_000)) < round(100_000 * share)).select("text")
     flat, found = np.zeros(size), False
     for row in chosen.mapInArrow(learn, schema).repartition(n, "part").mapInArrow(add, schema).toLocalIterator():  # one model
         at = row["part"] * _PART

@@ -99,3 +99,27 @@ def test_held_out_text_is_likelier_than_by_counts(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [r for r in lm_score.score_documents(df, share=0.5).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_every_training_text_is_learned_whole(spark):
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 11, n) for n in (300, 1, 77, 210)]
+    assert small(dtype=np.float32).train(texts, streams=7) == 588  # no token is cut off for an even number of streams
+    rows = [(i, f"plain words of text {i}") for i in range(200)]
+    odd = next(i for i in range(1000, 2000) if not lm_score.held_out(i))
+    scores = []
+    for text in ("zebra quagga okapi " * 40, "okapi zebra quagga " * 40):  # equal counts; only the network tells them apart
+        df = spark.createDataFrame([*rows, (odd, text)], "doc_id long, text string").coalesce(1)
+        scores.append({r.doc_id: r.score for r in lm_score.score_documents(df, first_rows=1).collect()})
+    assert all(scores[0][i] != scores[1][i] for i in range(200))
+
+
+def test_the_first_fit_leaves_no_texts_on_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "a b c " * 50) for i in range(30)], "doc_id long, text string")
+    source = lm_score.id_text(df)
+    vocabulary = lm_score.gather_vocabulary(lm_score.word_counts(source, 5), 20, 5, 100)
+    calls = []  # tasks run in processes of their own
+    train = Gru.train
+    monkeypatch.setattr(Gru, "train", lambda self, *a, **k: calls.append(1) or train(self, *a, **k))
+    lm_score.fit(source, vocabulary, first_rows=10)
+    assert not calls
