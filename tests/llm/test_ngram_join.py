@@ -77,6 +77,15 @@ def test_components_of_a_long_path(spark):
     assert len(labels) == 501 and {r.label for r in labels} == {0}
 
 
+def test_components_of_a_long_path_with_shuffled_names(spark):
+    rng = random.Random(3)
+    names = [rng.getrandbits(63) - (1 << 62) for _ in range(3001)]
+    links = spark.createDataFrame([(a, b) for a, b in zip(names[:1500], names[1:1501])]
+                                  + [(b, a) for a, b in zip(names[1501:], names[1502:])], "a long, b long").repartition(4)
+    labels = {r.node: r.label for r in connected_components(links).collect()}
+    assert labels == {n: min(part) for part in (names[:1501], names[1501:]) for n in part}
+
+
 def test_filters_never_drop_a_similar_pair():
     import numpy as np
     rng = np.random.default_rng(4)
