@@ -49,9 +49,23 @@ _ESCAPED_UNICODE = re.compile(
     r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}"
     r"|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{64,76}\r?\n)+[A-Za-z0-9+/]*={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
-_BYTE_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2}){10,}|(?:\\x[0-9A-Fa-f]{2}){10,}")
+_LATIN = re.compile(r"[\x00-\xff]+")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
-_MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ", b"\x28\xb5\x2f\xfd")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ|\x28\xb5\x2f\xfd")
+_MAGIC_TEXT = re.compile(_MAGIC.pattern.decode("latin-1"))
+_PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]*")
+_WIDE_LE, _WIDE_BE = re.compile(rb"(?:[\t-\x7e]\x00){6}"), re.compile(rb"(?:\x00[\t-\x7e]){6}")
+_UNWRAPS = re.compile(r"[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]{2}|&#[0-9xX]")
+# Escapes that stand for single bytes, plain characters between them for themselves: for compressed data.
+_SHORT = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "v": "\v", "a": "\a", "0": "\0"}
+_NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"'}
+_BYTE_VIEWS = (
+    ("%", re.compile(r"%[0-9A-Fa-f]{2}"), lambda m: chr(int(m.group()[1:], 16))),
+    ("%", re.compile(r"%[0-9A-Fa-f]{2}|\+"), lambda m: " " if m.group() == "+" else chr(int(m.group()[1:], 16))),
+    ("\\", re.compile(r"\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,2}\}|\\[^xuU]"),
+     lambda m: chr(int(m.group()[2:].strip("{}"), 16)) if m.group()[1] in "xu" else _SHORT.get(m.group()[1], m.group()[1])),
+    ("&", re.compile(r"&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:amp|lt|gt|quot);"),
+     lambda m: _NAMED.get(m.group()) or _unicode(m)))
 
 Span = tuple[int, int]
 MAX_LAYER = 32 << 20
@@ -109,39 +123,53 @@ def unescape(text: str, pattern: re.Pattern, value: Callable[[re.Match], str]) -
     return "".join(parts), back
 
 
-class _Zlib:
-    def __init__(self):
-        self.inner, self.rest = zlib.decompressobj(47), b""
-
-    def step(self, data: bytes) -> bytes:
-        out = self.inner.decompress(self.rest or data, _WINDOW)
-        self.rest = self.inner.unconsumed_tail
-        return out
-
-
-class _Limited:
-    def __init__(self, inner):
-        self.inner, self.fed = inner, False
-
-    def step(self, data: bytes) -> bytes:
-        data, self.fed = (b"" if self.fed else data), True
-        return b"" if self.inner.eof else self.inner.decompress(data, _WINDOW)
+_PIECE = 64
+
+
+def _stream(data: bytes):
+    if data.startswith(b"\x28\xb5\x2f\xfd"):
+        return zstandard.ZstdDecompressor().decompressobj()
+    if data.startswith(b"BZh"):
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data.startswith(b"\xfd7zXZ") else zlib.decompressobj(47)
+
+
+class Inflater:
+    """Windows of the data inside a compressed string, all its members or frames; ends at the first damage.
+    ``used``: bytes read, to the end of the last whole member or, with damage, to within a few bytes of it."""
+
+    def __init__(self, data: bytes):
+        self.data, self.used, self.start, self.whole = data, 0, 0, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        at = 0
+        while _MAGIC.match(self.data, at):
+            stream = _stream(self.data[at:at + 8])
+            limited = not self.data.startswith(b"\x28\xb5\x2f\xfd", at)  # a piece of a zstd frame is at most 16 blocks
+            try:
+                while not stream.eof and at < len(self.data):
+                    piece = self.data[at:at + _PIECE]
+                    at += len(piece)
+                    self.used = at
+                    while True:
+                        out = stream.decompress(piece, _WINDOW) if limited else stream.decompress(piece)
+                        if out:
+                            yield out
+                        piece = getattr(stream, "unconsumed_tail", b"")
+                        if stream.eof or not (piece or limited and len(out) == _WINDOW):
+                            break
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+                return
+            if not stream.eof:
+                return
+            at -= len(stream.unused_data)
+            self.used, self.whole = at, True
+            while self.data[at:at + 1] == b"\0":  # padding between members
+                at += 1
 
 
 def inflate(data: bytes) -> Iterator[bytes]:
-    """Windows of the data inside a compressed string; ends at the first damage."""
-    try:
-        if data.startswith(b"\x28\xb5\x2f\xfd"):
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                while part := reader.read(_WINDOW):
-                    yield part
-            return
-        stream = (_Limited(bz2.BZ2Decompressor()) if data.startswith(b"BZh") else
-                  _Limited(lzma.LZMADecompressor()) if data.startswith(b"\xfd7zXZ") else _Zlib())
-        while part := stream.step(data):
-            yield part
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return
+    return iter(Inflater(data))
 
 
 def as_text(data: bytes) -> str | None:
@@ -152,6 +180,34 @@ def as_text(data: bytes) -> str | None:
     return None if _CONTROL.search(text) else text
 
 
+def damaged_texts(data: bytes) -> Iterator[str]:
+    """Readings of bytes that are no clean text: UTF-8 with the damage replaced, UTF-16 from its first run; only
+    those with a finding or something to unwrap."""
+    readings = [data.decode("utf-8", "replace")]
+    if b"\0" in data:
+        le, be = _WIDE_LE.search(data), _WIDE_BE.search(data)
+        first = min((m for m in (le, be) if m), key=lambda m: m.start(), default=None)
+        if first:
+            readings.append(data[first.start():].decode("utf-16-le" if first is le else "utf-16-be", "replace"))
+    for text in readings:
+        if _UNWRAPS.search(text) or scan(text):
+            yield text
+
+
+def compressed_parts(data: bytes) -> Iterator[Inflater]:
+    """Compressed strings at any place of ``data``, in order, each after the end of the one before."""
+    at = 0
+    while m := _MAGIC.search(data, at):
+        at = m.start() + 1
+        head = data[m.start():m.start() + 64]
+        if _PRINTABLE.fullmatch(head) and not head.startswith(b"BZh"):
+            continue  # plain text
+        part = Inflater(data[m.start():])
+        part.start = m.start()
+        yield part
+        at = max(at, m.start() + (part.used if part.whole else 1))
+
+
 def _readings(run: str) -> Iterator[bytes]:
     """Bytes a base64 run may stand for: from its start, else from one of the next three places."""
     body = re.sub(r"[\r\n=]", "", run).replace("-", "+").replace("_", "/")
@@ -172,12 +228,17 @@ class Scanner:
 
     def bytes_layers(self, data: bytes, place: Span, found: set) -> Iterator[str]:
         """Text layers in decoded bytes: as they stand, or inside compression."""
-        if not data.startswith(_MAGIC):
-            if (text := as_text(data)) is not None:
-                yield text
+        if (text := as_text(data)) is not None:
+            yield text
             return
+        yield from damaged_texts(data)
+        for part in compressed_parts(data):
+            yield from self.inflated(part, place, found)
+
+    def inflated(self, stream: Inflater, place: Span, found: set) -> Iterator[str]:
+        """Text layers inside a compressed string."""
         held, size, tail = [], 0, ""
-        for part in inflate(data):
+        for part in stream:
             size += len(part)
             if size <= self.max_layer:
                 held.append(part)
@@ -222,17 +283,18 @@ class Scanner:
             for m in _BASE64.finditer(layer):
                 place = back(m.span())
                 for data in _readings(m.group()):
-                    inner = list(self.bytes_layers(data, place, found))
-                    for new in inner:
+                    for new in self.bytes_layers(data, place, found):
                         enter(new, lambda span, place=place: place, place)
-                    if inner:
-                        break
-            if "%" in layer or "\\x" in layer:
-                for m in _BYTE_RUN.finditer(layer):
-                    data = bytes.fromhex(re.sub(r"%|\\x", "", m.group()))
-                    if data.startswith(_MAGIC):
-                        place = back(m.span())
-                        for new in self.bytes_layers(data, place, found):
+            views = [(layer, lambda span: span)]
+            views += [v for mark, pattern, value in _BYTE_VIEWS if mark in layer and (v := unescape(layer, pattern, value))]
+            for view, step in views:
+                for run in _LATIN.finditer(view) if _MAGIC_TEXT.search(view) else ():
+                    for part in compressed_parts(run.group().encode("latin-1")):
+                        lo, inner = run.start() + part.start, set()
+                        texts = list(self.inflated(part, whole, inner))
+                        place = back(step((lo, lo + max(part.used, 1))))
+                        found.update((place[0], kind, place[1]) for _, kind, _ in inner)
+                        for new in texts:
                             enter(new, lambda span, place=place: place, place)
         return base, found, layers
 

@@ -77,3 +77,30 @@ def test_frame(spark):
     assert len(rows) == len(ROWS)
     assert {r.doc_id: r.spans for r in rows if r.spans} == {8: "hex:0:3000"}  # "aaa..." is a hexadecimal run
     assert scan_secrets(empty(spark)).count() == 0
+
+
+def test_compressed_bytes_behind_the_standard_escapes():
+    import json
+    from urllib.parse import quote_plus
+    for k in range(20):
+        secret = f"note {k} {SECRET} {'x' * k}".encode()
+        for pack in (zlib.compress, gzip.compress, bz2.compress, zstandard.ZstdCompressor().compress):
+            data = pack(secret)
+            latin = data.decode("latin-1")
+            for hidden in (quote(data), quote_plus(data), quote(latin), json.dumps(latin), repr(data),
+                           "".join(f"&#{b};" for b in data)):
+                text = f"before {hidden} after"
+                found = [(s, e) for s, kind, e in Scanner().findings(text)[1] if kind == 0]
+                assert any(s >= 7 and e <= len(text) for s, e in found), (pack, hidden)
+
+
+def test_all_members_and_damaged_layers():
+    b64 = lambda b: base64.b64encode(b).decode()
+    secret = SECRET.encode()
+    for pack in (gzip.compress, zlib.compress, bz2.compress, zstandard.ZstdCompressor().compress):
+        assert any(k == 0 for _, k, _ in Scanner().findings(b64(pack(b"first part ") + pack(secret)))[1]), pack
+    for data in (b"\x00 " + secret, b"\xff\xfe\xfa" + secret, SECRET.encode("utf-16"), SECRET.encode("utf-16-be")):
+        for prefix in ("", "path/to/", "key_", "a-"):
+            assert any(k == 0 for _, k, _ in Scanner().findings(prefix + b64(data))[1]), (data, prefix)
+    for prefix in ("path/to/", "key_", "a-"):
+        assert any(k == 0 for _, k, _ in Scanner().findings(prefix + b64(gzip.compress(secret)))[1]), prefix
