@@ -13,9 +13,11 @@ Kinds: ``assign`` (a named credential and its value), ``access`` (an access key
 empty text has no findings; every row is scanned on its own, so repeated rows and ids
 give one result each; an empty frame gives an empty result.
 
-A decompressed layer of up to ``max_layer`` bytes is held and unwrapped like any other.
-A larger one (a decompression bomb) is scanned window by window as it is inflated, so
-memory stays bounded, and is not unwrapped further.
+A decompressed layer of up to ``max_layer`` bytes is held whole.  A larger one (a decompression
+bomb) goes over the worklist as windows of that size, each overlapping half of the one before and
+done with before the next is inflated, so memory stays bounded.  What is no longer than half a
+window lies whole in one of them; a longer base64 run or compressed string in such a layer is
+unwrapped in pieces, the compressed one only up to its window's end.
 """
 
 from __future__ import annotations
@@ -226,33 +228,36 @@ class Scanner:
     def __init__(self, max_layer: int = MAX_LAYER):
         self.max_layer = max_layer
 
-    def bytes_layers(self, data: bytes, place: Span, found: set) -> Iterator[str]:
+    def bytes_layers(self, data: bytes, place: Span, seen: set) -> Iterator[str]:
         """Text layers in decoded bytes: as they stand, or inside compression."""
         if (text := as_text(data)) is not None:
             yield text
             return
         yield from damaged_texts(data)
         for part in compressed_parts(data):
-            yield from self.inflated(part, place, found)
+            yield from self.inflated(part, place, seen)
+
+    def inflated(self, stream: Inflater, place: Span, seen: set) -> Iterator[str]:
+        """Text layers inside a compressed string, window by window if it is too large to hold."""
+        held, size, fresh = [], 0, False
+
+        def window() -> Iterator[str]:
+            data = b"".join(held)
+            key = ("packed", place, hashlib.blake2b(data, digest_size=16).digest())
+            if key not in seen:  # data that unpacks to itself ends here
+                seen.add(key)
+                yield from self.bytes_layers(data, place, seen)
+            half = data[-(self.max_layer // 2):]
+            held[:] = [half]
 
-    def inflated(self, stream: Inflater, place: Span, found: set) -> Iterator[str]:
-        """Text layers inside a compressed string."""
-        held, size, tail = [], 0, ""
         for part in stream:
-            size += len(part)
-            if size <= self.max_layer:
-                held.append(part)
-                continue
-            for window in (held or [part]):  # too large to hold: scan windows that overlap
-                seen = tail + window.decode("utf-8", "replace")
-                found.update((place[0], kind, place[1]) for _, kind, _ in scan(seen))
-                tail = seen[-_OVERLAP:]
-            if held:
-                found.update((place[0], kind, place[1]) for _, kind, _ in scan(tail + part.decode("utf-8", "replace")))
-                tail = (tail + part.decode("utf-8", "replace"))[-_OVERLAP:]
-                held = []
-        if held:
-            yield from self.bytes_layers(b"".join(held), place, found)
+            held.append(part)
+            size, fresh = size + len(part), True
+            if size > self.max_layer:
+                yield from window()
+                size, fresh = len(held[0]), False
+        if fresh:
+            yield from window()
 
     def findings(self, text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int]], int]:
         """``(base findings, all findings, layers scanned)``, as ``(start, kind, end)``."""
@@ -272,8 +277,18 @@ class Scanner:
                     found.add((a, kind, b))
                 work.append((layer, back))
 
-        while work:
-            layer, back = work.pop()
+        def enter_all(texts: Iterator[str], place: Span) -> None:
+            """Enters layers that all lie at ``place``, each done with before the next is made."""
+            for new in texts:
+                level = len(work)
+                enter(new, lambda span: place, place)
+                drain(level)
+
+        def drain(level: int) -> None:
+            while len(work) > level:
+                unwrap(*work.pop())
+
+        def unwrap(layer: str, back: Callable[[Span], Span]) -> None:
             whole = back((0, len(layer)))
             for mark, pattern, value in (("%", _ESCAPED_URL, _url), ("\\", _ESCAPED_UNICODE, _unicode),
                                          ("&#", _ESCAPED_UNICODE, _unicode)):
@@ -283,19 +298,19 @@ class Scanner:
             for m in _BASE64.finditer(layer):
                 place = back(m.span())
                 for data in _readings(m.group()):
-                    for new in self.bytes_layers(data, place, found):
-                        enter(new, lambda span, place=place: place, place)
+                    enter_all(self.bytes_layers(data, place, seen), place)
             views = [(layer, lambda span: span)]
             views += [v for mark, pattern, value in _BYTE_VIEWS if mark in layer and (v := unescape(layer, pattern, value))]
             for view, step in views:
                 for run in _LATIN.finditer(view) if _MAGIC_TEXT.search(view) else ():
                     for part in compressed_parts(run.group().encode("latin-1")):
-                        lo, inner = run.start() + part.start, set()
-                        texts = list(self.inflated(part, whole, inner))
+                        for _ in part:  # once to its end, which gives the place
+                            pass
+                        lo = run.start() + part.start
                         place = back(step((lo, lo + max(part.used, 1))))
-                        found.update((place[0], kind, place[1]) for _, kind, _ in inner)
-                        for new in texts:
-                            enter(new, lambda span, place=place: place, place)
+                        enter_all(self.inflated(part, place, seen), place)
+
+        drain(0)
         return base, found, layers
 
 

@@ -104,3 +104,12 @@ def test_all_members_and_damaged_layers():
             assert any(k == 0 for _, k, _ in Scanner().findings(prefix + b64(data))[1]), (data, prefix)
     for prefix in ("path/to/", "key_", "a-"):
         assert any(k == 0 for _, k, _ in Scanner().findings(prefix + b64(gzip.compress(secret)))[1]), prefix
+
+
+def test_layers_inside_a_large_layer_are_unwrapped():
+    inner = base64.b64encode(SECRET.encode())
+    for hidden in (inner, quote(SECRET, safe="").encode(), base64.b64encode(gzip.compress(SECRET.encode())), b"\xff" + inner):
+        data = b"z " * (1 << 17) + hidden + b" y" * (1 << 17)
+        text = base64.b64encode(gzip.compress(data)).decode()
+        for size in (1 << 16, 1 << 20):  # windows; held whole
+            assert (0, 0, len(text)) in Scanner(max_layer=size).findings(text)[1], (hidden, size)
