@@ -11,4 +11,38 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n
 FROM n JOIN g ON n.t = g.t
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6}
+# Source mix: limited shares by weight, then whole passes and one shorter pass in the order of a hash.
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('s' || source, 't') AS k,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 16) AS o
+  FROM documents
+), s AS (
+  SELECT k, CAST(sum(size) AS HUGEINT) AS words, (row_number() OVER (ORDER BY k) - 1) % 3 + 1 AS w FROM d GROUP BY k
+), r AS (
+  SELECT *, row_number() OVER (ORDER BY words * (6 // w), k) AS n FROM s
+), b AS (
+  SELECT *, sum(words) OVER () - coalesce(sum(words) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3 AS left_words,
+         sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_w
+  FROM r
+), f AS (
+  SELECT n AS first_n, CAST(left_words AS DOUBLE) / CAST(left_w AS DOUBLE) AS share FROM b
+  WHERE w * left_words <= 3 * words * left_w ORDER BY n LIMIT 1
+), t AS (
+  SELECT k, words, CASE WHEN n < first_n THEN CAST(3 * words AS DOUBLE) ELSE w * share END AS target FROM b, f
+), q AS (
+  SELECT *, least(CAST(floor(target + 0.5) AS HUGEINT), 3 * words) AS take FROM t
+), p AS (
+  SELECT d.*, q.words, q.target, CASE WHEN q.words > 0 THEN take // q.words ELSE 0 END AS passes,
+         CASE WHEN q.words > 0 THEN take % q.words ELSE 0 END AS rest,
+         coalesce(sum(size) OVER (PARTITION BY d.k ORDER BY o, doc_id NULLS FIRST, size
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN q ON d.k = q.k
+)
+SELECT doc_id, size, CAST(words AS BIGINT) AS source_size, target,
+       CAST(passes * size + greatest(least(size, rest - start), 0) AS BIGINT) AS taken
+FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6, "op11_source_mix": OP11}

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketcast.llm import bm25, byte_bpe, fingerprint, lm_score, ngram_join, ordinal, packing, pfp, rendezvous, secrets
+from basketcast.llm import (bm25, byte_bpe, fingerprint, lm_score, mixing, ngram_join, ordinal, packing, pfp, rendezvous,
+                            secrets)
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,6 +69,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), BPE_RANKS, PATTERN)
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weigh 1, 2, 3, repeating; as many words as all documents have, 16 shards."""
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
@@ -79,4 +86,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_lm_score": op9_lm_score,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_source_mix": op11_source_mix,
 }
