@@ -45,4 +45,91 @@ SELECT doc_id, size, CAST(words AS BIGINT) AS source_size, target,
 FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6, "op11_source_mix": OP11}
+# Conversation repair: backwards over the rows, the least (cost, letters) for each of the four states.
+def _put(state: str, cost: str, letter: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 't': '{letter}' || {state}.t}}"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+_NEVER = "{'c': 1000000000::BIGINT, 't': ''}"
+
+
+def _if_stays(way: str, also: str = "true") -> str:
+    return f"CASE WHEN r.fault IN (0, 3) AND {also} THEN {way} ELSE {_NEVER} END"
+
+
+def _kept(x: str) -> str:
+    return _if_stays(_put(f"d.{x}", "r.extra", "K"), f"r.x = '{x}'")
+
+
+_TO_USER = (_kept("u"), _if_stays(_put("d.u", "3 + r.extra", "R")))
+_TO_ASSISTANT = (_kept("a"), _if_stays(_put("d.a", "3 + r.extra", "R")))
+OP12 = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n::BIGINT] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations
+), kinds AS (
+  SELECT n.*, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(name, ''), lambda ch: ascii(ch)::BIGINT),
+    lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM named n, crc
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, (SELECT unnest([0, 1]) AS copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+), placed AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM hurt
+), again AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM placed
+), faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN seen > 1 THEN 2
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS fault,
+         lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS two
+  FROM again
+), r AS (SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS extra FROM faults),
+stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM r GROUP BY conv_id
+), dp AS (
+  SELECT conv_id, n AS i, {{'c': 3::BIGINT * 0, 't': ''}} AS e, {{'c': 6::BIGINT, 't': 'II'}} AS s, {{'c': 3::BIGINT, 't': 'I'}} AS u,
+         {{'c': 0::BIGINT, 't': ''}} AS a FROM stats
+  UNION ALL
+  SELECT conv_id, i, {_least("e", _put("u2", "3", "I"))}, {_least("s", _put("u2", "3", "I"))}, u2, {_least("a", _put("u", "3", "I"))}
+  FROM (SELECT *, {_least("u", _put("a", "3", "I"))} AS u2
+        FROM (SELECT d.conv_id, d.i - 1 AS i, {_least(_put("d.e", "4", "D"), _kept("s"), *_TO_USER)} AS e,
+                     {_least(_put("d.s", "4", "D"), *_TO_USER)} AS s, {_least(_put("d.u", "4", "D"), *_TO_ASSISTANT)} AS u,
+                     {_least(_put("d.a", "4", "D"), *_TO_USER)} AS a
+              FROM dp d JOIN r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.i = d.i))
+), best AS (SELECT conv_id, e.c AS cost, e.t AS audit FROM dp WHERE i = 0),
+letters AS (
+  SELECT conv_id, audit, unnest(string_split(audit, '')) AS l, generate_subscripts(string_split(audit, ''), 1) AS nth FROM best WHERE audit <> ''
+), edits AS (
+  SELECT *, count(*) FILTER (l <> 'I') OVER w AS i, count(*) FILTER (l <> 'D') OVER w AS place,
+         count(*) FILTER (l <> 'D') OVER (PARTITION BY conv_id) AS total
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY nth)
+), lines AS (
+  SELECT e.conv_id, e.place, CASE WHEN l = 'K' THEN r.role WHEN (place - total % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+         CASE WHEN l = 'I' THEN '' ELSE r.text END AS line
+  FROM edits e LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i WHERE l <> 'D'
+), joined AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY place) AS body FROM lines GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN joined ON joined.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_conversation_repair": OP12, "op6_exact_dedup": OP6, "op11_source_mix": OP11}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketcast.llm import (bm25, byte_bpe, fingerprint, lm_score, mixing, ngram_join, ordinal, packing, pfp, rendezvous,
-                            secrets)
+                            repair, secrets)
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -75,6 +75,12 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after the fixed damage: its faults and its cheapest repair."""
+    hurt, lost = repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return repair.repair_conversations(hurt, dropped=lost)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
@@ -87,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_source_mix": op11_source_mix,
+    "op12_conversation_repair": op12_conversation_repair,
 }
