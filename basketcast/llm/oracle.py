@@ -132,4 +132,46 @@ LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN joined ON joined.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_conversation_repair": OP12, "op6_exact_dedup": OP6, "op11_source_mix": OP11}
+# Source divergence: every kept term against every two groups of its language, in 128-bit integers.
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), w AS (SELECT row_no, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT row_no) >= 3),
+vocab AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT w.lang, w.source, w.term, count(*) AS c FROM w JOIN kept k ON k.lang = w.lang AND k.term = w.term
+           GROUP BY w.lang, w.source, w.term),
+groups AS (SELECT DISTINCT lang, source FROM d),
+sums AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY lang, source),
+totals AS (SELECT g.lang, g.source, coalesce(n, 0) + coalesce(v, 0) AS total FROM groups g
+           LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source LEFT JOIN vocab ON vocab.lang = g.lang),
+p AS (
+  SELECT t.lang, t.source, k.term, coalesce(c, 0) AS c, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 1)) // t.total AS p
+  FROM totals t JOIN kept k ON k.lang = t.lang
+  LEFT JOIN counts x ON x.lang = t.lang AND x.source = t.source AND x.term = k.term
+), q AS (
+  SELECT c.lang, c.term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(c.c) + 1)) // any_value(l.total) AS q
+  FROM counts c JOIN (SELECT s.lang, sum(n) + any_value(v) AS total FROM sums s JOIN vocab ON vocab.lang = s.lang GROUP BY s.lang) l
+    ON l.lang = c.lang
+  GROUP BY c.lang, c.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source
+), parts AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups g JOIN groups h ON h.lang = g.lang AND h.source <> g.source
+  LEFT JOIN pair ON pair.lang = g.lang AND pair.source = g.source AND pair.item = h.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, CAST(((p - q) * (p - q)) // q AS BIGINT)
+  FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_dedup": OP6, "op11_source_mix": OP11, "op12_conversation_repair": OP12, "op13_source_divergence": OP13}
