@@ -1,10 +1,11 @@
+import itertools
 import math
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
 
 from basketcast.operators.baskets import basket_lines
-from basketcast.operators.itemsets import frequent_itemsets, pair_occurrences
+from basketcast.operators.itemsets import frequent_itemsets, intersections, narrowed, vertical_words
 from basketcast.operators.rules import DEMO_BASKETS, association_rules, demo_association_data, mine_rules
 from basketcast.plans import fixtures as fx
 from conftest import SF_SMALL
@@ -47,23 +48,57 @@ def test_level_wise_equals_fpgrowth(spark):
     assert ours == theirs and any(k.count(",") == 3 for k in ours)
 
 
-def test_pairs_across_blocks_equal_pairs_in_one(spark):
-    # blocks of one or two items: every pair, or most, comes from joining blocks of a basket
+def test_words_of_any_width_give_the_same(spark):
     lines = basket_lines(fx.transactions(spark, SF_SMALL, fx.TYPE))
-    sizes = [{r.itemsets_str: r.freq for r in frequent_itemsets(lines, 0.02, 4, assume_distinct=True, block_items=b).collect()}
-             for b in (1, 2, 64)]
+    sizes = [{r.itemsets_str: r.freq for r in frequent_itemsets(lines, 0.02, 4, assume_distinct=True, per_word=b).collect()}
+             for b in (1, 8, 64)]
     assert sizes[0] == sizes[1] == sizes[2] and any(k.count(",") == 3 for k in sizes[0])
 
 
+def test_words_hold_each_basket_once(spark):
+    # 500 baskets in 3 ranges: several words a range; repeated lines set the same bit
+    lines = spark.range(2000).selectExpr("concat('b', id % 500) AS t", "concat('i', (id % 500) % 7) AS i")
+    words = vertical_words(lines, 3)
+    per_item = {r.i: r.n for r in words.groupBy("i").agg(F.sum(F.bit_count("word")).alias("n")).collect()}
+    assert per_item == {f"i{k}": len(range(k, 500, 7)) for k in range(7)}
+    assert words.groupBy("range").agg(F.max("number").alias("n")).agg(F.min("n")).first()[0] >= 1
+    for bits in (1, 4, 32):
+        thin = narrowed(words, bits)
+        assert thin.agg(F.sum(F.bit_count("word"))).first()[0] == 500
+        assert thin.where(F.bit_count("word") > bits).count() == 0
+
+
+def test_one_wide_basket_and_a_hot_one(spark):
+    # one basket holds a third of all lines, another 2,000 items
+    lines = (spark.range(3000).selectExpr("'hot' AS TransactionID", "concat('P', id % 40) AS ProductID")
+             .unionByName(spark.range(2000).selectExpr("'wide' AS TransactionID", "concat('P', id) AS ProductID"))
+             .unionByName(spark.range(4000).selectExpr("concat('t', id % 800) AS TransactionID", "concat('P', id % 13) AS ProductID")))
+    by_basket = {}
+    for t, i in lines.collect():
+        by_basket.setdefault(t, set()).add(i)
+    got = {tuple(r["items"]): r.freq for r in frequent_itemsets(lines, 0.05, 3).collect()}
+    for items, freq in got.items():
+        assert freq == sum(set(items) <= b for b in by_basket.values())
+    frequent = sorted(r for r in {i for b in by_basket.values() for i in b} if sum(r in b for b in by_basket.values()) >= 0.05 * len(by_basket))
+    want = sum(sum(set(c) <= b for b in by_basket.values()) >= 0.05 * len(by_basket)
+               for k in (1, 2, 3) for c in itertools.combinations(frequent, k))
+    assert len(got) == want
+
+
+def test_levels_stay_in_their_partitions(spark):
+    words = vertical_words(spark.range(500).selectExpr("id % 90 AS t", "concat('P', id % 7) AS i"), 3)
+    level = words.selectExpr("range", "number", "cast(array() AS array<string>) AS items", "i AS last", "word")
+    plan = intersections(intersections(level))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the one that deals lines into ranges
+
+
 def test_no_level_makes_pairs_of_the_item_table(spark):
     # 3,000 frequent items, none of them together in a basket: no pair may come up at all
     lines = spark.range(6000).selectExpr("cast(id AS string) AS TransactionID", "concat('P', id % 3000) AS ProductID")
-    n_items = 3000
-    codes = spark.range(n_items).selectExpr("concat('P', id) AS i", "cast(id AS int) AS code")
-    blocks = (lines.join(codes, lines["ProductID"] == codes["i"])
-              .selectExpr("TransactionID AS t", "cast(code DIV 64 AS int) AS block", "array(code) AS codes"))
-    assert pair_occurrences(blocks, -(-n_items // 64)).count() == 0
-    assert frequent_itemsets(lines, 1 / 4000, 4).count() == n_items
+    words = vertical_words(lines.selectExpr("TransactionID AS t", "ProductID AS i"), 100)
+    level = words.selectExpr("range", "number", "cast(array() AS array<string>) AS items", "i AS last", "word")
+    assert intersections(level).count() == 0
+    assert frequent_itemsets(lines, 1 / 4000, 4).count() == 3000
 
 
 def test_rule_identities(spark):

@@ -23,12 +23,12 @@ def brute_force(bs, min_support, max_len):
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(bs=baskets, min_support=st.sampled_from([0.1, 0.2, 0.3]), block=st.sampled_from([1, 3, 64]))
-def test_itemsets_and_rules_match_brute_force(spark, bs, min_support, block):
-    # small blocks: most pairs come from joining two blocks of a basket
+@given(bs=baskets, min_support=st.sampled_from([0.1, 0.2, 0.3]), per_word=st.sampled_from([1, 4, 64]))
+def test_itemsets_and_rules_match_brute_force(spark, bs, min_support, per_word):
+    # words of any width
     rows = [(f"T{i}", item) for i, b in enumerate(bs) for item in b]
     lines = spark.createDataFrame(rows, "TransactionID string, ProductID string")
-    itemsets = frequent_itemsets(lines, min_support=min_support, max_len=4, block_items=block)
+    itemsets = frequent_itemsets(lines, min_support=min_support, max_len=4, per_word=per_word)
     got = {r.itemsets_str: r.freq for r in itemsets.collect()}
     assert got == brute_force(bs, min_support, 4)
     rules = association_rules(itemsets, min_confidence=0.3).collect()
@@ -58,7 +58,7 @@ def test_hot_basket_holds_a_third_of_the_lines(spark):
     small = [[items[(3 * b + j) % 60] for j in range(3)] for b in range(200)]  # 600 lines
     rows = [("HOT", it) for it in hot] + [(f"S{b}", it) for b, basket in enumerate(small) for it in basket]
     lines = spark.createDataFrame(rows, "TransactionID string, ProductID string")
-    got = {r.itemsets_str: r.freq for r in frequent_itemsets(lines, min_support=0.01, max_len=3, block_items=8).collect()}
+    got = {r.itemsets_str: r.freq for r in frequent_itemsets(lines, min_support=0.01, max_len=3, per_word=8).collect()}
     bs = [set(hot)] + [set(b) for b in small]
     assert got == brute_force(bs, 0.01, 3)
 
