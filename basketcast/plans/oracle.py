@@ -7,7 +7,9 @@ equals the level-wise result because support is anti-monotone.
 
 from __future__ import annotations
 
+from basketcast.operators import features as ft
 from basketcast.operators import validate as v
+from basketcast.plans import fixed_model
 
 
 def _expand_r6(sql: str) -> str:
@@ -183,6 +185,49 @@ split AS (
          AS is_train
   FROM frame f)"""
 
+# The newest lag state of every product, and the days to forecast.
+STATE_COLUMNS = """
+         MAX(CASE WHEN rn = 1 THEN Quantity END) AS Quantity_Lag1,
+         COALESCE(MAX(CASE WHEN rn = 7 THEN Quantity END), MAX(CASE WHEN rn = 1 THEN Quantity END)) AS Quantity_Lag7,
+         COALESCE(MAX(CASE WHEN rn = 14 THEN Quantity END), MAX(CASE WHEN rn = 1 THEN Quantity END)) AS Quantity_Lag14,
+         COALESCE(MAX(CASE WHEN rn = 30 THEN Quantity END), MAX(CASE WHEN rn = 1 THEN Quantity END)) AS Quantity_Lag30,
+         AVG(CASE WHEN rn <= 7 THEN Quantity END) AS Quantity_RollingMean7,
+         AVG(CASE WHEN rn <= 14 THEN Quantity END) AS Quantity_RollingMean14,
+         AVG(Quantity) AS Quantity_RollingMean30,
+         COALESCE(stddev_samp(CASE WHEN rn <= 7 THEN Quantity END), 0.0) AS Quantity_RollingStd7"""
+SCORING = f"""scoring AS (
+  SELECT g.Date, CAST(year(g.Date) AS INTEGER) AS Year, CAST(month(g.Date) AS INTEGER) AS Month, CAST(day(g.Date) AS INTEGER) AS Day,
+         CAST(isodow(g.Date) - 1 AS INTEGER) AS DayOfWeek, CAST(quarter(g.Date) AS INTEGER) AS Quarter,
+         CAST(weekofyear(g.Date) AS INTEGER) AS WeekOfYear, CAST(isodow(g.Date) >= 6 AS INTEGER) AS IsWeekend,
+         CAST(day(g.Date) = 1 AS INTEGER) AS IsMonthStart, CAST(g.Date = last_day(g.Date) AS INTEGER) AS IsMonthEnd, s.*
+  FROM (SELECT ProductID, {STATE_COLUMNS}
+        FROM (SELECT *, row_number() OVER (PARTITION BY ProductID ORDER BY Date DESC) AS rn FROM daily) r WHERE rn <= 30 GROUP BY ProductID) s,
+       (SELECT CAST(m.d + CAST(r.k AS INTEGER) AS DATE) AS Date FROM (SELECT MAX(Date) AS d FROM daily) m, range(1, 31) r(k)) g)"""
+
+
+def _value(x) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else repr(x)
+
+
+def walked(rows: str) -> str:
+    """The written model's nodes, and every node that each row of ``rows`` comes to, tree by tree."""
+    nodes = ",\n    ".join("(" + ", ".join(map(_value, r)) + ")" for r in fixed_model.NODES)
+    feature = " ".join(f"WHEN '{f}' THEN CAST(r.{f} AS DOUBLE)" for f in [*ft.TIME_FEATURES, *ft.LAG_FEATURES])
+    return f"""nodes(tree, node, feature, cut, yes, no, value, gain) AS (VALUES
+    {nodes}),
+rows_ AS (SELECT row_number() OVER () AS row_no, x.* FROM {rows} x),
+walk AS (
+  SELECT row_no, tree, 0 AS node FROM rows_, (SELECT DISTINCT tree FROM nodes WHERE tree >= 0) t
+  UNION ALL
+  SELECT w.row_no, w.tree, CASE WHEN CASE n.feature {feature} END < CAST(n.cut AS DOUBLE) THEN n.yes ELSE n.no END
+  FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node JOIN rows_ r ON r.row_no = w.row_no
+  WHERE n.feature IS NOT NULL),
+scored AS (
+  SELECT r.*, p.prediction FROM rows_ r JOIN (
+    SELECT w.row_no, SUM(CAST(n.value AS DOUBLE)) + (SELECT CAST(value AS DOUBLE) FROM nodes WHERE tree = -1) AS prediction
+    FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.value IS NOT NULL GROUP BY w.row_no) p ON p.row_no = r.row_no)"""
+
+
 STATS = """st AS (
   SELECT ProductID, AVG(Quantity) AS mean, stddev_samp(Quantity) AS std FROM transactions GROUP BY ProductID),
 ss AS (
@@ -391,6 +436,20 @@ FROM (SELECT DISTINCT ProductID FROM transactions) p, (SELECT MAX(Date) AS d FRO
 SELECT r6(sqrt(AVG(pow(Quantity - Quantity_Lag1, 2))), 6) AS RMSE,
        r6(AVG(CASE WHEN Quantity <> 0 THEN abs((Quantity - Quantity_Lag1) / Quantity) END) * 100, 6) AS MAPE
 FROM split WHERE NOT is_train"""
+    fixed = "WITH RECURSIVE " + ",\n".join([tx(), DAILY, SCORING, walked("scoring")]) + "\n"
+    q["demand_forecast_fixed"] = fixed + "SELECT Date, ProductID, r6(greatest(prediction, 0.0), 6) AS Predicted_Quantity FROM scored"
+    held_out = "WITH RECURSIVE " + ",\n".join([*feat, SPLIT, walked("(SELECT * FROM split WHERE NOT is_train)")]) + "\n"
+    q["holdout_accuracy_fixed"] = held_out + """
+SELECT r6(sqrt(AVG(pow(Quantity - prediction, 2))), 6) AS RMSE,
+       r6(AVG(CASE WHEN Quantity <> 0 THEN abs((Quantity - prediction) / Quantity) END) * 100, 6) AS MAPE FROM scored"""
+    names = ", ".join(f"('{f}')" for f in [*ft.TIME_FEATURES, *ft.LAG_FEATURES])
+    q["feature_importance_fixed"] = held_out + f"""
+SELECT f.feature, r6(COALESCE(g.gain / (SELECT SUM(gain) FROM (SELECT AVG(gain) AS gain FROM nodes WHERE feature IS NOT NULL GROUP BY feature)), 0.0), 6)
+         AS importance, CAST(COALESCE(p.n, 0) AS BIGINT) AS rows
+FROM (VALUES {names}) f(feature)
+LEFT JOIN (SELECT feature, AVG(CAST(gain AS DOUBLE)) AS gain FROM nodes WHERE feature IS NOT NULL GROUP BY feature) g ON g.feature = f.feature
+LEFT JOIN (SELECT n.feature, COUNT(*) AS n FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node
+           WHERE n.feature IS NOT NULL GROUP BY n.feature) p ON p.feature = f.feature"""
     q["scenario_forecast"] = with_(tx(), DAILY, FORECAST) + """
 SELECT s.scenario, fc.Date, fc.ProductID, r6(fc.Predicted_Quantity * COALESCE(a.factor, 1.0), 6) AS Predicted_Quantity
 FROM fc CROSS JOIN (VALUES ('base'), ('promotion'), ('shortage')) s(scenario)

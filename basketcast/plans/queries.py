@@ -15,11 +15,11 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketcast.operators import (baskets, daily, features, forecast, inventory, itemsets, reports,
+from basketcast.operators import (baskets, boosting, daily, features, forecast, inventory, itemsets, reports,
                                   rule_views, validate)
 from basketcast.operators.clean import filter_products, normalize_transactions
+from basketcast.plans import fixed_model, flows
 from basketcast.plans import fixtures as fx
-from basketcast.plans import flows
 from basketcast.plans.oracle import MULTI
 from basketcast.session import cut_lineage, ensure_checkpoint_dir
 from basketcast.sources.sinks import write_csv
@@ -243,6 +243,37 @@ def q_holdout_accuracy(spark, sf):
     return forecast.evaluate_holdout(model, daily_, rules=rules)
 
 
+def _fixed_model(spark):
+    """The written model, as read back from its node table."""
+    names = [*features.TIME_FEATURES, *features.LAG_FEATURES]
+    return boosting.from_node_table(spark.createDataFrame(fixed_model.NODES, boosting.NODE_SCHEMA), names)
+
+
+def q_demand_forecast_fixed(spark, sf):
+    model = _fixed_model(spark)
+    grid = forecast.scoring_frame(fx.daily_table(spark, sf), horizon=fx.HORIZON)
+    return grid.select("Date", "ProductID", r6(F.greatest(model.score(), F.lit(0.0))).alias("Predicted_Quantity"))
+
+
+def q_holdout_accuracy_fixed(spark, sf):
+    daily_ = fx.daily_table(spark, sf)
+    model = forecast.ForecastModel(_fixed_model(spark), [*features.TIME_FEATURES, *features.LAG_FEATURES])
+    out = forecast.evaluate_holdout(model, daily_)
+    return out.select(r6("RMSE").alias("RMSE"), r6("MAPE").alias("MAPE"))
+
+
+def q_feature_importance_fixed(spark, sf):
+    """The written model's mean gain per split, next to how many of the held-out rows pass a split on the feature."""
+    model = _fixed_model(spark)
+    names = [*features.TIME_FEATURES, *features.LAG_FEATURES]
+    frame, _ = forecast.training_frame(_features(spark, sf))
+    test = forecast.train_split(frame, 0.8).filter(~F.col("is_train"))
+    passed = boosting.split_passes(model, test)
+    score = forecast.feature_importance(forecast.ForecastModel(model, names), top=len(names))
+    return score.join(passed, "feature", "left").select("feature", r6("importance").alias("importance"),
+                                                       F.coalesce("rows", F.lit(0).cast("long")).alias("rows"))
+
+
 def q_forecast_accuracy(spark, sf):
     """Accuracy of the previous day's quantity as the prediction on the held-out 20 %."""
     frame, _ = forecast.training_frame(_features(spark, sf))
@@ -491,6 +522,9 @@ QUERIES: dict[str, Query] = {
     "demand_forecast": q_demand_forecast,
     "feature_importance": q_feature_importance,
     "holdout_accuracy": q_holdout_accuracy,
+    "demand_forecast_fixed": q_demand_forecast_fixed,
+    "holdout_accuracy_fixed": q_holdout_accuracy_fixed,
+    "feature_importance_fixed": q_feature_importance_fixed,
     "forecast_accuracy": q_forecast_accuracy,
     "scenario_forecast": q_scenario_forecast,
     "actual_vs_forecast": q_actual_vs_forecast,
