@@ -13,11 +13,14 @@ Kinds: ``assign`` (a named credential and its value), ``access`` (an access key
 empty text has no findings; every row is scanned on its own, so repeated rows and ids
 give one result each; an empty frame gives an empty result.
 
+The worklist is a stack of generators, so layers may nest to any depth.  An escape of escaped marks (%252541) is
+unwrapped in one pass, however often it was escaped.  Base64 in lines of any one length is one run.
+
 A decompressed layer of up to ``max_layer`` bytes is held whole.  A larger one (a decompression
 bomb) goes over the worklist as windows of that size, each overlapping half of the one before and
-done with before the next is inflated, so memory stays bounded.  What is no longer than half a
-window lies whole in one of them; a longer base64 run or compressed string in such a layer is
-unwrapped in pieces, the compressed one only up to its window's end.
+done with before the next is inflated, so memory stays bounded.  A compressed string inside that passes the
+end of its window is read on from the stream, to its own end; a base64 run longer than half a window is
+unwrapped in pieces.
 """
 
 from __future__ import annotations
@@ -46,11 +49,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # greedy from a run's first AKIA: as
 HEX = re.compile(r"[0-9a-f]{24,}")         # whole runs: as [0-9a-f]+ of 24+ characters
 ASSIGN_LEAST = 6
 
-_ESCAPED_URL = re.compile(r"%[0-7][0-9A-Fa-f]|(?:%[89A-Fa-f][0-9A-Fa-f])+")
+# An escape may hide behind its own escaped mark any number of times (%2541, \u005cu0041, &#38;#65;): one match.
+_URL_AGAIN = r"%(?:25)*"
+_UNICODE_AGAIN = r"\\(?:u005[cC]|x5[cC]|u\{5[cC]\}|U0000005[cC])*"
+_REFERENCE_AGAIN = r"&(?:amp;|#0*38;|#[xX]0*26;)*"
+_ESCAPED_URL = re.compile(rf"{_URL_AGAIN}[0-7][0-9A-Fa-f]|(?:{_URL_AGAIN}[89A-Fa-f][0-9A-Fa-f])+")
 _ESCAPED_UNICODE = re.compile(
-    r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}"
-    r"|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{64,76}\r?\n)+[A-Za-z0-9+/]*={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
+    rf"{_UNICODE_AGAIN}u([dD][89abAB][0-9A-Fa-f]{{2}}){_UNICODE_AGAIN}u([dD][c-fC-F][0-9A-Fa-f]{{2}})"
+    rf"|{_UNICODE_AGAIN}(u[0-9A-Fa-f]{{4}}|u\{{[0-9A-Fa-f]{{1,6}}\}}|U[0-9A-Fa-f]{{8}}|x[0-9A-Fa-f]{{2}})"
+    rf"|{_REFERENCE_AGAIN}#([0-9]{{1,7}}|[xX][0-9A-Fa-f]{{1,6}});")
+_URL_BYTE = re.compile(rf"{_URL_AGAIN}([0-9A-Fa-f]{{2}})")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BASE64_LINE = re.compile(r"(?<![A-Za-z0-9+/])([A-Za-z0-9+/]{4,}+)\r?\n")
+_BASE64_LAST = re.compile(r"([A-Za-z0-9+/]+)={0,2}")
 _LATIN = re.compile(r"[\x00-\xff]+")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ|\x28\xb5\x2f\xfd")
@@ -67,11 +78,11 @@ _BYTE_VIEWS = (
     ("\\", re.compile(r"\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,2}\}|\\[^xuU]"),
      lambda m: chr(int(m.group()[2:].strip("{}"), 16)) if m.group()[1] in "xu" else _SHORT.get(m.group()[1], m.group()[1])),
     ("&", re.compile(r"&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:amp|lt|gt|quot);"),
-     lambda m: _NAMED.get(m.group()) or _unicode(m)))
+     lambda m: _reference(m)))
 
 Span = tuple[int, int]
 MAX_LAYER = 32 << 20
-_WINDOW, _OVERLAP = 1 << 20, 1 << 16
+_WINDOW = 1 << 20
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -83,46 +94,93 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 def _url(m: re.Match) -> str:
-    return bytes.fromhex(m.group().replace("%", "")).decode("utf-8", "replace")
+    return bytes.fromhex("".join(_URL_BYTE.findall(m.group()))).decode("utf-8", "replace")
 
 
-def _unicode(m: re.Match) -> str:
-    s = m.group()
-    if s[0] == "&":
-        code = int(s[3:-1], 16) if s[2] in "xX" else int(s[2:-1])
-    elif s[1] == "u" and len(s) == 12:
-        return bytes.fromhex(s[2:6] + s[8:]).decode("utf-16-be")
-    else:
-        code = int(s[2:].strip("{}"), 16)
+def _character(code: int) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
 
 
-def unescape(text: str, pattern: re.Pattern, value: Callable[[re.Match], str]) -> tuple[str, Callable[[Span], Span]] | None:
-    """The text with its escapes replaced, and the map of a span in it to a span in ``text``."""
+def _unicode(m: re.Match) -> str:
+    high, low, one, reference = m.groups()
+    if high:
+        return bytes.fromhex(high + low).decode("utf-16-be")
+    if one:
+        return _character(int(one[1:].strip("{}"), 16))
+    return _character(int(reference[1:], 16) if reference[0] in "xX" else int(reference))
+
+
+def _reference(m: re.Match) -> str:
+    s = m.group()
+    return _NAMED.get(s) or _character(int(s[3:-1], 16) if s[2] in "xX" else int(s[2:-1]))
+
+
+class Origin:
+    """Where the characters of a layer stand in the original text: all at one ``place``, or one by one but for
+    ``runs`` (start, end, old start, old end) that stand for other characters."""
+
+    def __init__(self, place: Span | None = None, runs: tuple[list[int], ...] = ([], [], [], [])):
+        self.place, self.runs = place, runs
+
+    def _side(self, x: int, end: int) -> int:
+        start, stop, old, old_stop = self.runs
+        k = bisect_right(start, x) - 1
+        if k < 0:
+            return x + end
+        if x < stop[k]:
+            return old_stop[k] if end else old[k]
+        return x - stop[k] + old_stop[k] + end
+
+    def span(self, start: int, end: int) -> Span:
+        return self.place or (self._side(start, 0), self._side(end - 1, 1))
+
+    def after(self, step: tuple[list[int], ...]) -> Origin:
+        """Of the layer that replaces runs of this one: ``step`` has their new start and end, and start and end here."""
+        if self.place:
+            return self
+        out: tuple[list[int], ...] = ([], [], [], [])
+        start, stop, old, old_stop = self.runs
+        k, shift = 0, 0
+
+        def add(*values: int) -> None:
+            for part, v in zip(out, values, strict=True):
+                part.append(v)
+
+        def carry(upto: int | None) -> None:
+            """Runs of this layer before ``upto`` go along, moved."""
+            nonlocal k
+            while k < len(start) and (upto is None or start[k] < upto):
+                low, high = max(start[k], done), stop[k] if upto is None else min(stop[k], upto)
+                if low < high:
+                    add(low + shift, high + shift, old[k], old_stop[k])
+                if upto is not None and stop[k] > upto:
+                    return
+                k += 1
+
+        done = 0
+        for new_start, new_stop, a, b in zip(*step, strict=True):
+            carry(a)
+            add(new_start, new_stop, *self.span(a, b))
+            done, shift = b, new_stop - b
+        carry(None)
+        return Origin(None, out)
+
+
+def unescape(text: str, pattern: re.Pattern, value: Callable[[re.Match], str]) -> tuple[str, tuple[list[int], ...]] | None:
+    """The text with its escapes replaced, and the replaced runs: start and end in the new text, and in ``text``."""
     parts, at, size = [], 0, 0
-    new_start, new_end, old_start, old_end = [0], [0], [0], [0]
+    step: tuple[list[int], ...] = ([], [], [], [])
     for m in pattern.finditer(text):
         plain, new = text[at:m.start()], value(m)
         parts += (plain, new)
-        size += len(plain)
-        new_start.append(size)
-        size += len(new)
-        new_end.append(size)
-        old_start.append(m.start())
-        old_end.append(m.end())
         at = m.end()
+        for part, v in zip(step, (size + len(plain), size + len(plain) + len(new), m.start(), at), strict=True):
+            part.append(v)
+        size += len(plain) + len(new)
     if not at:
         return None
     parts.append(text[at:])
-
-    def back(span: Span) -> Span:
-        out = []
-        for x, inside, outside in ((span[0], old_start, 0), (span[1] - 1, old_end, 1)):
-            k = bisect_right(new_start, x) - 1
-            out.append(inside[k] if x < new_end[k] else old_end[k] + x - new_end[k] + outside)
-        return out[0], out[1]
-
-    return "".join(parts), back
+    return "".join(parts), step
 
 
 _PIECE = 64
@@ -136,23 +194,51 @@ def _stream(data: bytes):
     return lzma.LZMADecompressor() if data.startswith(b"\xfd7zXZ") else zlib.decompressobj(47)
 
 
+class Feed:
+    """Bytes read by position; ``more`` gives further pieces, so what lies behind need not be held."""
+
+    def __init__(self, data: bytes | None, more: Iterator[bytes] | None = None):
+        self.data, self.more, self.ended = bytearray() if data is None else data, more, more is None
+
+    def grow(self) -> bool:
+        if not self.ended:
+            piece = next(self.more, None)
+            if piece is not None:
+                self.data += piece
+                return True
+            self.ended = True
+        return False
+
+    def drop(self, size: int) -> None:
+        del self.data[:size]
+
+
 class Inflater:
-    """Windows of the data inside a compressed string, all its members or frames; ends at the first damage.
-    ``used``: bytes read, to the end of the last whole member or, with damage, to within a few bytes of it."""
+    """Pieces of the data inside the compressed string at ``start`` of a feed, all its members or frames; ends at the
+    first damage. ``used``: bytes read, to the end of the last whole member or, with damage, to within a few
+    bytes of it. What it has read of a feed with more to come is dropped (``dropped`` bytes)."""
+
+    def __init__(self, feed: Feed | bytes, start: int = 0):
+        self.feed = Feed(feed) if isinstance(feed, bytes) else feed
+        self.start, self.used, self.dropped, self.whole = start, 0, 0, False
 
-    def __init__(self, data: bytes):
-        self.data, self.used, self.start, self.whole = data, 0, 0, False
+    def _upto(self, at: int) -> bool:
+        """Whether the feed has a byte at ``at``."""
+        while at >= len(self.feed.data):
+            if not self.feed.grow():
+                return False
+        return True
 
     def __iter__(self) -> Iterator[bytes]:
-        at = 0
-        while _MAGIC.match(self.data, at):
-            stream = _stream(self.data[at:at + 8])
-            limited = not self.data.startswith(b"\x28\xb5\x2f\xfd", at)  # a piece of a zstd frame is at most 16 blocks
+        at, feed = self.start, self.feed
+        while self._upto(at) and _MAGIC.match(feed.data, at):
+            stream = _stream(feed.data[at:at + 8])
+            limited = not feed.data.startswith(b"\x28\xb5\x2f\xfd", at)  # a piece of a zstd frame is at most 16 blocks
             try:
-                while not stream.eof and at < len(self.data):
-                    piece = self.data[at:at + _PIECE]
+                while not stream.eof and self._upto(at):
+                    piece = feed.data[at:at + _PIECE]
                     at += len(piece)
-                    self.used = at
+                    self.used = self.dropped + at - self.start
                     while True:
                         out = stream.decompress(piece, _WINDOW) if limited else stream.decompress(piece)
                         if out:
@@ -160,18 +246,30 @@ class Inflater:
                         piece = getattr(stream, "unconsumed_tail", b"")
                         if stream.eof or not (piece or limited and len(out) == _WINDOW):
                             break
+                    if not feed.ended and at > _WINDOW:
+                        feed.drop(at - _PIECE)
+                        self.dropped += at - _PIECE
+                        at = _PIECE
             except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
                 return
             if not stream.eof:
                 return
             at -= len(stream.unused_data)
-            self.used, self.whole = at, True
-            while self.data[at:at + 1] == b"\0":  # padding between members
+            self.used, self.whole = self.dropped + at - self.start, True
+            while self._upto(at) and feed.data[at] == 0:  # padding between members
                 at += 1
 
 
-def inflate(data: bytes) -> Iterator[bytes]:
-    return iter(Inflater(data))
+def inflated_whole(data: bytes, limit: int) -> bytes | None:
+    """The inner data of up to ``limit`` bytes if ``data`` is one intact compressed string and nothing else."""
+    if not _MAGIC.match(data) or data.startswith(b"\x28\xb5\x2f\xfd"):  # zstd gives no bounded reading in one go
+        return None
+    stream = _stream(data[:8])
+    try:
+        inner = stream.decompress(data, limit)
+    except (zlib.error, OSError, EOFError, lzma.LZMAError):
+        return None
+    return inner if stream.eof and not stream.unused_data else None
 
 
 def as_text(data: bytes) -> str | None:
@@ -196,18 +294,35 @@ def damaged_texts(data: bytes) -> Iterator[str]:
             yield text
 
 
-def compressed_parts(data: bytes) -> Iterator[Inflater]:
-    """Compressed strings at any place of ``data``, in order, each after the end of the one before."""
-    at = 0
+def next_compressed(data: bytes, at: int) -> int | None:
+    """Where the next string that may be compressed begins."""
     while m := _MAGIC.search(data, at):
-        at = m.start() + 1
         head = data[m.start():m.start() + 64]
-        if _PRINTABLE.fullmatch(head) and not head.startswith(b"BZh"):
-            continue  # plain text
-        part = Inflater(data[m.start():])
-        part.start = m.start()
-        yield part
-        at = max(at, m.start() + (part.used if part.whole else 1))
+        if not _PRINTABLE.fullmatch(head) or head.startswith(b"BZh"):
+            return m.start()
+        at = m.start() + 1  # plain text
+    return None
+
+
+def base64_runs(text: str) -> Iterator[Span]:
+    """Runs of base64 characters, and lines of one length that are one run together with the shorter line after them."""
+    lines = []
+    for m in _BASE64_LINE.finditer(text):
+        if lines and (m.start() != lines[-1].end() or len(m[1]) != len(lines[-1][1])):
+            yield from _joined(text, lines)
+            lines = []
+        lines.append(m)
+    yield from _joined(text, lines)
+    for m in _BASE64.finditer(text):
+        yield m.span()
+
+
+def _joined(text: str, lines: list[re.Match]) -> Iterator[Span]:
+    if lines:
+        last = _BASE64_LAST.match(text, lines[-1].end())
+        end = last.end() if last and len(last[1]) <= len(lines[0][1]) else lines[-1].end(1)
+        if len(lines) > 1 or end > lines[-1].end(1):
+            yield lines[0].start(), end
 
 
 def _readings(run: str) -> Iterator[bytes]:
@@ -222,95 +337,146 @@ def _readings(run: str) -> Iterator[bytes]:
             continue
 
 
+Found = tuple[int, int, int]
+Layer = tuple[str | bytes, Origin]
+
+
 class Scanner:
-    """All findings of one text, with spans in that text."""
+    """All findings of one text, with spans in that text.
+
+    Layers to come are a stack of generators, however deep they nest; each gives its next layer only when all
+    that lies inside the one before is done. A generator marks its last layer, so that it is gone, with all it
+    holds, before that layer is entered.
+    """
 
     def __init__(self, max_layer: int = MAX_LAYER):
         self.max_layer = max_layer
 
-    def bytes_layers(self, data: bytes, place: Span, seen: set) -> Iterator[str]:
+    def text_layers(self, layer: str, origin: Origin) -> Iterator[tuple[Layer, bool]]:
+        """What a text layer unwraps to: decoded and compressed runs first, its escapes last."""
+        for start, end in base64_runs(layer):
+            place = Origin(origin.span(start, end))
+            for data in _readings(layer[start:end]):
+                yield (data, place), False
+        views = [(layer, None)]
+        views += [v for mark, pattern, value in _BYTE_VIEWS if mark in layer and (v := unescape(layer, pattern, value))]
+        for view, step in views:
+            for run in _LATIN.finditer(view) if _MAGIC_TEXT.search(view) else ():
+                data, at = run.group().encode("latin-1"), 0
+                while (at := next_compressed(data, at)) is not None:
+                    part = Inflater(data, at)
+                    for _ in part:  # once to its end, which gives the place
+                        pass
+                    low = run.start() + at
+                    span = low, low + max(part.used, 1)
+                    if step is not None:
+                        span = Origin(None, step).span(*span)
+                    for inner in self.windows(Inflater(data, at)):
+                        yield (inner, Origin(origin.span(*span))), False
+                    at += part.used if part.whole and part.used else 1
+        escaped = []
+        for mark, pattern, value in (("%", _ESCAPED_URL, _url), ("\\", _ESCAPED_UNICODE, _unicode), ("&", _ESCAPED_UNICODE, _unicode)):
+            if mark in layer and (pattern is not _ESCAPED_UNICODE or not escaped or escaped[-1][0] is not pattern) \
+                    and (plain := unescape(layer, pattern, value)):
+                escaped.append((pattern, plain[0], origin.after(plain[1])))
+        del layer, views
+        while escaped:
+            _, new, back = escaped.pop(0)
+            yield (new, back), not escaped
+
+    def bytes_layers(self, data: bytes, origin: Origin) -> Iterator[tuple[Layer, bool]]:
         """Text layers in decoded bytes: as they stand, or inside compression."""
         if (text := as_text(data)) is not None:
-            yield text
+            yield (text, origin), True
             return
-        yield from damaged_texts(data)
-        for part in compressed_parts(data):
-            yield from self.inflated(part, place, seen)
-
-    def inflated(self, stream: Inflater, place: Span, seen: set) -> Iterator[str]:
-        """Text layers inside a compressed string, window by window if it is too large to hold."""
-        held, size, fresh = [], 0, False
-
-        def window() -> Iterator[str]:
-            data = b"".join(held)
-            key = ("packed", place, hashlib.blake2b(data, digest_size=16).digest())
-            if key not in seen:  # data that unpacks to itself ends here
-                seen.add(key)
-                yield from self.bytes_layers(data, place, seen)
-            half = data[-(self.max_layer // 2):]
-            held[:] = [half]
-
-        for part in stream:
-            held.append(part)
-            size, fresh = size + len(part), True
-            if size > self.max_layer:
-                yield from window()
-                size, fresh = len(held[0]), False
-        if fresh:
-            yield from window()
-
-    def findings(self, text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int]], int]:
+        inner = inflated_whole(data, self.max_layer)
+        if inner is not None:
+            data = None
+            yield (inner, origin), True
+            return
+        for text in damaged_texts(data):
+            yield (text, origin), False
+        at = 0
+        while (at := next_compressed(data, at)) is not None:
+            part = Inflater(data, at)
+            for inner in self.windows(part):
+                yield (inner, origin), False
+            at += part.used if part.whole and part.used else 1
+
+    def windows(self, stream: Inflater) -> Iterator[bytes | Feed]:
+        """The data inside a compressed string: whole, or in windows where it is too large to hold. A compressed
+        string inside that passes the end of its window is given as a feed that reads on."""
+        pieces = iter(stream)
+        feed = Feed(None, pieces)
+        while True:
+            grown = False
+            while len(feed.data) <= self.max_layer and feed.grow():
+                grown = True
+            if feed.ended:
+                if grown or feed.data:
+                    yield bytes(feed.data)
+                return
+            data = bytes(feed.data)
+            yield data
+            at, half = 0, len(data) - self.max_layer // 2
+            while (at := next_compressed(data, at)) is not None:
+                part = Inflater(data, at)
+                for _ in part:
+                    pass
+                if at + part.used < len(data) - _PIECE:  # it ends inside the window, which has read it
+                    at += part.used if part.whole and part.used else 1
+                    continue
+                feed.drop(at)
+                yield feed  # read by the layer made of it; what it leaves is read on from here
+                half = 0
+                break
+            data = None
+            feed.drop(max(half, 0))
+            if half:
+                size = len(feed.data)
+                while len(feed.data) == size and feed.grow():
+                    pass
+                if feed.ended and len(feed.data) == size:
+                    return
+
+    def feed_layers(self, feed: Feed, origin: Origin) -> Iterator[tuple[Layer, bool]]:
+        part = Inflater(feed)
+        for inner in self.windows(part):
+            yield (inner, origin), False
+        feed.drop(max(part.used - part.dropped, 1))
+
+    def findings(self, text: str) -> tuple[list[Found], set[Found], int]:
         """``(base findings, all findings, layers scanned)``, as ``(start, kind, end)``."""
         base = scan(text)
-        found = set(base)
-        work: list[tuple[str, Callable[[Span], Span]]] = [(text, lambda span: span)]
-        seen, layers = set(), 1
-
-        def enter(layer: str, back: Callable[[Span], Span], place: Span) -> None:
-            nonlocal layers
-            key = (place, hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            if layer and key not in seen:
-                seen.add(key)
-                layers += 1
-                for start, kind, end in scan(layer):
-                    a, b = back((start, end))
-                    found.add((a, kind, b))
-                work.append((layer, back))
-
-        def enter_all(texts: Iterator[str], place: Span) -> None:
-            """Enters layers that all lie at ``place``, each done with before the next is made."""
-            for new in texts:
-                level = len(work)
-                enter(new, lambda span: place, place)
-                drain(level)
-
-        def drain(level: int) -> None:
-            while len(work) > level:
-                unwrap(*work.pop())
-
-        def unwrap(layer: str, back: Callable[[Span], Span]) -> None:
-            whole = back((0, len(layer)))
-            for mark, pattern, value in (("%", _ESCAPED_URL, _url), ("\\", _ESCAPED_UNICODE, _unicode),
-                                         ("&#", _ESCAPED_UNICODE, _unicode)):
-                if mark in layer and (plain := unescape(layer, pattern, value)):
-                    new, step = plain
-                    enter(new, lambda span, step=step, back=back: back(step(span)), whole)
-            for m in _BASE64.finditer(layer):
-                place = back(m.span())
-                for data in _readings(m.group()):
-                    enter_all(self.bytes_layers(data, place, seen), place)
-            views = [(layer, lambda span: span)]
-            views += [v for mark, pattern, value in _BYTE_VIEWS if mark in layer and (v := unescape(layer, pattern, value))]
-            for view, step in views:
-                for run in _LATIN.finditer(view) if _MAGIC_TEXT.search(view) else ():
-                    for part in compressed_parts(run.group().encode("latin-1")):
-                        for _ in part:  # once to its end, which gives the place
-                            pass
-                        lo = run.start() + part.start
-                        place = back(step((lo, lo + max(part.used, 1))))
-                        enter_all(self.inflated(part, place, seen), place)
-
-        drain(0)
+        found, seen, layers = set(base), set(), 1
+        stack = [self.text_layers(text, Origin())]
+        while stack:
+            entry = next(stack[-1], None)
+            if entry is None:
+                stack.pop()
+                continue
+            (layer, origin), last = entry
+            if last:
+                stack.pop()
+            entry = None
+            if isinstance(layer, Feed):
+                stack.append(self.feed_layers(layer, origin))
+                continue
+            if not layer:
+                continue
+            raw = layer if isinstance(layer, bytes) else layer.encode("utf-8", "surrogatepass")
+            key = (type(layer), origin.span(0, len(layer)), hashlib.blake2b(raw, digest_size=16).digest())
+            if key in seen:  # ends cycles, data that unpacks to itself included
+                continue
+            seen.add(key)
+            if isinstance(layer, bytes):
+                stack.append(self.bytes_layers(layer, origin))
+                continue
+            layers += 1
+            for start, kind, end in scan(layer):
+                a, b = origin.span(start, end)
+                found.add((a, kind, b))
+            stack.append(self.text_layers(layer, origin))
         return base, found, layers
 
 

@@ -2,12 +2,13 @@ import base64
 import bz2
 import gzip
 import re
+import time
 import zlib
 from urllib.parse import quote
 
 import zstandard
 
-from basketcast.llm.secrets import Scanner, merged, redact, scan, scan_secrets, written
+from basketcast.llm.secrets import Origin, Scanner, merged, redact, scan, scan_secrets, unescape, written
 from helpers import ROWS, awkward, empty
 
 SECRET = "api_key = 'Zx9-Qw8_Er7tY6'"
@@ -113,3 +114,78 @@ def test_layers_inside_a_large_layer_are_unwrapped():
         text = base64.b64encode(gzip.compress(data)).decode()
         for size in (1 << 16, 1 << 20):  # windows; held whole
             assert (0, 0, len(text)) in Scanner(max_layer=size).findings(text)[1], (hidden, size)
+
+
+def test_ten_thousand_levels_end_in_time():
+    n, started = 10_000, time.time()
+    packed = SECRET.encode()
+    for _ in range(n):
+        packed = zlib.compress(packed, 0)[:2] + zlib.compress(packed, 0)[2:] if len(packed) < 2000 else zlib.compress(packed, 1)
+    hidden = {
+        "url": "token%" + "25" * n + "3Dabcdefgh", "unicode": "token\\" + "u005c" * n + "u003dabcdefgh",
+        "hex": "token\\" + "x5c" * n + "x3dabcdefgh", "reference": "token&" + "#38;" * n + "#61;abcdefgh",
+        "named": "token&" + "amp;" * n + "#61;abcdefgh", "packed": base64.b64encode(packed).decode()}
+    for kind, text in hidden.items():
+        found = Scanner().findings(text)[1]
+        assert (0, 0, len(text)) in found, kind
+    # escapes of one kind inside the other: no single pass, a layer for each
+    mixed = "token=abcdefg%41"
+    for k in range(300):
+        mixed = mixed.replace("%", "\\u0025") if k % 2 == 0 else mixed.replace("\\", "%5C")
+    assert (0, 0, len(mixed)) in Scanner().findings(mixed)[1]
+    assert time.time() - started < 120
+
+
+def test_base64_of_any_line_length():
+    data = base64.b64encode((SECRET + " " + "filler " * 30).encode()).decode()
+    for width in (8, 20, 40, 60, 64, 76, 80, 100):
+        for end in ("\n", "\r\n"):
+            text = "see\n" + end.join(data[k:k + width] for k in range(0, len(data), width)) + "\nend of it"
+            spans = [text[s:e] for s, kind, e in Scanner().findings(text)[1] if kind == 0]
+            assert any(x.replace(end, "") == data for x in spans), (width, end)
+    Scanner().findings("A" * 2_000_000 + "\n" + "word\n" * 100_000)  # no quadratic search
+
+
+def test_spans_compose_through_escapes():
+    text = "a%5Cu0062c%26%2364%3Bz%C3%A9\\u0041"
+    origin, layer, seen = Origin(), text, [text]
+    from basketcast.llm import secrets as S
+    for pattern, value in ((S._ESCAPED_URL, S._url), (S._ESCAPED_UNICODE, S._unicode)):
+        layer, step = unescape(layer, pattern, value)
+        origin = origin.after(step)
+        seen.append(layer)
+    assert seen == [text, "a\\u0062c&#64;zé\\u0041", "abc@zéA"]
+    pieces = [text[slice(*origin.span(k, k + 1))] for k in range(len(layer))]
+    assert pieces == ["a", "%5Cu0062", "c", "%26%2364%3B", "z", "%C3%A9", "\\u0041"]
+    assert text[slice(*origin.span(0, len(layer)))] == text and text[slice(*origin.span(1, 4))] == "%5Cu0062c%26%2364%3B"
+
+
+def test_compressed_string_longer_than_the_window():
+    import random
+    noise = random.Random(4).randbytes(600_000)
+    inner = gzip.compress(noise + SECRET.encode() + noise)
+    data = b"z" * 100_000 + inner + b" token=behindit " + b"z" * 300_000
+    text = base64.b64encode(zlib.compress(data)).decode()
+    for size in (1 << 18, 1 << 24):
+        found = Scanner(max_layer=size).findings(text)[1]
+        assert (0, 0, len(text)) in found
+    small = Scanner(max_layer=1 << 18)
+    layers = [x for x, _ in drained(small, data)]
+    assert any(SECRET in x for x in layers) and any("token=behindit" in x for x in layers)
+
+
+def drained(scanner, data):
+    """Texts of all layers in bytes."""
+    stack = [scanner.feed_layers(__import__("basketcast.llm.secrets", fromlist=["Feed"]).Feed(bytearray(zlib.compress(data))), Origin())]
+    while stack:
+        entry = next(stack[-1], None)
+        if entry is None:
+            stack.pop()
+            continue
+        layer, origin = entry[0]
+        if isinstance(layer, str):
+            yield layer, origin
+        elif isinstance(layer, bytes):
+            stack.append(scanner.bytes_layers(layer, origin))
+        else:
+            stack.append(scanner.feed_layers(layer, origin))
