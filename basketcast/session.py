@@ -11,6 +11,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the checkpoint folder and read back.
+
+    Ends the lineage like :func:`cut_lineage`, and the planner knows its real size: a checkpointed frame keeps
+    the estimate of the plan it came from, which joins multiply, so in loops of joins those estimates
+    grow to numbers of millions of digits. For frames with named, distinct, typed columns.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, int, DataFrame]:
     """Checkpoint ``df`` and count it once: ``(table, rows, join side)``.
 
