@@ -10,8 +10,8 @@ From it follow the expected grade and the tail probability P(grade >= wanted), b
 which documents are selected.
 
 The model is fitted on at most ``max_rows`` labelled rows (a parameter; the rows of
-smallest id hash, so the same at every run), of which only hashed features reach
-the driver.  Features are screened first: those whose mean grade differs from the
+smallest id hash, so the same at every run) in one task, which holds their hashed features; the driver
+receives the weights.  Features are screened first: those whose mean grade differs from the
 overall mean by fewer than ``least_z`` standard errors get no weight, so the many words
 without meaning for the grade cannot add up in long texts.  Scoring reads every
 document and whole texts, with the weights as a broadcast of at most ``max_features``.
@@ -194,21 +194,35 @@ def fit(sets: list[np.ndarray], grades: np.ndarray, n_grades: int, least_z: floa
 def rated_features(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """``grade, features`` of at most ``max_rows`` rated documents; ``ratings`` has ``doc_id, grade``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [("doc_id", pa.int64()), ("grade", pa.int32()), ("features", pa.binary())]
         for batch in batches:
-            rows = [(g, features(t).astype("<i4").tobytes()) for g, t in zip(*columns_of(batch, "grade", "text"), strict=True)]
-            yield rows_out(rows, [("grade", pa.int32()), ("features", pa.binary())])
+            rows = zip(*columns_of(batch, "doc_id", "grade", "text"), strict=True)
+            yield rows_out([(i, g, features(t).astype("<i4").tobytes()) for i, g, t in rows], types)
 
-    chosen = (ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL")
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_rows))
-    # at most max_rows ids: a bound set by a parameter
-    return docs.join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(run, "grade int, features binary")
+    order = [F.xxhash64("doc_id"), "doc_id", "grade"]
+    chosen = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").orderBy(*order).limit(max_rows)
+    # at most max_rows ids, a bound set by a parameter; an id that many rows repeat is limited after the join
+    rated = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    return (rated.mapInArrow(run, "doc_id long, grade int, features binary")
+            .orderBy(*order, "features").limit(max_rows).select("grade", "features"))
 
 
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rows: int = MAX_ROWS, id_col: str = "doc_id",
           text_col: str = "text") -> OrdinalModel:
-    rated = rated_features(id_text(docs, id_col, text_col), ratings, max_rows).toPandas()
-    rated = rated.sort_values(["grade", "features"], kind="stable")  # the order of tasks must not matter
-    return fit([np.frombuffer(x, dtype="<i4") for x in rated["features"]], rated["grade"].to_numpy(), n_grades)
+    """The fit runs in one task over the ``max_rows`` rows; the driver receives the kept weights."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*columns_of(batch, "features", "grade"), strict=True)]
+        rows.sort(key=lambda r: (r[1], r[0]))  # the order of tasks must not matter
+        model = fit([np.frombuffer(x, dtype="<i4") for x, _ in rows], np.array([g for _, g in rows], dtype=int), n_grades)
+        yield rows_out([(model.kept.astype("<i4").tobytes(), model.weights.astype("<f8").tobytes(),
+                         model.thresholds.astype("<f8").tobytes())],
+                       [(name, pa.binary()) for name in ("kept", "weights", "thresholds")])
+
+    rated = rated_features(id_text(docs, id_col, text_col), ratings, max_rows).coalesce(1)
+    found = rated.mapInArrow(run, "kept binary, weights binary, thresholds binary").collect()
+    if not found:
+        return fit([], np.empty(0, dtype=int), n_grades)
+    return OrdinalModel(np.frombuffer(found[0].kept, dtype="<i4"), np.frombuffer(found[0].weights), np.frombuffer(found[0].thresholds))
 
 
 def grade(docs: DataFrame, model: OrdinalModel, wanted: int, least_tail: float = 0.5, id_col: str = "doc_id",
