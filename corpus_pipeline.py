@@ -1,9 +1,8 @@
 """Corpus pipeline: grade, drop exact copies, drop near copies, redact secrets, pack.
 
 Every stage is ``(spark, docs, sf_dir) -> DataFrame`` and works on all that its
-predecessor kept; all but the last return the columns of ``documents``.  Ids name
-documents: a stage that drops rows drops them by id, rows without an id are only
-dropped by the classifier.
+predecessor kept; all but the last return the columns of ``documents``.  Copies are dropped row by
+row, whatever the ids: rows may repeat an id or have none, and of each group one row stays.
 """
 
 from __future__ import annotations
@@ -27,10 +26,24 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("doc_id").cast("long"), (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade")))
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the ids in ``dropped`` (broadcast when counted small, else a shuffle join)."""
-    _, n, side = materialize(dropped.select(F.col("doc_id").alias("_dropped")).where("_dropped IS NOT NULL").distinct())
-    return docs.join(side, docs["doc_id"] == side["_dropped"], "left_anti") if n else docs
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for every row, and the name of that column. A stage's documents are a written
+    table, so its rows have the same numbers whenever they are read."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
+def keep_one(rows: DataFrame, row: str, groups: DataFrame) -> DataFrame:
+    """``rows`` less all but one of each group in ``groups`` (columns ``member, first``; only of two or more
+    rows): the one of smallest id stays, an id before none, then the first row."""
+    members = groups.join(rows.select(F.col(row).alias("member"), F.col("doc_id").alias("id")), "member")
+    stays = members.groupBy("first").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "member")).alias("m"))
+    dropped = members.select("member").join(stays.select(F.col("m.member").alias("member")), "member", "left_anti")
+    _, n, side = materialize(dropped.withColumnRenamed("member", "_member"))
+    left = rows.join(side, rows[row] == side["_member"], "left_anti") if n else rows
+    return left.drop(row)
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,21 +54,19 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row of smallest id of each group of equal texts."""
-    found = cut_lineage(fingerprint.exact_dedup(docs))
-    rest = without(docs, found.where("NOT kept"))
-    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "text_sha256").count().where("count > 1")
-    _, n, side = materialize(again.select(F.col("doc_id").alias("_again")))
-    if not n:
-        return rest
-    # rows that repeat an id and its text: one of them
-    repeated = rest.join(side, rest["doc_id"] == side["_again"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(side, rest["doc_id"] == side["_again"], "left_anti").unionByName(repeated)
+    rows, row = numbered(docs)
+    found = fingerprint.exact_dedup(rows, id_col=row).where("group_size > 1")
+    return keep_one(rows, row, cut_lineage(found.select(F.col("doc_id").alias("member"), F.col("keep_id").alias("first"))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each component of similar documents."""
-    found = ngram_join.near_duplicates(docs)
-    return without(docs, found.where("component_id <> doc_id"))
+    """Keeps the row of smallest id of each component of similar documents."""
+    rows, row = numbered(docs)
+    found = cut_lineage(ngram_join.near_duplicates(rows, id_col=row)
+                        .select(F.col("doc_id").alias("member"), F.col("component_id").alias("first")))
+    several = found.where("member <> first")
+    firsts = several.select("first").distinct().select(F.col("first").alias("member"), "first")
+    return keep_one(rows, row, several.unionByName(firsts))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
