@@ -19,6 +19,7 @@ from basketcast.llm.text import columns_of, rows_out
 
 BITS = 1 << 23
 _PART = 1 << 14  # bytes of a part
+JOIN_TASKS = 16
 _TYPES = [("part", pa.int32()), ("packed", pa.binary())]
 
 
@@ -54,7 +55,8 @@ def key_filter(keys: DataFrame, bits: int = BITS):
     spark = keys.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "part int, packed binary"
-    joined = keys.mapInArrow(mark, schema).repartition(n, "part").mapInArrow(join, schema)
+    # few parts of a fixed size: some tasks are enough
+    joined = keys.mapInArrow(mark, schema).repartition(n, "part").coalesce(min(n, JOIN_TASKS)).mapInArrow(join, schema)
     packed = np.zeros(bits // 8, dtype=np.uint8)
     for row in joined.toLocalIterator():
         packed[row["part"] * _PART:row["part"] * _PART + len(row["packed"])] = np.frombuffer(row["packed"], dtype=np.uint8)

@@ -4,7 +4,8 @@ Labels live in a table.  Every round a node takes the smallest label among its n
 sends it to the node of its old label as well (so whole trees are hooked, whatever the order
 of the labels), and then takes the label of its label.  Rounds go on until no label changes;
 labels only fall, so they end.  On paths with shuffled names 100,000 nodes took 21 to 22
-rounds.  Each round is checkpointed, which ends the lineage and survives lost executors.
+rounds.  Each round is written to the checkpoint folder, which ends the lineage, survives lost executors and
+tells the planner the real sizes.
 Tasks are as many as the links need (``ROWS_PER_TASK``), so a small graph does not leave a
 file per shuffle partition in every round.
 """
@@ -14,18 +15,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketcast.session import cut_lineage
+from basketcast.session import stored
 
 ROWS_PER_TASK = 200_000
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """``node, label`` of every node of ``links`` (columns ``a, b``); label = smallest node."""
-    both = cut_lineage(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
                        .where("a <> b").distinct())
     tasks = max(1, -(-both.count() // ROWS_PER_TASK))
     both = both.coalesce(tasks)
-    labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m"))
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m"))
                          .select(F.col("a").alias("node"), F.least("a", "m").alias("label")).coalesce(tasks))
     while True:
         near = (both.join(labels, both["b"] == labels["node"]).select("a", "label").coalesce(tasks)
@@ -38,7 +39,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         parents = labels.select(F.col("node").alias("p"), F.col("label").alias("top"))
         jumped = (lower.join(parents, lower["next"] == parents["p"], "left")
                   .select("node", F.least("next", F.coalesce("top", "next")).alias("label"), "was"))
-        stepped = cut_lineage(jumped.coalesce(tasks))
+        stepped = stored(jumped.coalesce(tasks))
         labels = stepped.select("node", "label")
         if not stepped.where("label <> was").limit(1).count():
             return labels

@@ -20,9 +20,11 @@ in the counts).  Any order is exact; the counts only make prefixes rare.
 The answer is a component per document, so pairs inside one component need not all be
 looked at.  Round one verifies, per meeting shingle, neighbours by size and everyone
 with the first; its links give components.  Round two does the same with neighbours that lie
-in different components.  Round three verifies every remaining pair that meets and lies in
-different components.  No link between different components is
-lost, and a large group of near copies costs its size, not its square.
+in different components.  In round three every row of a shingle looks for the nearest partner by
+sketch that lies in another component; this is repeated with the grown components, and then every remaining pair that meets, lies in different components and passes the filters
+is verified.  No link between different components is
+lost, and a large group of near copies costs its size, not its square.  In round three the rows of a
+crowded shingle are dealt into blocks, and every two blocks meet in a task of their own.
 
 Nulls, empty texts and texts without words have no shingles and link with nothing.
 Repeated rows are one node and carry the same component.  A null id takes part in links
@@ -43,15 +45,19 @@ from basketcast.llm.bitmap import bit_of, key_filter
 from basketcast.llm.components import connected_components
 from basketcast.llm.shingles import mix, shingle_set
 from basketcast.llm.text import columns_of, id_text, rows_out, sorted_runs
-from basketcast.session import cut_lineage
+from basketcast.session import broadcast_if_small, cut_lineage, stored
 
 PERCENT = 75
 BUCKETS = 1 << 22
 _PART = 1 << 15          # buckets per row while counts travel
 _SEEN = 500_000          # nodes a task remembers to emit equal sets once
+BLOCK_ROWS = 4096        # rows of a gram that are compared in one task
+NEAREST_ROUNDS = 2       # rounds over nearest partners before all remaining pairs are verified
+_PAIRS_PER_TASK = 5_000  # pairs whose sets a task fetches
 
 _MARK_TYPES = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()),
-               ("part", pa.int32()), ("counts", pa.binary())]
+               ("small", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())]
+_MARK_SCHEMA = "doc_id long, n_shingles long, node long, sketch binary, small long, part int, counts binary"
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -92,7 +98,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out():
         parts = ((p, counts[p * _PART:(p + 1) * _PART]) for p in range(BUCKETS // _PART))
-        return rows_out([(None, None, None, None, p, zlib.compress(c.tobytes(), 1)) for p, c in parts if c.any()], _MARK_TYPES)
+        return rows_out([(None, None, None, None, None, p, zlib.compress(c.tobytes(), 1)) for p, c in parts if c.any()], _MARK_TYPES)
 
     for batch in batches:
         rows = []
@@ -100,7 +106,8 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams = shingle_set(text)
             node = node_of(grams) if len(grams) else None
             fresh = node is not None and node not in seen
-            rows.append((doc_id, len(grams), node, sketch_of(grams) if fresh else None, None, None))
+            sketch = sketch_of(grams) if fresh else None
+            rows.append((doc_id, len(grams), node, sketch, small_sketch(sketch) if fresh else None, None, None))
             if fresh:
                 if len(seen) >= _SEEN:
                     seen.clear()
@@ -134,13 +141,12 @@ def sum_parts(rows: DataFrame) -> DataFrame:
     return rows.select("part", "counts").repartition(n, "part").mapInArrow(run, "part int, counts binary")
 
 
-_PREFIX_TYPES = [("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("place", pa.int32()),
-                 ("small", pa.int64())]
+_PREFIX_TYPES = [("gram", pa.int64()), ("node", pa.int64()), ("place", pa.int32())]
 
 
-def small_sketch(grams: np.ndarray) -> int:
+def small_sketch(sketch: bytes) -> int:
     """The sketch folded to 64 bits: settles short sets where they meet."""
-    x, n = int.from_bytes(sketch_of(grams), "little"), 8 * len(sketch_of(grams))
+    x, n = int.from_bytes(sketch, "little"), 8 * len(sketch)
     while n > 64:
         n //= 2
         x = (x >> n) ^ (x & ((1 << n) - 1))
@@ -148,7 +154,7 @@ def small_sketch(grams: np.ndarray) -> int:
 
 
 def prefix_rows(source: DataFrame, frequency, percent: int) -> DataFrame:
-    """``gram, node, n, place, small``: the rare-first prefix of every distinct set."""
+    """``gram, node, place``: the rare-first prefix of every distinct set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, seen = frequency.value, set()
@@ -168,7 +174,7 @@ def prefix_rows(source: DataFrame, frequency, percent: int) -> DataFrame:
                 take = n + (-percent * n) // 100 + 1
                 rank = freq[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 first = np.lexsort((grams, rank))[:take] if take < n else np.lexsort((grams, rank))
-                held.append((grams[first], node, n, small_sketch(grams)))
+                held.append((grams[first], node))
                 size += take
                 if size > 200_000:
                     yield _prefix_batch(held)
@@ -176,15 +182,14 @@ def prefix_rows(source: DataFrame, frequency, percent: int) -> DataFrame:
             if held:
                 yield _prefix_batch(held)
 
-    return source.select("text").mapInArrow(run, "gram long, node long, n int, place int, small long")
+    return source.select("text").mapInArrow(run, "gram long, node long, place int")
 
 
 def _prefix_batch(held: list) -> pa.RecordBatch:
     sizes = [len(h[0]) for h in held]
     columns = [np.concatenate([h[0] for h in held]).view(np.int64),
-               *(np.repeat(np.array([h[k] for h in held], dtype=t), sizes) for k, t in ((1, np.int64), (2, np.int32))),
-               np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]),
-               np.repeat(np.array([h[3] for h in held], dtype=np.int64), sizes)]
+               np.repeat(np.array([h[1] for h in held], dtype=np.int64), sizes),
+               np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=pa.schema(_PREFIX_TYPES))
 
 
@@ -202,7 +207,7 @@ _NAMES = ["gram", "node", "n", "place", "small"]
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Only rows of grams that two or more nodes hold, each (gram, node) once, with ``many``: more than two do."""
-    for cols in sorted_runs(batches, _NAMES):
+    for cols in sorted_runs(batches, ["gram", "node", "place"]):
         gram, node = cols[0], cols[1]
         fresh = np.ones(len(gram), dtype=bool)
         fresh[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
@@ -279,43 +284,70 @@ def folded(sketches: list[bytes]) -> list[np.ndarray | None]:
     return out
 
 
-def _cross_pairs(percent: int, block: int = 4096):
-    """Round three: pairs of a gram in different components that pass all filters, the sketches' included;
-    one row against a block at a time, so what is written is what may be similar, not what meets."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, node, n, place, small, label, sketch in sorted_runs(batches, [*_NAMES, "label", "sketch"]):
-            order = np.lexsort((n, gram))
-            gram, node, n, place, small, label, sketch = (c[order] for c in (gram, node, n, place, small, label, sketch))
-            edges = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True])
-            found_a, found_b, held = [], [], 0
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi - lo < 3 or (label[lo:hi] == label[lo]).all():
-                    continue
-                levels = folded(sketch[lo:hi].tolist())
-                for i in range(lo, hi - 1):
-                    # sizes rise, so the partners of i end where they get too large
-                    end = lo + int(np.searchsorted(n[lo:hi], 100 * int(n[i]) // percent, side="right"))
-                    rows = levels[(8 * len(sketch[i])).bit_length() - 1]
-                    for at in range(i + 1, end, block):
-                        j = np.arange(at, min(at + block, end))
-                        j = j[label[j] != label[i]]
-                        if not len(j):
-                            continue
-                        k = np.full(len(j), i)
-                        j = j[passes(n[k], place[k], small[k], n[j], place[j], small[j], percent)]
-                        apart = np.bitwise_count(rows[j - lo] ^ rows[i - lo]).sum(axis=1, dtype=np.int64)
-                        size = n[j].astype(np.int64) + int(n[i])
-                        ok = j[apart <= size - 2 * least_overlap(size, 0, percent)]
-                        if len(ok):
-                            found_a.append(np.full(len(ok), node[i]))
-                            found_b.append(node[ok])
-                            held += len(ok)
+def _cross_pairs(best: bool):
+    """Round three: pairs of a gram in different components that pass all filters, the sketches' included. A
+    crowded gram comes in pairs of blocks (``left``, ``right``); one row against a block at a time, so what is
+    written is what may be similar, not what meets. With ``best`` each row writes only its nearest partner."""
+    def of(percent: int, block: int = 4096):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ["key", *_NAMES, "label", "sketch", "left", "right", "block"]
+            for key, *cols in sorted_runs(batches, names):
+                order = np.lexsort((cols[2], key))
+                key, (_, node, n, place, small, label, sketch, first, last, part) = key[order], (c[order] for c in cols)
+                edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+                found_a, found_b, held = [], [], 0
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    if hi - lo < 2 or (label[lo:hi] == label[lo]).all():
+                        continue
+                    levels, halves = folded(sketch[lo:hi].tolist()), first[lo] != last[lo]
+                    for i in range(lo, hi - 1):
+                        # sizes rise, so the partners of i end where they get too large
+                        end = lo + int(np.searchsorted(n[lo:hi], 100 * int(n[i]) // percent, side="right"))
+                        rows, nearest = levels[(8 * len(sketch[i])).bit_length() - 1], None
+                        for at in range(i + 1, end, block):
+                            j = np.arange(at, min(at + block, end))
+                            j = j[(label[j] != label[i]) & (part[j] != part[i] if halves else True)]
+                            if not len(j):
+                                continue
+                            k = np.full(len(j), i)
+                            j = j[passes(n[k], place[k], small[k], n[j], place[j], small[j], percent)]
+                            apart = np.bitwise_count(rows[j - lo] ^ rows[i - lo]).sum(axis=1, dtype=np.int64)
+                            size = n[j].astype(np.int64) + int(n[i])
+                            room = size - 2 * least_overlap(size, 0, percent) - apart
+                            ok = room >= 0
+                            if not ok.any():
+                                continue
+                            if best:
+                                k = int(np.argmax(np.where(ok, room / size, -1)))
+                                if nearest is None or room[k] / size[k] > nearest[0]:
+                                    nearest = room[k] / size[k], j[k]
+                                continue
+                            found_a.append(np.full(int(ok.sum()), node[i]))
+                            found_b.append(node[j[ok]])
+                            held += int(ok.sum())
+                        if nearest is not None:
+                            found_a.append(node[i:i + 1])
+                            found_b.append(node[nearest[1]:nearest[1] + 1])
+                            held += 1
                         if held > 200_000:
                             yield _pair_batch(np.concatenate(found_a), np.concatenate(found_b))
                             found_a, found_b, held = [], [], 0
-            if held:
-                yield _pair_batch(np.concatenate(found_a), np.concatenate(found_b))
-    return run
+                if held:
+                    yield _pair_batch(np.concatenate(found_a), np.concatenate(found_b))
+        return run
+    return of
+
+
+def in_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``rows`` with ``key, left, right, block``: a gram of over ``block_rows`` rows is dealt into blocks by a hash of the
+    node, and every two blocks (and each with itself) are a group of their own, so no task gathers the gram."""
+    sizes = rows.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = (rows.join(broadcast_if_small(sizes), "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    left, right = F.least("block", "other"), F.greatest("block", "other")
+    return dealt.withColumns({"left": left, "right": right, "key": F.when(F.col("blocks") == 1, F.col("gram"))
+                              .otherwise(F.xxhash64("gram", left, right))}).drop("blocks", "other")
 
 
 def sketch_filter(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -364,7 +396,7 @@ def sets_of(source: DataFrame, wanted, nodes) -> DataFrame:
     return source.mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
 
 
-def verify(pairs: DataFrame, source: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, n_pairs: int, source: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sets reach the threshold; ``members`` has a document id for each node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,6 +411,8 @@ def verify(pairs: DataFrame, source: DataFrame, members: DataFrame, percent: int
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = members.join(nodes, "node").where("doc_id IS NOT NULL").select("doc_id")
     sets = sets_of(source, key_filter(ids), key_filter(pairs))
+    tasks = max(1, -(-n_pairs // _PAIRS_PER_TASK))
+    sets = sets.coalesce(tasks)
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -389,7 +423,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     spark = docs.sparkSession
     source = id_text(docs, id_col, text_col)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = cut_lineage(source.mapInArrow(_marks, "doc_id long, n_shingles long, node long, sketch binary, part int, counts binary"))
+    marks = cut_lineage(source.mapInArrow(_marks, _MARK_SCHEMA))
     counts = np.zeros(BUCKETS, dtype=np.uint32)
     for row in sum_parts(marks.where("part IS NOT NULL")).toLocalIterator():  # BUCKETS numbers in all
         counts[row["part"] * _PART:(row["part"] + 1) * _PART] = np.frombuffer(row["counts"], dtype="<u4")
@@ -397,32 +431,55 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
     # rows of a gram together; a gram that a third of all sets share stays out of prefixes as long as they hold rarer ones
     by_gram = prefix_rows(source, frequency, percent).repartition(n_parts, "gram").sortWithinPartitions("gram", "node")
-    shared = cut_lineage(by_gram.mapInArrow(_shared, "gram long, node long, n int, place int, small long, many boolean"))
+    shared = stored(by_gram.mapInArrow(_shared, "gram long, node long, place int, many boolean"))
 
-    nodes = marks.where("sketch IS NOT NULL").dropDuplicates(["node"]).select("node", "n_shingles", "sketch")
+    nodes = marks.where("sketch IS NOT NULL").dropDuplicates(["node"]).select("node", "n_shingles", "small", "sketch")
     members = marks.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-
-    def meet(rows: DataFrame, pairs_of) -> DataFrame:
-        by_gram = rows.repartition(n_parts, "gram").sortWithinPartitions("gram")
-        return by_gram.mapInArrow(pairs_of(percent), "a long, b long").distinct()
-
-    known, links, labels = cut_lineage(meet(shared, _near_pairs)), None, None
-    fresh = known
-    for pairs_of in (_steps_between, _cross_pairs, None):
-        likely = cut_lineage(sketch_filter(fresh, nodes, percent))
-        if labels is None or likely.limit(1).count():
-            found = verify(likely, source, members, percent)
-            links = cut_lineage(found if links is None else links.unionByName(found))
+    sizes = broadcast_if_small(nodes.select("node", F.col("n_shingles").cast("int").alias("n"), "small")
+                               .join(shared.select("node").distinct(), "node", "left_semi"))
+    shared = stored(shared.join(sizes, "node").select(*_NAMES, "many"))
+    sketches = stored(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "sketch"))
+
+    def meet(rows: DataFrame, pairs_of, key: str = "gram") -> DataFrame:
+        grouped = rows.repartition(n_parts, key).sortWithinPartitions(key)
+        pairs = grouped.mapInArrow(pairs_of(percent), "a long, b long")
+        return pairs.groupBy("a", "b").agg(F.lit(1).alias("_")).select("a", "b")  # partial sums before the shuffle
+
+    known, links, labels = None, None, None
+
+    def settle(pairs: DataFrame, sketched: bool) -> bool:
+        """Looks at the pairs that are new, and whether that gave links."""
+        nonlocal known, links, labels
+        fresh = stored(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
+        known = fresh if known is None else known.unionByName(fresh)
+        likely = fresh if sketched else stored(sketch_filter(fresh, sketches, percent))
+        n = likely.count()
+        if not n and links is not None:
+            return False
+        found = stored(verify(likely, n, source, members, percent))
+        gained = links is None or found.limit(1).count() > 0
+        links = found if links is None else links.unionByName(found)
+        if gained:
             labels = connected_components(links)
-        if pairs_of is None:
-            break
+        return gained
+
+    def labelled() -> DataFrame:
         # grams of two nodes were settled in round one
-        labelled = (shared.where("many").join(labels, "node", "left")
-                    .select("gram", "node", "n", "place", "small", F.coalesce("label", "node").alias("label")))
-        if pairs_of is _cross_pairs:
-            labelled = labelled.join(nodes.select("node", "sketch"), "node")
-        fresh = cut_lineage(meet(labelled, pairs_of).join(known, ["a", "b"], "left_anti"))
-        known = known.unionByName(fresh)
+        return (shared.where("many").join(labels, "node", "left")
+                .select(*_NAMES, F.coalesce("label", "node").alias("label")))
+
+    def crossing(best: bool) -> DataFrame:
+        rows = labelled()
+        apart = rows.groupBy("gram").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l <> _h").select("gram")
+        rows = in_blocks(stored(rows.join(apart, "gram", "left_semi"))).join(sketches.select("node", "sketch"), "node")
+        return meet(rows, _cross_pairs(best), "key")
+
+    settle(meet(shared, _near_pairs), False)
+    settle(meet(labelled(), _steps_between), False)
+    for _ in range(NEAREST_ROUNDS):  # components grow by each row's nearest partner first
+        if not settle(crossing(best=True), True):
+            break
+    settle(crossing(best=False), True)
 
     rows = marks.where("part IS NULL").select("doc_id", "n_shingles", "node")
     named = (rows.join(labels, "node", "left")

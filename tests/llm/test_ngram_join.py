@@ -101,9 +101,25 @@ def test_filters_never_drop_a_similar_pair():
         assert len(shared)
         arr = lambda v: np.array([v])
         for g in shared:
-            assert ngram_join.passes(arr(len(a)), np.searchsorted(a, arr(g)), arr(ngram_join.small_sketch(a)),
-                                     arr(len(b)), np.searchsorted(b, arr(g)), arr(ngram_join.small_sketch(b)), 75)[0]
+            assert ngram_join.passes(arr(len(a)), np.searchsorted(a, arr(g)), arr(ngram_join.small_sketch(ngram_join.sketch_of(a))),
+                                     arr(len(b)), np.searchsorted(b, arr(g)), arr(ngram_join.small_sketch(ngram_join.sketch_of(b))), 75)[0]
         apart = len(np.setxor1d(a, b))
         assert ngram_join.differing_bits(ngram_join.sketch_of(a), ngram_join.sketch_of(b)) <= apart
         half = b[::3]
         assert ngram_join.differing_bits(ngram_join.sketch_of(a), ngram_join.sketch_of(half)) <= len(np.setxor1d(a, half))
+
+
+def test_crowded_shingles_meet_in_blocks(spark, monkeypatch):
+    rng = random.Random(17)
+    template = [f"t{k}" for k in range(30)]
+    rows = []
+    for k in range(90):  # a template makes up much of every text; some texts are near copies of others
+        own = [f"own{k if k % 3 else k + 1}_{j}" for j in range(rng.choice([12, 14, 40]))]
+        rows.append((k, " ".join(template[: rng.randrange(20, 31)] + own)))
+    want = brute(rows)
+    rows_of = ngram_join.in_blocks
+    for size in (1, 7):
+        monkeypatch.setattr(ngram_join, "in_blocks", lambda df, size=size: rows_of(df, size))
+        assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == want
+    monkeypatch.setattr(ngram_join, "NEAREST_ROUNDS", 0)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want

@@ -64,3 +64,18 @@ def test_awkward_rows(spark, make):
     if n:
         assert sorted(r.doc_id for r in exact.collect() if r.doc_id is not None) == [1, 2, 4, 5, 7, 8]
         assert sorted(r.doc_id for r in near.collect() if r.doc_id is not None) == [1, 2, 4, 5, 7, 8]
+
+
+def test_copies_are_dropped_by_row_not_by_id(spark):
+    same, other, third = "one two three four five six seven eight", "a text of its own that is not like the others", "yet another text, alone"
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, same), (5, same), (5, other), (None, third), (None, third), (None, same), (7, third), (7, third), (None, "only here"),
+            (8, near), (2, near + " end"), (8, "eight has a second text"), (None, near + " more")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _row string")
+    exact = cp.drop_exact_copies(spark, docs, SF)
+    want = {(3, same), (5, other), (7, third), (None, "only here"), (8, near), (2, near + " end"), (8, "eight has a second text"), (None, near + " more")}
+    assert exact.columns == docs.columns and exact.count() == len(want)
+    assert {(r.doc_id, r.text) for r in exact.collect()} == want
+    left = cp.drop_near_copies(spark, exact, SF)
+    assert {(r.doc_id, r.text) for r in left.collect()} == want - {(8, near), (None, near + " more")}
+    assert left.columns == docs.columns
