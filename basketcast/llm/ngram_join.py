@@ -20,7 +20,7 @@ in the counts).  Any order is exact; the counts only make prefixes rare.
 The answer is a component per document, so pairs inside one component need not all be
 looked at.  Round one verifies, per meeting shingle, neighbours by size and everyone
 with the first; its links give components.  Round two does the same with neighbours that lie
-in different components.  In round three every row of a shingle looks for the nearest partner by
+in different components.  In round three every row of a crowded shingle looks for the nearest partner by
 sketch that lies in another component; this is repeated with the grown components, and then every remaining pair that meets, lies in different components and passes the filters
 is verified.  No link between different components is
 lost, and a large group of near copies costs its size, not its square.  In round three the rows of a
@@ -45,14 +45,15 @@ from basketcast.llm.bitmap import bit_of, key_filter
 from basketcast.llm.components import connected_components
 from basketcast.llm.shingles import mix, shingle_set
 from basketcast.llm.text import columns_of, id_text, rows_out, sorted_runs
-from basketcast.session import broadcast_if_small, cut_lineage, stored
+from basketcast.session import DEFAULT_BROADCAST_ROWS, broadcast_if_small, cut_lineage, stored
 
 PERCENT = 75
 BUCKETS = 1 << 22
 _PART = 1 << 15          # buckets per row while counts travel
 _SEEN = 500_000          # nodes a task remembers to emit equal sets once
 BLOCK_ROWS = 4096        # rows of a gram that are compared in one task
-NEAREST_ROUNDS = 2       # rounds over nearest partners before all remaining pairs are verified
+NEAREST_ROUNDS = 1       # rounds over nearest partners before all remaining pairs are verified
+CROWDED = 64             # rows of a gram from which a round over nearest partners is worth its while
 _PAIRS_PER_TASK = 5_000  # pairs whose sets a task fetches
 
 _MARK_TYPES = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()),
@@ -367,16 +368,18 @@ def sketch_filter(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFr
 
 
 def sets_of(source: DataFrame, wanted, nodes) -> DataFrame:
-    """``node, grams`` (sorted 64-bit hashes) of the documents whose id passes ``wanted`` (or is null)
+    """``node, grams`` (sorted 64-bit hashes) of the documents whose id passes ``wanted`` (or is null; None: all)
     and whose node passes ``nodes``, each node once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, bits, seen = wanted.value, nodes.value, set()
+        ids, bits, seen = wanted and wanted.value, nodes.value, set()
         types = [("node", pa.int64()), ("grams", pa.binary())]
         for batch in batches:
             rows, size = [], 0
-            column = batch.column(batch.schema.get_field_index("doc_id"))
-            hit = ids[bit_of(column.fill_null(0).to_numpy(zero_copy_only=False))] | column.is_null().to_numpy(zero_copy_only=False)
-            for (text,) in zip(*columns_of(batch.filter(pa.array(hit)), "text"), strict=True):
+            if ids is not None:
+                column = batch.column(batch.schema.get_field_index("doc_id"))
+                hit = ids[bit_of(column.fill_null(0).to_numpy(zero_copy_only=False))] | column.is_null().to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(hit))
+            for (text,) in zip(*columns_of(batch, "text"), strict=True):
                 grams = shingle_set(text)
                 if not len(grams):
                     continue
@@ -409,8 +412,12 @@ def verify(pairs: DataFrame, n_pairs: int, source: DataFrame, members: DataFrame
             yield rows_out(rows, _PAIR_TYPES)
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = members.join(nodes, "node").where("doc_id IS NOT NULL").select("doc_id")
-    sets = sets_of(source, key_filter(ids), key_filter(pairs))
+    ids = stored(members.join(nodes, "node").where("doc_id IS NOT NULL").select("doc_id"))
+    if ids.count() <= DEFAULT_BROADCAST_ROWS:  # numbers of 8 bytes: only their documents go to the tasks
+        named = source.join(F.broadcast(ids), "doc_id", "left_semi").unionByName(source.where("doc_id IS NULL"))
+        sets = sets_of(named, None, key_filter(pairs))
+    else:
+        sets = sets_of(source, key_filter(ids), key_filter(pairs))
     tasks = max(1, -(-n_pairs // _PAIRS_PER_TASK))
     sets = sets.coalesce(tasks)
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
@@ -470,7 +477,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
     def crossing(best: bool) -> DataFrame:
         rows = labelled()
-        apart = rows.groupBy("gram").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l <> _h").select("gram")
+        apart = (rows.groupBy("gram").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.count(F.lit(1)).alias("_n"))
+                 .where(F.col("_l") != F.col("_h")).where(F.col("_n") >= (CROWDED if best else 2)).select("gram"))
         rows = in_blocks(stored(rows.join(apart, "gram", "left_semi"))).join(sketches.select("node", "sketch"), "node")
         return meet(rows, _cross_pairs(best), "key")
 

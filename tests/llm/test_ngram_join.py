@@ -121,5 +121,7 @@ def test_crowded_shingles_meet_in_blocks(spark, monkeypatch):
     for size in (1, 7):
         monkeypatch.setattr(ngram_join, "in_blocks", lambda df, size=size: rows_of(df, size))
         assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == want
+    monkeypatch.setattr(ngram_join, "CROWDED", 2)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want
     monkeypatch.setattr(ngram_join, "NEAREST_ROUNDS", 0)
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want
