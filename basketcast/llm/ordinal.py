@@ -136,13 +136,21 @@ class OrdinalModel:
         return np.diff(upto, axis=1)
 
 
-def screen(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, least_z: float, max_features: int) -> np.ndarray:
+_CHUNK_SETS = 500  # sets that are looked at together: the arrays of all would be many times as large as the sets
+
+
+def screen(sets: list[np.ndarray], grades: np.ndarray, least_z: float, max_features: int) -> np.ndarray:
     """Features whose documents' mean grade is far from the overall mean, in standard errors."""
     spread = grades.std()
     if not spread:
         return np.empty(0, dtype=np.int32)
-    n = np.bincount(cols, minlength=DIMENSIONS)
-    total = np.bincount(cols, weights=grades[rows] - grades.mean(), minlength=DIMENSIONS)
+    n, total = np.zeros(DIMENSIONS, dtype=np.int64), np.zeros(DIMENSIONS)
+    for k in range(0, len(sets), _CHUNK_SETS):
+        part = sets[k:k + _CHUNK_SETS]
+        cols = np.concatenate(part)
+        n += np.bincount(cols, minlength=DIMENSIONS)
+        away = np.repeat(grades[k:k + len(part)] - grades.mean(), [len(s) for s in part])
+        total += np.bincount(cols, weights=away, minlength=DIMENSIONS)
     z = np.abs(total) / (spread * np.sqrt(np.maximum(n, 1)))
     z[n < max(3, len(grades) // 400)] = 0  # too rare to tell
     best = np.argsort(-z, kind="stable")[:max_features]
@@ -156,12 +164,13 @@ def fit(sets: list[np.ndarray], grades: np.ndarray, n_grades: int, least_z: floa
     if not n:
         return OrdinalModel(np.empty(0, np.int32), np.empty(0), np.full(n_grades - 1, -50.0))
     grades = np.asarray(grades, dtype=int)
-    rows = np.repeat(np.arange(n), [len(s) for s in sets])
-    cols = np.concatenate(sets)
-    kept = screen(rows, cols, grades.astype(float), least_z, max_features)
-    at = np.searchsorted(kept, cols)
-    hit = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == cols) if len(kept) else np.zeros(len(cols), bool)
-    rows, at = rows[hit], at[hit]
+    kept = screen(sets, grades.astype(float), least_z, max_features)
+    place = np.full(DIMENSIONS, -1, dtype=np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
+    found = [place[s] for s in sets]
+    found = [f[f >= 0] for f in found]
+    rows = np.repeat(np.arange(n), [len(f) for f in found])
+    at = np.concatenate(found)
     # thresholds = first, then first + cumulated exp(steps): ordered whatever the steps are
     share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / n, 0.5 / (n + 1), 1 - 0.5 / (n + 1))
     start = np.log(share / (1 - share))
