@@ -122,3 +122,17 @@ def test_broadcast_is_bounded_by_bytes(spark):
     assert session._measure(wide)[1] > session.DEFAULT_BROADCAST_BYTES
     table, rows, side = session.materialize(wide)
     assert rows == 100 and side is table
+
+
+def test_one_date_format_per_column(spark):
+    from basketcast.operators.clean import column_pattern
+    def days(*values):
+        df = spark.createDataFrame([(v, "p", 1.0, "t") for v in values], "Date string, ProductID string, Quantity double, TransactionID string")
+        return column_pattern(df, "Date"), sorted(str(r.Date) for r in normalize_transactions(df).collect())
+    # a value that is no month in first place makes the whole column day-first
+    assert days("01/02/2025", "13/02/2025", None, " ")[1] == ["2025-02-01", "2025-02-13"]
+    assert days("01/02/2025", "02/13/2025")[1] == ["2025-01-02", "2025-02-13"]
+    assert days("2025-01-02", "2025-02-13 10:00:00") == (0, ["2025-01-02", "2025-02-13"])
+    pattern, read = days("2025-01-02", "13/02/2025")  # mixed: value by value
+    assert pattern is None and read == ["2025-01-02", "2025-02-13"]
+    assert days(None, "")[0] is None
