@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from basketcast.operators import features as ft
 from basketcast.operators import validate as v
-from basketcast.plans import fixed_model
+from basketcast.plans import fixed_model, series_sql
 
 
 def _expand_r6(sql: str) -> str:
@@ -533,6 +533,10 @@ SELECT main_product, product_rank, rule_rank,
               || 'stock them together or offer a bundle.',
               main_product, main_product_forecast, associated_products, confidence, lift) AS recommendation
 FROM insights ORDER BY product_rank, rule_rank LIMIT 5"""
+    series = "WITH RECURSIVE " + tx() + ",\n" + DAILY + ",\n"
+    q["arima_forecast"] = series + series_sql.arima()
+    q["trend_season_forecast"] = series + series_sql.forecast()
+    q["forecast_intervals"] = series + series_sql.intervals()
     sel = "('Brand#11', 'Brand#23', 'Brand#3', 'Brand#14')"
     q["inventory_selected"] = with_(tx().replace("transactions AS (", "every AS ("),
         "transactions AS (SELECT * FROM every WHERE ProductID <> 'Brand#23' OR Date < DATE '1998-06-01')",

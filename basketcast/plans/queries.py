@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketcast.operators import (baskets, boosting, daily, features, forecast, inventory, itemsets, reports,
-                                  rule_views, validate)
+                                  rule_views, timeseries, validate)
 from basketcast.operators.clean import filter_products, normalize_transactions
 from basketcast.plans import fixed_model, flows
 from basketcast.plans import fixtures as fx
@@ -390,6 +390,26 @@ def q_bundle_stock(spark, sf):
     return inventory.bundle_inventory(tx, fx.stand_in_forecast(spark, sf), bundles).drop("confidence", "lift")
 
 
+# ---------------------------------------------------------------- time-series models
+def _r4(df, names):
+    return df.withColumns({c: F.round(F.col(c) + F.lit(1e-10), 4) for c in names})
+
+
+def q_arima_forecast(spark, sf):
+    """ARIMA(2, 1, 1) per product, 30 days ahead."""
+    return _r4(timeseries.arima_forecast(fx.daily_table(spark, sf)), ["Predicted_Quantity"])
+
+
+def q_trend_season_forecast(spark, sf):
+    """Trend, weekday and yearly waves per product, 30 days ahead."""
+    return _r4(timeseries.trend_season_forecast(fx.daily_table(spark, sf)), ["Predicted_Quantity"])
+
+
+def q_forecast_intervals(spark, sf):
+    """The same forecast with 90 % intervals from six backtests."""
+    return _r4(timeseries.forecast_intervals(fx.daily_table(spark, sf)), ["Predicted_Quantity", "lower", "upper"])
+
+
 # ---------------------------------------------------------------- selections, messy input, files
 def q_inventory_selected(spark, sf):
     """Advice for some products only: the lead time starts where the forecast of all products starts."""
@@ -529,6 +549,9 @@ QUERIES: dict[str, Query] = {
     "scenario_forecast": q_scenario_forecast,
     "actual_vs_forecast": q_actual_vs_forecast,
     "forecast_report": q_forecast_report,
+    "arima_forecast": q_arima_forecast,
+    "trend_season_forecast": q_trend_season_forecast,
+    "forecast_intervals": q_forecast_intervals,
     "safety_stock": q_safety_stock,
     "reorder_points": q_reorder_points,
     "economic_order_quantity": q_economic_order_quantity,
