@@ -537,6 +537,30 @@ FROM insights ORDER BY product_rank, rule_rank LIMIT 5"""
     q["arima_forecast"] = series + series_sql.arima()
     q["trend_season_forecast"] = series + series_sql.forecast()
     q["forecast_intervals"] = series + series_sql.intervals()
+    q["association_adjusted_forecast"] = "WITH RECURSIVE " + ",\n".join([*b, DAILY, FORECAST]) + """,
+best AS (
+  SELECT source, target, MAX(confidence) AS c
+  FROM (SELECT antecedents[1] AS source, unnest(consequents) AS target, confidence FROM rules WHERE len(antecedents) = 1) u
+  GROUP BY 1, 2),
+weights AS (SELECT source, target, c / greatest(SUM(c) OVER (PARTITION BY target), 1.0) AS w FROM best),
+base AS (SELECT ProductID, SUM(Quantity) / ((SELECT MAX(Date) FROM daily) - MIN(Date) + 1) AS m FROM daily GROUP BY ProductID),
+dev AS (SELECT ProductID, AVG(Predicted_Quantity) / ANY_VALUE(m) - 1 AS d FROM fc JOIN base USING (ProductID) GROUP BY ProductID),
+moves AS (
+  SELECT 0 AS k, ProductID, d FROM dev
+  UNION ALL
+  SELECT k + 1, target, SUM(0.5::DOUBLE * w * d) FROM moves JOIN weights ON source = ProductID WHERE k < 60 GROUP BY k, target),
+reached AS (SELECT ProductID, SUM(d) FILTER (k > 0) AS influence FROM moves GROUP BY ProductID)
+SELECT Date, ProductID, r6(Predicted_Quantity, 4) AS Predicted_Quantity, r6(COALESCE(influence, 0.0), 4) AS influence,
+       r6(greatest(Predicted_Quantity * (1 + COALESCE(influence, 0.0)), 0.0), 4) AS Adjusted_Quantity
+FROM fc JOIN reached USING (ProductID)"""
+    q["sales_by_category"] = with_(tx()) + """
+SELECT strftime(Date, '%Y-%m') AS SaleMonth, ProductID AS Category, SUM(Quantity) AS quantity, COUNT(*) AS n
+FROM transactions WHERE Date BETWEEN DATE '1996-01-15' AND DATE '1997-06-30'
+  AND ProductID IN ('Brand#11', 'Brand#23', 'Brand#3') GROUP BY 1, 2"""
+    q["sales_in_periods"] = with_(tx("p_partkey")) + """
+SELECT period, SUM(Quantity) AS quantity, COUNT(*) AS n, COUNT(DISTINCT ProductID) AS products
+FROM (SELECT *, year(Date) || 'Q' || quarter(Date) AS period FROM transactions) t
+WHERE period IN ('1996Q3', '1997Q1') GROUP BY period"""
     sel = "('Brand#11', 'Brand#23', 'Brand#3', 'Brand#14')"
     q["inventory_selected"] = with_(tx().replace("transactions AS (", "every AS ("),
         "transactions AS (SELECT * FROM every WHERE ProductID <> 'Brand#23' OR Date < DATE '1998-06-01')",

@@ -8,6 +8,7 @@ order are rounded to 6 places on both sides; item sets are compared as
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 from functools import partial
@@ -15,15 +16,16 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketcast.operators import (baskets, boosting, daily, features, forecast, inventory, itemsets, reports,
+from basketcast.operators import (association_forecast, baskets, boosting, daily, features, forecast, inventory, itemsets, reports,
                                   rule_views, timeseries, validate)
 from basketcast.operators.clean import filter_products, normalize_transactions
 from basketcast.plans import fixed_model, flows
 from basketcast.plans import fixtures as fx
 from basketcast.plans.oracle import MULTI
 from basketcast.session import cut_lineage, ensure_checkpoint_dir
+from basketcast.sources import history
 from basketcast.sources.sinks import write_csv
-from basketcast.sources.transactions import tpch_lines
+from basketcast.sources.transactions import table, tpch_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 RULE_COLS = ["antecedents_str", "consequents_str", "support", "confidence", "lift"]
@@ -410,6 +412,36 @@ def q_forecast_intervals(spark, sf):
     return _r4(timeseries.forecast_intervals(fx.daily_table(spark, sf)), ["Predicted_Quantity", "lower", "upper"])
 
 
+def q_association_adjusted_forecast(spark, sf):
+    """The stand-in forecast moved along rule confidences to the fixed point."""
+    day = fx.daily_table(spark, sf)
+    out = association_forecast.adjusted_forecast(day, fx.stand_in_forecast(spark, sf, daily=day), fx.rules(spark, sf))
+    return _r4(out, ["Predicted_Quantity", "influence", "Adjusted_Quantity"])
+
+
+# ---------------------------------------------------------------- time ranges, periods, categories
+def _history(spark, sf):
+    return history.write_history(fx.transactions(spark, sf, "CAST(p_partkey AS STRING)"), _scratch(spark, "history"))
+
+
+def q_sales_by_category(spark, sf):
+    """Sales of three categories (brands of the parts) from 15 January 1996 to 30 June 1997, by month."""
+    rows = history.read_history(spark, _history(spark, sf), dt.date(1996, 1, 15), dt.date(1997, 6, 30))
+    brands = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("ProductID"), F.col("p_brand").alias("Category"))
+    return history.with_category(rows, brands, SELECTED[:3]).groupBy("SaleMonth", "Category").agg(
+        F.sum("Quantity").alias("quantity"), F.count(F.lit(1)).alias("n"))
+
+
+def q_sales_in_periods(spark, sf):
+    """Sales of named quarters; which months a quarter has comes from the orders."""
+    day = F.to_date("o_orderdate")
+    quarters = table(spark, sf, "orders").select(
+        F.concat(F.year(day), F.lit("Q"), F.quarter(day)).alias("period"), F.date_format(day, "yyyy-MM").alias(history.MONTH)).distinct()
+    rows = history.in_periods(history.read_history(spark, _history(spark, sf)), quarters, ["1996Q3", "1997Q1"])
+    return rows.groupBy("period").agg(F.sum("Quantity").alias("quantity"), F.count(F.lit(1)).alias("n"),
+                                      F.countDistinct("ProductID").alias("products"))
+
+
 # ---------------------------------------------------------------- selections, messy input, files
 def q_inventory_selected(spark, sf):
     """Advice for some products only: the lead time starts where the forecast of all products starts."""
@@ -552,6 +584,9 @@ QUERIES: dict[str, Query] = {
     "arima_forecast": q_arima_forecast,
     "trend_season_forecast": q_trend_season_forecast,
     "forecast_intervals": q_forecast_intervals,
+    "association_adjusted_forecast": q_association_adjusted_forecast,
+    "sales_by_category": q_sales_by_category,
+    "sales_in_periods": q_sales_in_periods,
     "safety_stock": q_safety_stock,
     "reorder_points": q_reorder_points,
     "economic_order_quantity": q_economic_order_quantity,

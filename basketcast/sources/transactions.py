@@ -42,7 +42,7 @@ def tpch_lines(spark: SparkSession, sf_dir: str, product_col: str = "p_brand") -
     """
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    pt = table(spark, sf_dir, "part").select("p_partkey", F.col(product_col).alias("_product"), "p_retailprice")
+    pt = table(spark, sf_dir, "part").select("p_partkey", F.expr(product_col).alias("_product"), "p_retailprice")
     return (li.join(od, li.l_orderkey == od.o_orderkey)
               .join(pt, li.l_partkey == pt.p_partkey)
               .select("l_orderkey", "l_linenumber", "o_orderdate", "_product", "l_quantity", "p_retailprice"))
