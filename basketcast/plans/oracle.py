@@ -553,6 +553,23 @@ reached AS (SELECT ProductID, SUM(d) FILTER (k > 0) AS influence FROM moves GROU
 SELECT Date, ProductID, r6(Predicted_Quantity, 4) AS Predicted_Quantity, r6(COALESCE(influence, 0.0), 4) AS influence,
        r6(greatest(Predicted_Quantity * (1 + COALESCE(influence, 0.0)), 0.0), 4) AS Adjusted_Quantity
 FROM fc JOIN reached USING (ProductID)"""
+    q["bundle_forecast"] = with_(*type_rules(), DAILY, FORECAST) + """,
+named AS (SELECT DISTINCT list_sort(list_concat(antecedents, consequents)) AS items FROM rules),
+held AS (
+  SELECT k.t, n.items, array_to_string(n.items, ', ') AS bundle
+  FROM (SELECT t, list(i) AS b FROM bl GROUP BY t) k, named n WHERE list_has_all(k.b, n.items)),
+chosen AS (
+  SELECT t, i, bundle FROM (SELECT t, unnest(items) AS i, bundle, len(items) AS size FROM held) u
+  QUALIFY row_number() OVER (PARTITION BY t, i ORDER BY size DESC, bundle) = 1),
+hist AS (SELECT l.i AS p, COALESCE(c.bundle, '') AS bundle, COUNT(*) AS n
+         FROM bl l LEFT JOIN chosen c ON c.t = l.t AND c.i = l.i GROUP BY 1, 2),
+shares AS (SELECT p, bundle, n, SUM(n) OVER (PARTITION BY p ORDER BY bundle) AS upto, SUM(n) OVER (PARTITION BY p) AS total FROM hist),
+parts AS (
+  SELECT f.Date, f.ProductID, s.bundle, CAST((u * upto) // total - (u * (upto - n)) // total AS BIGINT) AS units
+  FROM (SELECT Date, ProductID, CAST(round(Predicted_Quantity * 1000) AS HUGEINT) AS u FROM fc) f JOIN shares s ON s.p = f.ProductID)
+SELECT CASE GROUPING(ProductID) * 2 + GROUPING(bundle) WHEN 0 THEN 'part' WHEN 1 THEN 'product' WHEN 2 THEN 'bundle' ELSE 'total' END AS level,
+       Date, ProductID, bundle, CAST(SUM(units) AS BIGINT) AS units
+FROM parts GROUP BY GROUPING SETS ((Date, ProductID, bundle), (Date, ProductID), (Date, bundle), (Date))"""
     q["sales_by_category"] = with_(tx()) + """
 SELECT strftime(Date, '%Y-%m') AS SaleMonth, ProductID AS Category, SUM(Quantity) AS quantity, COUNT(*) AS n
 FROM transactions WHERE Date BETWEEN DATE '1996-01-15' AND DATE '1997-06-30'

@@ -16,7 +16,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketcast.operators import (association_forecast, baskets, boosting, daily, features, forecast, inventory, itemsets, reports,
+from basketcast.operators import (association_forecast, baskets, bundle_forecast, boosting, daily, features, forecast, inventory, itemsets, reports,
                                   rule_views, timeseries, validate)
 from basketcast.operators.clean import filter_products, normalize_transactions
 from basketcast.plans import fixed_model, flows
@@ -419,6 +419,13 @@ def q_association_adjusted_forecast(spark, sf):
     return _r4(out, ["Predicted_Quantity", "influence", "Adjusted_Quantity"])
 
 
+def q_bundle_forecast(spark, sf):
+    """The stand-in forecast dealt to bundles (all item sets behind the rules) and summed on every level."""
+    tx, rules = fx.transactions(spark, sf, fx.TYPE), fx.rules(spark, sf, fx.TYPE)
+    bundles = rules.select(F.concat("antecedents", "consequents").alias("items"))
+    return bundle_forecast.bundle_forecast(fx.stand_in_forecast(spark, sf, fx.TYPE), baskets.basket_lines(tx), bundles)
+
+
 # ---------------------------------------------------------------- time ranges, periods, categories
 def _history(spark, sf):
     return history.write_history(fx.transactions(spark, sf, "CAST(p_partkey AS STRING)"), _scratch(spark, "history"))
@@ -585,6 +592,7 @@ QUERIES: dict[str, Query] = {
     "trend_season_forecast": q_trend_season_forecast,
     "forecast_intervals": q_forecast_intervals,
     "association_adjusted_forecast": q_association_adjusted_forecast,
+    "bundle_forecast": q_bundle_forecast,
     "sales_by_category": q_sales_by_category,
     "sales_in_periods": q_sales_in_periods,
     "safety_stock": q_safety_stock,
