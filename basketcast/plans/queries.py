@@ -22,7 +22,7 @@ from basketcast.operators.clean import filter_products, normalize_transactions
 from basketcast.plans import fixed_model, flows
 from basketcast.plans import fixtures as fx
 from basketcast.plans.oracle import MULTI
-from basketcast.session import cut_lineage, ensure_checkpoint_dir
+from basketcast.session import cut_lineage, ensure_checkpoint_dir, stored
 from basketcast.sources import history
 from basketcast.sources.sinks import write_csv
 from basketcast.sources.transactions import table, tpch_lines
@@ -510,7 +510,7 @@ def _cleaned(df):
 
 
 def q_clean_messy(spark, sf):
-    return _cleaned(normalize_transactions(_messy(spark, sf)))
+    return _cleaned(normalize_transactions(stored(_messy(spark, sf))))  # read twice: for the date format, then for the rows
 
 
 def _scratch(spark, name):

@@ -136,3 +136,21 @@ def test_one_date_format_per_column(spark):
     pattern, read = days("2025-01-02", "13/02/2025")  # mixed: value by value
     assert pattern is None and read == ["2025-01-02", "2025-02-13"]
     assert days(None, "")[0] is None
+
+
+def test_texts_of_other_shapes_reach_no_date_parser(spark):
+    import re
+    from basketcast.operators.clean import DATE_PATTERNS, shape
+    fitting = {"01/13/2025": ["M/d/yyyy"], "13/01/2025": ["d/M/yyyy"], "1/2/2025": ["M/d/yyyy", "d/M/yyyy"], "Jan 5, 2025": ["MMM d, yyyy"],
+               "may 5, 2025": ["MMM d, yyyy", "MMMM d, yyyy"], "20250105": ["yyyyMMdd"], "2025-01-05": [], "n/a": [],
+               "1/2/2025 23:59:01": ["M/d/yyyy H:mm:ss"]}
+    for text, patterns in fitting.items():
+        assert [p for p in DATE_PATTERNS if re.search(shape(p).replace("(?iu:", "(?i:"), text)] == patterns, text
+    odd = [*fitting, "0001/02/2025", "12/31/-2025", "29 FEB 2025", "1-sep-24", "00/10/2025", "5.5.2025", "1/2/25", "9/9/99 ", "Sept 1, 2025"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    from pyspark.sql import functions as F
+    from basketcast.operators.clean import date_readings
+    guarded = date_readings(F.trim("t"))[1:]
+    plain = [F.try_to_timestamp(F.trim("t"), F.lit(p)).cast("date") for p in DATE_PATTERNS]
+    for row in df.select("t", F.array(*guarded).cast("array<string>").alias("g"), F.array(*plain).cast("array<string>").alias("p")).collect():
+        assert row.g == row.p, row.t
