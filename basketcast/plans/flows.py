@@ -20,7 +20,7 @@ from basketcast.operators.clean import filter_products, normalize_transactions
 from basketcast.operators.daily import daily_sales, sales_trend, sales_trend_stats, top_products
 from basketcast.operators.rules import mine_rules
 from basketcast.operators.validate import validate
-from basketcast.session import cut_lineage
+from basketcast.session import cut_lineage, stored
 from basketcast.sources.transactions import read_transactions
 
 
@@ -37,7 +37,7 @@ class Upload:
 def upload(spark: SparkSession, path: str, fmt: str | None = None) -> Upload:
     """Read CSV or Parquet (a file, a folder or a glob), clean it and validate it (raises on
     an unusable file)."""
-    tx = normalize_transactions(read_transactions(spark, path, fmt))
+    tx = stored(normalize_transactions(read_transactions(spark, path, fmt)))  # text is cleaned once, not for every result
     ok, message = validate(tx)
     return Upload(tx, basket_lines(tx), product_list(tx), dataset_stats(tx), ok, message)
 

@@ -44,3 +44,12 @@ def test_empty_rules_leave_the_feature_out(spark):
     _, rules = flows.associations(fx.transactions(spark, SF_SMALL), 0.9, 0.9)
     assert rules.isEmpty()
     assert ASSOCIATION_FEATURE not in forecast_features(fx.transactions(spark, SF_SMALL), rules).columns
+
+
+def test_an_upload_is_cleaned_once(spark, tmp_path):
+    from basketcast.plans.flows import upload
+    (tmp_path / "sales.csv").write_text("Order Date,Invoice-No,SKU,Qty\n" + "".join(
+        f"0{d}/13/2025,T{d},P{d % 3},{d}\n" for d in range(1, 10)) + "\"Jan 5, 2025\",T10,P1,n/a\n\"Jan 5, 2025\",T11,P1,2\n")
+    done = upload(spark, str(tmp_path / "sales.csv"))
+    (tmp_path / "sales.csv").unlink()  # later results read the stored rows
+    assert done.valid and done.transactions.count() == 10 and done.products.count() == 3
