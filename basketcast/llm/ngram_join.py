@@ -48,6 +48,7 @@ from basketcast.llm.text import columns_of, id_text, rows_out, sorted_runs
 from basketcast.session import DEFAULT_BROADCAST_ROWS, broadcast_if_small, cut_lineage, stored
 
 PERCENT = 75
+_MASK = (1 << 64) - 1
 BUCKETS = 1 << 22
 _PART = 1 << 15          # buckets per row while counts travel
 _SEEN = 500_000          # nodes a task remembers to emit equal sets once
@@ -63,9 +64,16 @@ _MARK_SCHEMA = "doc_id long, n_shingles long, node long, sketch binary, small lo
 
 def node_of(grams: np.ndarray) -> int:
     """64-bit name of a set."""
-    with np.errstate(over="ignore"):
-        total = np.array([np.add.reduce(grams) ^ np.uint64(len(grams)), np.bitwise_xor.reduce(grams)], dtype=np.uint64)
-        return int((mix(total[:1]) + mix(mix(total[1:])))[0].astype(np.int64))
+    total = (int(np.add.reduce(grams)) ^ len(grams), int(np.bitwise_xor.reduce(grams)))
+    name = (_mixed(total[0]) + _mixed(_mixed(total[1]))) & _MASK
+    return name - (1 << 64) if name >= 1 << 63 else name
+
+
+def _mixed(h: int) -> int:
+    """``mix`` of one number."""
+    h = ((h ^ h >> 33) * 0xFF51AFD7ED558CCD) & _MASK
+    h = ((h ^ h >> 33) * 0xC4CEB9FE1A85EC53) & _MASK
+    return h ^ h >> 33
 
 
 def least_overlap(n_a, n_b, percent: int):
@@ -113,7 +121,9 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(node)
-                at, n = np.unique((grams & np.uint64(BUCKETS - 1)).astype(np.int32), return_counts=True)
+                bucket = np.sort((grams & np.uint64(BUCKETS - 1)).astype(np.int32))
+                first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                at, n = bucket[first], np.diff(np.r_[first, len(bucket)])
                 total = counts[at] + n  # a set's own count per bucket is small
                 if total.max() > 255:
                     yield out()

@@ -125,3 +125,17 @@ def test_crowded_shingles_meet_in_blocks(spark, monkeypatch):
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want
     monkeypatch.setattr(ngram_join, "NEAREST_ROUNDS", 0)
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_set_names_are_mixed_as_arrays_are():
+    import numpy as np
+
+    from basketcast.llm import ngram_join
+    from basketcast.llm.shingles import mix, shingle_set
+
+    for n in (1, 5, 6, 40, 3000):
+        grams = shingle_set(" ".join(f"w{k}" for k in range(n)))
+        assert len(grams) == max(1, n - 4) and (grams[1:] > grams[:-1]).all()
+        total = np.array([np.add.reduce(grams) ^ np.uint64(len(grams)), np.bitwise_xor.reduce(grams)], dtype=np.uint64)
+        assert ngram_join.node_of(grams) == int((mix(total[:1]) + mix(mix(total[1:])))[0].astype(np.int64))
+    assert len(shingle_set("a b c d e a b c d e a b c d e")) == 5
