@@ -19,23 +19,23 @@ Params = dict[str, np.ndarray]
 
 
 def loss_of_softmax(x: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray]:
-    """Summed loss of the entries ``at``, one of each row, and its gradient; ``x`` is used up."""
-    rows = np.arange(len(at))
-    x -= x.max(axis=1, keepdims=True)
-    own = x[rows, at]
+    """Summed loss of the entries ``at``, one of each column, and its gradient; ``x`` is used up."""
+    columns = np.arange(len(at))
+    x -= x.max(axis=0)
+    own = x[at, columns]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
-    x /= total[:, None]
-    x[rows, at] -= 1
+    total = x.sum(axis=0)
+    x /= total
+    x[at, columns] -= 1
     return float((np.log(total) - own).sum()), x
 
 
 def log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One entry of each row's ``log_softmax``; ``x`` is used up."""
-    x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(at)), at]
+    """One entry of each column's ``log_softmax``; ``x`` is used up."""
+    x -= x.max(axis=0)
+    own = x[at, np.arange(len(at))]
     np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+    return own - np.log(x.sum(axis=0))
 
 
 class Gru:
@@ -74,39 +74,54 @@ class Gru:
         return np.where(symbols < self.n_head, symbols // self.block, symbols - self.n_head + self.n_head_classes)
 
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Next state, and the gates for going back."""
+        """Next state, and the gates for going back; a row per stream."""
+        return tuple(a.T for a in self.next_state(h.T, x))
+
+    def next_state(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``step`` with a column per stream, so every gate is one run of memory."""
         k = self.hidden
-        a = self.p["inputs"].take(x, axis=0)
-        b = h @ self.p["recurrent"]
-        b += self.p["bias"]
-        gates = a[:, :2 * k] + b[:, :2 * k]
+        a = self.p["inputs"].take(x, axis=0).T
+        b = self.p["recurrent"].T @ h
+        b += self.p["bias"][:, None]
+        gates = a[:2 * k] + b[:2 * k]
         np.negative(gates, out=gates)
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        update, reset = gates[:, :k], gates[:, k:]
-        new = reset * b[:, 2 * k:]
-        new += a[:, 2 * k:]
+        update, reset = gates[:k], gates[k:]
+        new = reset * b[2 * k:]
+        new += a[2 * k:]
         np.tanh(new, out=new)
         after = h - new
         after *= update
         after += new
-        return after, update, reset, new, b[:, 2 * k:]
+        return after, update, reset, new, b[2 * k:]
+
+    def by_class(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words of the head, class by class, and where each class begins."""
+        order = np.argsort(which, kind="stable")
+        edges = np.r_[0, np.cumsum(np.bincount(which, minlength=self.classes)[:self.n_head_classes])]
+        return order[:edges[-1]], edges
 
     def log_probabilities(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log of P(symbol | state), a row each."""
+        return self.log_of_columns(np.ascontiguousarray(states.T), symbols)
+
+    def log_of_columns(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """``log_probabilities`` of states in columns."""
         which = self.class_of(symbols)
-        outer = states @ self.p["outer"]
-        outer += self.p["outer_bias"]
+        outer = self.p["outer"].T @ states
+        outer += self.p["outer_bias"][:, None]
         out = log_share(outer, which)
-        order = np.argsort(which, kind="stable")
-        edges = np.searchsorted(which[order], np.arange(self.n_head_classes + 1))
-        for c in range(self.n_head_classes):
-            rows = order[edges[c]:edges[c + 1]]
-            if len(rows):
-                inner = states[rows] @ self.p["inner"][c]
-                inner += self.p["inner_bias"][c]
-                out[rows] += log_share(inner, symbols[rows] - c * self.block)
+        order, edges = self.by_class(which)
+        own, words = states.take(order, axis=1), symbols[order]
+        inside = np.empty(len(order), dtype=out.dtype)
+        for c in np.flatnonzero(np.diff(edges)).tolist():
+            lo, hi = edges[c], edges[c + 1]
+            inner = self.p["inner"][c].T @ own[:, lo:hi]
+            inner += self.p["inner_bias"][c][:, None]
+            inside[lo:hi] = log_share(inner, words[lo:hi] - c * self.block)
+        out[order] += inside
         return out
 
     def loss_and_gradients(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, keep: np.ndarray) -> tuple[float, Params, np.ndarray]:
@@ -114,50 +129,55 @@ class Gru:
         document begins (the state is dropped there); and the state after the window."""
         p, k = self.p, self.hidden
         steps, streams = x.shape
-        before, saved, states = [], [], []
+        h = h.T
+        kind = np.result_type(h, p["inputs"])
+        before, update, reset, new, lin = (np.empty((steps, k, streams), dtype=kind) for _ in range(5))
+        states = np.empty((k, steps, streams), dtype=kind)
         for t in range(steps):
-            h = h * keep[t][:, None]
-            before.append(h)
-            h, *gates = self.step(h, x[t])
-            saved.append(gates)
-            states.append(h)
-        flat, target = np.concatenate(states), y.ravel()
+            h = h * keep[t]
+            before[t] = h
+            h, update[t], reset[t], new[t], lin[t] = self.next_state(h, x[t])
+            states[:, t] = h
+        flat, target = states.reshape(k, -1), y.ravel()
         which = self.class_of(target)
-        loss, d = loss_of_softmax(flat @ p["outer"] + p["outer_bias"], which)
-        g = {"outer": flat.T @ d, "outer_bias": d.sum(axis=0), "inner": np.zeros_like(p["inner"]),
+        loss, d = loss_of_softmax(p["outer"].T @ flat + p["outer_bias"][:, None], which)
+        g = {"outer": flat @ d.T, "outer_bias": d.sum(axis=1), "inner": np.zeros_like(p["inner"]),
              "inner_bias": np.zeros_like(p["inner_bias"])}
-        d_flat = d @ p["outer"].T
-        order = np.argsort(which, kind="stable")
-        edges = np.searchsorted(which[order], np.arange(self.n_head_classes + 1))
+        d_flat = p["outer"] @ d
+        order, edges = self.by_class(which)
+        own, words = flat.take(order, axis=1), target[order]
+        d_own = np.empty_like(own)
         for c in np.flatnonzero(np.diff(edges)).tolist():
-            r = order[edges[c]:edges[c + 1]]
-            own = flat[r]
-            more, d = loss_of_softmax(own @ p["inner"][c] + p["inner_bias"][c], target[r] - c * self.block)
+            lo, hi = edges[c], edges[c + 1]
+            more, d = loss_of_softmax(p["inner"][c].T @ own[:, lo:hi] + p["inner_bias"][c][:, None], words[lo:hi] - c * self.block)
             loss += more
-            g["inner"][c], g["inner_bias"][c] = own.T @ d, d.sum(axis=0)
-            d_flat[r] += d @ p["inner"][c].T
-        d_states = d_flat.reshape(steps, streams, k)
-        g["recurrent"], g["bias"] = np.zeros_like(p["recurrent"]), np.zeros_like(p["bias"])
-        d_inputs = np.zeros((steps, streams, 3 * k), dtype=flat.dtype)
-        carry = np.zeros((streams, k), dtype=flat.dtype)
+            g["inner"][c], g["inner_bias"][c] = own[:, lo:hi] @ d.T, d.sum(axis=1)
+            d_own[:, lo:hi] = p["inner"][c] @ d
+        d_flat[:, order] += d_own
+        d_states = d_flat.reshape(k, steps, streams)
+        # what a step back multiplies by, for all steps at once
+        by_new, by_update, by_reset = (1 - update) * (1 - new * new), (before - new) * update * (1 - update), lin * reset * (1 - reset)
+        d_inputs, d_recurrent = np.empty((3 * k, steps, streams), dtype=kind), np.empty((steps, 3 * k, streams), dtype=kind)
+        carry = np.zeros((k, streams), dtype=kind)
         for t in reversed(range(steps)):
-            dh = d_states[t] + carry
-            update, reset, new, lin = saved[t]
-            d_new = dh * (1 - update) * (1 - new * new)
-            da = d_inputs[t]
-            da[:, :k] = dh * (before[t] - new) * update * (1 - update)
-            da[:, k:2 * k] = d_new * lin * reset * (1 - reset)
-            da[:, 2 * k:] = d_new
-            db = da.copy()
-            db[:, 2 * k:] *= reset
-            g["recurrent"] += before[t].T @ db
-            g["bias"] += db.sum(axis=0)
-            carry = (dh * update + db @ p["recurrent"].T) * keep[t][:, None]
+            dh = d_states[:, t] + carry
+            da, db = d_inputs[:, t], d_recurrent[t]
+            np.multiply(dh, by_update[t], out=da[:k])
+            np.multiply(dh, by_new[t], out=da[2 * k:])
+            np.multiply(da[2 * k:], by_reset[t], out=da[k:2 * k])
+            db[:2 * k] = da[:2 * k]
+            np.multiply(da[2 * k:], reset[t], out=db[2 * k:])
+            dh *= update[t]
+            dh += p["recurrent"] @ db
+            dh *= keep[t]
+            carry = dh
+        g["recurrent"] = np.matmul(before, d_recurrent.transpose(0, 2, 1)).sum(axis=0)
+        g["bias"] = d_recurrent.sum(axis=(0, 2))
         g["inputs"] = np.zeros_like(p["inputs"])
         order = np.argsort(x.ravel(), kind="stable")
         read, begin = np.unique(x.ravel()[order], return_index=True)
-        g["inputs"][read] = np.add.reduceat(d_inputs.reshape(-1, 3 * k)[order], begin, axis=0)
-        return loss, g, h
+        g["inputs"][read] = np.add.reduceat(d_inputs.reshape(3 * k, -1).take(order, axis=1), begin, axis=1).T
+        return loss, g, h.T
 
     def train(self, texts: list[np.ndarray], streams: int = 32, window: int = 24, rate: float = 0.01, passes: int = 1,
               seed: int = 0) -> int:
@@ -207,7 +227,7 @@ class Gru:
         for lo in range(0, len(order), streams):
             group = order[lo:lo + streams]
             lengths = np.array([len(texts[k]) for k in group])
-            h = np.zeros((len(group), self.hidden), dtype=np.float32)
+            h = np.zeros((self.hidden, len(group)), dtype=np.float32)
             last = np.full(len(group), self.first)
             for t in range(0, int(lengths[0]), window):
                 active = int(np.searchsorted(-lengths, -t, side="left"))  # longer than t: a leading run
@@ -215,17 +235,17 @@ class Gru:
                 for j in range(active):
                     part = texts[group[j]][t:t + window]
                     y[:len(part), j] = part
-                h, states, rows = h[:active], [], []
+                h, states, rows = h[:, :active], [], []
                 x = last[:active]
                 for s in range(min(window, int(lengths[0]) - t)):
                     live = int(np.searchsorted(-lengths[:active], -(t + s), side="left"))
-                    h, x = h[:live], x[:live]
-                    h = self.step(h, x)[0]
+                    h, x = h[:, :live], x[:live]
+                    h = self.next_state(h, x)[0]
                     states.append(h)
                     rows.append(live)
                     x = y[s, :live]
                 symbols = np.concatenate([y[s, :n] for s, n in enumerate(rows)])
-                logs = self.log_probabilities(np.concatenate(states), symbols)
+                logs = self.log_of_columns(np.concatenate(states, axis=1), symbols)
                 who = np.concatenate([np.arange(n) for n in rows])
                 out[group] += np.bincount(who, weights=logs, minlength=len(group))
                 last = x

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketcast.llm.gru import Gru, pack_params, unpack_params
+from basketcast.llm.shingles import hashes_and_endings
 from basketcast.llm.text import columns_of, id_text, rows_out
 from basketcast.session import cut_lineage
 
@@ -44,6 +46,7 @@ STREAMS = 256
 END = b" "  # no word holds a space
 MEMORY_WORDS = 400_000
 _PART = 1 << 14
+_SPAN = 1 << 22  # characters whose words are looked up together
 LOG10 = np.log(10.0)
 
 
@@ -64,33 +67,35 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def word_hash(word: bytes) -> int:
-    return _signed(xxhash.xxh64_intdigest(word))
+@cache
+def _classes(n_tail: int) -> np.ndarray:
+    """``tail_class`` by ending, as ``hashes_and_endings`` numbers them; words hold no space."""
+    pairs = (bytes((a, b)) if a != 32 else bytes((b,)) for a in range(256) for b in range(256))
+    return np.array([tail_class(pair, n_tail) for pair in pairs], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    """Word -> (hash with its tail class in place of the low bits)."""
+@cache
+def end_key(n_tail: int) -> int:
+    return _signed((xxhash.xxh64_intdigest(END) & ~0xFF) | tail_class(END, n_tail))
 
-    def __init__(self, n_tail: int):
-        super().__init__()
-        self.n_tail = n_tail
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY_WORDS:
-            self.clear()
-        value = self[word] = keyed(word, self.n_tail)
-        return value
+def keys_of(text: str, n_tail: int) -> np.ndarray:
+    """Per token of a text 56 bits of its hash and 8 bits of its tail class: a class total needs no spelling."""
+    hashes, endings = hashes_and_endings(text)
+    out = np.empty(len(hashes) + 1, dtype=np.int64)
+    out[:-1] = ((hashes & ~np.uint64(0xFF)) | _classes(n_tail)[endings]).view(np.int64)
+    out[-1] = end_key(n_tail)
+    return out
 
 
 def keyed(word: bytes, n_tail: int) -> int:
-    """56 bits of the word's hash and 8 bits of its tail class: a class total needs no spelling."""
-    return _signed((xxhash.xxh64_intdigest(word) & ~0xFF) | tail_class(word, n_tail))
+    """The key of one word."""
+    return end_key(n_tail) if word == END else int(keys_of(word.decode("utf-8", "surrogatepass"), n_tail)[0])
 
 
 def word_counts(source: DataFrame, n_tail: int) -> DataFrame:
     """``word, n``: training tokens by keyed hash, over all training documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Hashes(n_tail)
         keys, counts, held, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
 
         def merge():
@@ -107,9 +112,8 @@ def word_counts(source: DataFrame, n_tail: int) -> DataFrame:
             for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
                 if held_out(doc_id):
                     continue
-                words = tokens(text)
-                held.append(np.fromiter(map(memory.__getitem__, words), dtype=np.int64, count=len(words)))
-                size += len(words)
+                held.append(keys_of(text, n_tail))
+                size += len(held[-1])
                 if size > 1_500_000:
                     merge()
                     if len(keys) > 800_000:
@@ -163,24 +167,42 @@ class Vocabulary:
         return symbols, counts, divisor, np.where(in_head | (counts > 0), 0, keys)
 
 
-class _Known(dict):
-    """Word -> place of its facts; facts of new words are looked up together."""
+class _Known:
+    """Places of words in a table of their facts: the known words, then the others as they come."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary, self.new = vocabulary, []
-        self.held = vocabulary.look_up(np.empty(0, dtype=np.int64))
-
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self)
-        self.new.append(keyed(word, self.vocabulary.n_tail))
-        return place
-
-    def facts(self) -> tuple[np.ndarray, ...]:
-        more = self.vocabulary.look_up(np.array(self.new, dtype=np.int64))
-        self.held = tuple(np.concatenate([a, b]) for a, b in zip(self.held, more, strict=True))
-        self.new = []
-        return self.held
+        self.vocabulary = vocabulary
+        self.facts = vocabulary.look_up(vocabulary.words)
+        # a known word's place by the top bits of its key; of words that share them the most frequent
+        bits = max(8, len(vocabulary.words).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.places = np.zeros(1 << bits, dtype=np.int32)
+        rising = np.argsort(vocabulary.counts, kind="stable")
+        self.places[(vocabulary.words.view(np.uint64) >> self.shift)[rising]] = rising
+
+    def __len__(self) -> int:
+        return len(self.facts[0]) - len(self.vocabulary.words)
+
+    def rows(self, texts: list[str]) -> list[np.ndarray]:
+        """The places of each text's tokens."""
+        words = self.vocabulary.words
+        keys = [keys_of(text, self.vocabulary.n_tail) for text in texts]
+        flat = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
+        place = np.zeros(len(flat), dtype=np.int32)
+        rest = np.arange(len(flat))
+        if len(words):
+            place = self.places[flat.view(np.uint64) >> self.shift]
+            rest = np.flatnonzero(words[place] != flat)
+            at = np.minimum(np.searchsorted(words, flat[rest]), len(words) - 1)
+            found = words[at] == flat[rest]
+            place[rest[found]] = at[found]
+            rest = rest[~found]
+        if len(rest):
+            new, back = np.unique(flat[rest], return_inverse=True)
+            place[rest] = len(self.facts[0]) + back
+            self.facts = tuple(np.concatenate(both) for both in zip(self.facts, self.vocabulary.look_up(new), strict=True))
+        ends = np.cumsum([len(k) for k in keys]).tolist()
+        return [place[end - len(k):end] for end, k in zip(ends, keys, strict=True)]
 
 
 def gather_vocabulary(counts: DataFrame, n_head: int, n_tail: int, known_words: int) -> Vocabulary:
@@ -208,9 +230,8 @@ def gather_vocabulary(counts: DataFrame, n_head: int, n_tail: int, known_words:
 
 def _symbols(vocabulary: Vocabulary, texts: list[str]) -> list[np.ndarray]:
     known = _Known(vocabulary)
-    rows = [np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)) for words in map(tokens, texts)]
-    symbols = known.facts()[0]
-    return [symbols[r] for r in rows]
+    rows = known.rows(texts)
+    return [known.facts[0][r] for r in rows]
 
 
 def fit(source: DataFrame, vocabulary: Vocabulary, first_rows: int = FIRST_ROWS, share: float = SHARE, hidden: int = HIDDEN,
@@ -241,19 +262,20 @@ def fit(source: DataFrame, vocabulary: Vocabulary, first_rows: int = FIRST_ROWS,
         known, rows, held, seen = _Known(vocab), [], 0, 0
 
         def train() -> int:
-            symbols = known.facts()[0]
-            return own.train([symbols[r] for r in rows], streams=STREAMS, rate=0.004)
+            return own.train(rows, streams=STREAMS, rate=0.004)
 
         for batch in batches:
-            for text in columns_of(batch, "text")[0]:
-                words = tokens(text)
-                rows.append(np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)))
-                held += len(words)
-                if held > 700_000:
-                    seen += train()
-                    rows, held = [], 0
-                    if len(known) > MEMORY_WORDS:
-                        known = _Known(vocab)
+            texts = columns_of(batch, "text")[0]
+            for lo, hi in _spans(texts, _SPAN):
+                if len(known) > MEMORY_WORDS:
+                    known = _Known(vocab)
+                places = known.rows(texts[lo:hi])
+                for place in places:
+                    rows.append(known.facts[0][place])
+                    held += len(place)
+                    if held > 700_000:
+                        seen += train()
+                        rows, held = [], 0
         seen += train()
         types = [("part", pa.int32()), ("weights", pa.binary()), ("seen", pa.int64())]
         flat = pack_params(own.p) * seen
@@ -300,8 +322,8 @@ def _score_rows(shared):
             for lo, hi in _spans(texts):
                 if len(known) > MEMORY_WORDS:
                     known = _Known(vocab)
-                rows = [np.fromiter(map(known.__getitem__, w), dtype=np.int32, count=len(w)) for w in map(tokens, texts[lo:hi])]
-                symbol, count, divisor, key = known.facts()
+                rows = [r for at, end in _spans(texts[lo:hi], _SPAN) for r in known.rows(texts[lo + at:lo + end])]
+                symbol, count, divisor, key = known.facts
                 log_count = np.log10(count + 1.0)
                 scores = model.score([symbol[r] for r in rows]) / LOG10
                 out = []

@@ -123,3 +123,28 @@ def test_the_first_fit_leaves_no_texts_on_the_driver(spark, monkeypatch):
     monkeypatch.setattr(Gru, "train", lambda self, *a, **k: calls.append(1) or train(self, *a, **k))
     lm_score.fit(source, vocabulary, first_rows=10)
     assert not calls
+
+
+def test_keys_follow_words_and_endings():
+    texts = ["", " \t", "a", "A b\x0bab\r\nAB", "né é  x", "z" * 70_000 + " yz " + "w" * 65_536 + " a", "ab c " * 30_000, "\ud800 q"]
+    for text in texts:
+        words = lm_score.tokens(text)
+        keys = lm_score.keys_of(text, 7)
+        assert len(keys) == len(words) and keys[-1] == lm_score.end_key(7)
+        assert (keys & 0xFF).tolist() == [lm_score.tail_class(w, 7) for w in words]
+        assert len(set(zip(words, keys.tolist(), strict=True))) == len(set(words)) == len(set(keys.tolist()))
+
+
+def test_places_lead_to_the_facts_of_every_word():
+    rng = np.random.default_rng(5)
+    words = [f"w{k}".encode() for k in range(600)]
+    keys = np.array([lm_score.keyed(w, 6) for w in words])
+    vocab = lm_score.Vocabulary(keys[:400], np.arange(400, 0, -1), 80_200, 400, np.full(6, 1e6), 8, 6)
+    for vocabulary in (vocab, lm_score.Vocabulary(keys[:0], keys[:0], 0, 0, np.zeros(6), 8, 6)):
+        known = lm_score._Known(vocabulary)
+        for _ in range(2):  # words that are not known come again
+            texts = [b" ".join(words[k] for k in rng.integers(0, 600, n)).decode() for n in (0, 1, 300, 2000)]
+            for text, row in zip(texts, known.rows(texts), strict=True):
+                for got, want in zip(known.facts, vocabulary.look_up(lm_score.keys_of(text, 6)), strict=True):
+                    assert got[row].tolist() == want.tolist()
+        assert known.rows([]) == []
