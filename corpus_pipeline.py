@@ -8,6 +8,7 @@ row, whatever the ids: rows may repeat an id or have none, and of each group one
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,20 @@ from basketcast.llm import fingerprint, ngram_join, ordinal, packing, secrets
 from basketcast.session import cut_lineage, materialize
 
 GRADES = 3
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` in a session whose Arrow batches have at most ``BATCH_ROWS`` rows. A task holds a batch of whole texts
+    several times (in the JVM's buffers, as Arrow and as Python strings), so Spark's 10,000 rows weigh on
+    every executor. The setting outlives the stage, as its rows are only made when they are written; a smaller one stays."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+    return run
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +61,14 @@ def keep_one(rows: DataFrame, row: str, groups: DataFrame) -> DataFrame:
     return left.drop(row)
 
 
+@in_small_batches
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose probability of the top grade is at least one half."""
     model = ordinal.train(docs, ratings(spark, sf_dir), GRADES)
     return ordinal.select_rows(docs, model, wanted=GRADES - 1)
 
 
+@in_small_batches
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row of smallest id of each group of equal texts."""
     rows, row = numbered(docs)
@@ -59,6 +76,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return keep_one(rows, row, cut_lineage(found.select(F.col("doc_id").alias("member"), F.col("keep_id").alias("first"))))
 
 
+@in_small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row of smallest id of each component of similar documents."""
     rows, row = numbered(docs)
@@ -69,6 +87,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return keep_one(rows, row, several.unionByName(firsts))
 
 
+@in_small_batches
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret, in plain sight or encoded, by a mark; ``n_chars`` follows the text."""
     clean = secrets.redact_secrets(docs)
@@ -77,6 +96,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType))
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in windows of 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)

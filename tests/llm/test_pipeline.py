@@ -79,3 +79,16 @@ def test_copies_are_dropped_by_row_not_by_id(spark):
     left = cp.drop_near_copies(spark, exact, SF)
     assert {(r.doc_id, r.text) for r in left.collect()} == want - {(8, near), (None, near + " more")}
     assert left.columns == docs.columns
+
+
+def test_stages_bound_the_rows_of_a_batch(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(3).selectExpr("id AS doc_id", "'a text' AS text", "'en' AS lang", "'web' AS source", "6L AS n_chars")
+    try:
+        for held, wanted in (("10000", "1000"), ("0", "1000"), ("7", "7")):
+            spark.conf.set(name, held)
+            cp.STAGES[3][1](spark, docs, "").collect()
+            assert spark.conf.get(name) == wanted
+    finally:
+        spark.conf.set(name, before)
