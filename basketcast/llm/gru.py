@@ -38,6 +38,11 @@ def log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - np.log(x.sum(axis=0))
 
 
+def stable_order(numbers: np.ndarray, bound: int) -> np.ndarray:
+    """Stable order of numbers under ``bound``; those of 16 bits are dealt by digits, not compared."""
+    return np.argsort(numbers.astype(np.uint16) if bound <= 1 << 16 else numbers, kind="stable")
+
+
 class Gru:
     def __init__(self, n_head: int, n_tail: int, block: int, params: Params):
         self.n_head, self.n_tail, self.block, self.p = n_head, n_tail, block, params
@@ -77,19 +82,21 @@ class Gru:
         """Next state, and the gates for going back; a row per stream."""
         return tuple(a.T for a in self.next_state(h.T, x))
 
-    def next_state(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """``step`` with a column per stream, so every gate is one run of memory."""
+    def next_state(self, h: np.ndarray, x: np.ndarray, room: tuple = (None, None, None), bias: np.ndarray | None = None
+                   ) -> tuple[np.ndarray, ...]:
+        """``step`` with a column per stream, so every gate is one run of memory; ``room`` for what it gives but the
+        state, ``bias`` in columns."""
         k = self.hidden
         a = self.p["inputs"].take(x, axis=0).T
-        b = self.p["recurrent"].T @ h
-        b += self.p["bias"][:, None]
-        gates = a[:2 * k] + b[:2 * k]
+        b = np.matmul(self.p["recurrent"].T, h, out=room[0])
+        b += self.p["bias"][:, None] if bias is None else bias
+        gates = np.add(a[:2 * k], b[:2 * k], out=room[1])
         np.negative(gates, out=gates)
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
         update, reset = gates[:k], gates[k:]
-        new = reset * b[2 * k:]
+        new = np.multiply(reset, b[2 * k:], out=room[2])
         new += a[2 * k:]
         np.tanh(new, out=new)
         after = h - new
@@ -99,7 +106,7 @@ class Gru:
 
     def by_class(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words of the head, class by class, and where each class begins."""
-        order = np.argsort(which, kind="stable")
+        order = stable_order(which, self.classes)
         edges = np.r_[0, np.cumsum(np.bincount(which, minlength=self.classes)[:self.n_head_classes])]
         return order[:edges[-1]], edges
 
@@ -131,32 +138,47 @@ class Gru:
         steps, streams = x.shape
         h = h.T
         kind = np.result_type(h, p["inputs"])
-        before, update, reset, new, lin = (np.empty((steps, k, streams), dtype=kind) for _ in range(5))
+        before, new = (np.empty((steps, k, streams), dtype=kind) for _ in range(2))
+        gates, linear = np.empty((steps, 2 * k, streams), dtype=kind), np.empty((steps, 3 * k, streams), dtype=kind)
+        update, reset, lin = gates[:, :k], gates[:, k:], linear[:, 2 * k:]
         states = np.empty((k, steps, streams), dtype=kind)
+        bias = np.repeat(p["bias"][:, None], streams, axis=1)
         for t in range(steps):
-            h = h * keep[t]
-            before[t] = h
-            h, update[t], reset[t], new[t], lin[t] = self.next_state(h, x[t])
+            np.multiply(h, keep[t], out=before[t])
+            h = self.next_state(before[t], x[t], (linear[t], gates[t], new[t]), bias)[0]
             states[:, t] = h
         flat, target = states.reshape(k, -1), y.ravel()
         which = self.class_of(target)
-        loss, d = loss_of_softmax(p["outer"].T @ flat + p["outer_bias"][:, None], which)
+        outer = p["outer"].T @ flat
+        outer += p["outer_bias"][:, None]
+        loss, d = loss_of_softmax(outer, which)
         g = {"outer": flat @ d.T, "outer_bias": d.sum(axis=1), "inner": np.zeros_like(p["inner"]),
              "inner_bias": np.zeros_like(p["inner_bias"])}
         d_flat = p["outer"] @ d
         order, edges = self.by_class(which)
         own, words = flat.take(order, axis=1), target[order]
-        d_own = np.empty_like(own)
+        d_own = np.zeros((k, len(order) + 1), dtype=own.dtype)  # the last column for symbols that are no word
         for c in np.flatnonzero(np.diff(edges)).tolist():
             lo, hi = edges[c], edges[c + 1]
-            more, d = loss_of_softmax(p["inner"][c].T @ own[:, lo:hi] + p["inner_bias"][c][:, None], words[lo:hi] - c * self.block)
+            inner = p["inner"][c].T @ own[:, lo:hi]
+            inner += p["inner_bias"][c][:, None]
+            more, d = loss_of_softmax(inner, words[lo:hi] - c * self.block)
             loss += more
             g["inner"][c], g["inner_bias"][c] = own[:, lo:hi] @ d.T, d.sum(axis=1)
             d_own[:, lo:hi] = p["inner"][c] @ d
-        d_flat[:, order] += d_own
+        place = np.full(len(which), len(order))
+        place[order] = np.arange(len(order))
+        d_flat += d_own.take(place, axis=1)
         d_states = d_flat.reshape(k, steps, streams)
         # what a step back multiplies by, for all steps at once
-        by_new, by_update, by_reset = (1 - update) * (1 - new * new), (before - new) * update * (1 - update), lin * reset * (1 - reset)
+        rest = 1 - update
+        by_new, by_update, by_reset = new * new, before - new, lin * reset
+        np.subtract(1, by_new, out=by_new)
+        by_new *= rest
+        by_update *= update
+        by_update *= rest
+        np.subtract(1, reset, out=rest)
+        by_reset *= rest
         d_inputs, d_recurrent = np.empty((3 * k, steps, streams), dtype=kind), np.empty((steps, 3 * k, streams), dtype=kind)
         carry = np.zeros((k, streams), dtype=kind)
         for t in reversed(range(steps)):
@@ -174,9 +196,10 @@ class Gru:
         g["recurrent"] = np.matmul(before, d_recurrent.transpose(0, 2, 1)).sum(axis=0)
         g["bias"] = d_recurrent.sum(axis=(0, 2))
         g["inputs"] = np.zeros_like(p["inputs"])
-        order = np.argsort(x.ravel(), kind="stable")
-        read, begin = np.unique(x.ravel()[order], return_index=True)
-        g["inputs"][read] = np.add.reduceat(d_inputs.reshape(3 * k, -1).take(order, axis=1), begin, axis=1).T
+        order = stable_order(x.ravel(), self.first + 1)
+        symbols = x.ravel()[order]
+        begin = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
+        g["inputs"][symbols[begin]] = np.add.reduceat(d_inputs.reshape(3 * k, -1).take(order, axis=1), begin, axis=1).T
         return loss, g, h.T
 
     def train(self, texts: list[np.ndarray], streams: int = 32, window: int = 24, rate: float = 0.01, passes: int = 1,
@@ -214,10 +237,19 @@ class Gru:
                 lr = rate * (1 - 0.9 * done / planned)
                 for name, a in g.items():
                     a *= scale
-                    m[name] += 0.1 * (a - m[name])
-                    v[name] += 0.005 * (a * a - v[name])
-                    self.p[name] -= np.float32(lr / (1 - 0.9**done)) * m[name] / (
-                        np.sqrt(v[name] / np.float32(1 - 0.995**done)) + np.float32(1e-6))
+                    step = a - m[name]
+                    step *= 0.1
+                    m[name] += step
+                    np.multiply(a, a, out=a)
+                    a -= v[name]
+                    a *= 0.005
+                    v[name] += a
+                    np.divide(v[name], np.float32(1 - 0.995**done), out=a)
+                    np.sqrt(a, out=a)
+                    a += np.float32(1e-6)
+                    np.multiply(m[name], np.float32(lr / (1 - 0.9**done)), out=step)
+                    step /= a
+                    self.p[name] -= step
         return seen
 
     def score(self, texts: list[np.ndarray], streams: int = 512, window: int = 32) -> np.ndarray:
@@ -227,28 +259,21 @@ class Gru:
         for lo in range(0, len(order), streams):
             group = order[lo:lo + streams]
             lengths = np.array([len(texts[k]) for k in group])
+            flat = np.concatenate([texts[k] for k in group])
+            begin, places = np.r_[0, np.cumsum(lengths[:-1])], np.arange(len(group))
+            live = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left").tolist()  # longer than t: a leading run
             h = np.zeros((self.hidden, len(group)), dtype=np.float32)
-            last = np.full(len(group), self.first)
-            for t in range(0, int(lengths[0]), window):
-                active = int(np.searchsorted(-lengths, -t, side="left"))  # longer than t: a leading run
-                y = np.zeros((window, active), dtype=np.int64)
-                for j in range(active):
-                    part = texts[group[j]][t:t + window]
-                    y[:len(part), j] = part
-                h, states, rows = h[:, :active], [], []
-                x = last[:active]
-                for s in range(min(window, int(lengths[0]) - t)):
-                    live = int(np.searchsorted(-lengths[:active], -(t + s), side="left"))
-                    h, x = h[:, :live], x[:live]
-                    h = self.next_state(h, x)[0]
+            x = np.full(len(group), self.first)
+            for t in range(0, len(live), window):
+                states, symbols, rows = [], [], live[t:t + window]
+                for s, n in enumerate(rows, start=t):
+                    h = self.next_state(h[:, :n], x[:n])[0]
+                    x = flat[begin[:n] + s]
                     states.append(h)
-                    rows.append(live)
-                    x = y[s, :live]
-                symbols = np.concatenate([y[s, :n] for s, n in enumerate(rows)])
-                logs = self.log_of_columns(np.concatenate(states, axis=1), symbols)
-                who = np.concatenate([np.arange(n) for n in rows])
+                    symbols.append(x)
+                logs = self.log_of_columns(np.concatenate(states, axis=1), np.concatenate(symbols))
+                who = np.concatenate([places[:n] for n in rows])
                 out[group] += np.bincount(who, weights=logs, minlength=len(group))
-                last = x
         return out
 
 

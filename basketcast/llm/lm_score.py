@@ -81,11 +81,19 @@ def end_key(n_tail: int) -> int:
 
 def keys_of(text: str, n_tail: int) -> np.ndarray:
     """Per token of a text 56 bits of its hash and 8 bits of its tail class: a class total needs no spelling."""
-    hashes, endings = hashes_and_endings(text)
-    out = np.empty(len(hashes) + 1, dtype=np.int64)
-    out[:-1] = ((hashes & ~np.uint64(0xFF)) | _classes(n_tail)[endings]).view(np.int64)
-    out[-1] = end_key(n_tail)
-    return out
+    return keys_of_all([text], n_tail)[0]
+
+
+def keys_of_all(texts: list[str], n_tail: int) -> tuple[np.ndarray, np.ndarray]:
+    """``keys_of`` of many texts one after another, and where each ends."""
+    hashes, endings, words = hashes_and_endings(texts)
+    ends = np.cumsum(words + 1)
+    out = np.empty(len(hashes) + len(texts), dtype=np.int64)
+    word = np.ones(len(out), dtype=bool)
+    word[ends - 1] = False
+    out[word] = ((hashes & ~np.uint64(0xFF)) | _classes(n_tail)[endings]).view(np.int64)
+    out[ends - 1] = end_key(n_tail)
+    return out, ends
 
 
 def keyed(word: bytes, n_tail: int) -> int:
@@ -109,10 +117,9 @@ def word_counts(source: DataFrame, n_tail: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["word", "n"])
 
         for batch in batches:
-            for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
-                if held_out(doc_id):
-                    continue
-                held.append(keys_of(text, n_tail))
+            texts = [text for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True) if not held_out(doc_id)]
+            for lo, hi in _spans(texts, _SPAN):
+                held.append(keys_of_all(texts[lo:hi], n_tail)[0])
                 size += len(held[-1])
                 if size > 1_500_000:
                     merge()
@@ -186,8 +193,7 @@ class _Known:
     def rows(self, texts: list[str]) -> list[np.ndarray]:
         """The places of each text's tokens."""
         words = self.vocabulary.words
-        keys = [keys_of(text, self.vocabulary.n_tail) for text in texts]
-        flat = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
+        flat, ends = keys_of_all(texts, self.vocabulary.n_tail)
         place = np.zeros(len(flat), dtype=np.int32)
         rest = np.arange(len(flat))
         if len(words):
@@ -201,8 +207,7 @@ class _Known:
             new, back = np.unique(flat[rest], return_inverse=True)
             place[rest] = len(self.facts[0]) + back
             self.facts = tuple(np.concatenate(both) for both in zip(self.facts, self.vocabulary.look_up(new), strict=True))
-        ends = np.cumsum([len(k) for k in keys]).tolist()
-        return [place[end - len(k):end] for end, k in zip(ends, keys, strict=True)]
+        return np.split(place, ends[:-1]) if texts else []
 
 
 def gather_vocabulary(counts: DataFrame, n_head: int, n_tail: int, known_words: int) -> Vocabulary:
@@ -312,6 +317,16 @@ _SCORE_SCHEMA = ("row long, doc_id long, held_out boolean, n_tokens long, n_know
                  "word long, times long")
 
 
+def _rare_rows(row: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
+    """How often each word occurs in each row; all other columns are null."""
+    order = np.lexsort((word, row))
+    row, word = row[order], word[order]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (word[1:] != word[:-1])][:len(row)])
+    known = {"row": row[first], "word": word[first], "times": np.diff(np.r_[first, len(row)])}
+    return pa.RecordBatch.from_arrays([pa.array(known[n], kind) if n in known else pa.nulls(len(first), kind) for n, kind in _SCORE_TYPES],
+                                      schema=pa.schema(_SCORE_TYPES))
+
+
 def _score_rows(shared):
     """A row per document, and a row per (document, word) whose count is not known in the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,19 +339,23 @@ def _score_rows(shared):
                     known = _Known(vocab)
                 rows = [r for at, end in _spans(texts[lo:hi], _SPAN) for r in known.rows(texts[lo + at:lo + end])]
                 symbol, count, divisor, key = known.facts
-                log_count = np.log10(count + 1.0)
-                scores = model.score([symbol[r] for r in rows]) / LOG10
-                out = []
-                for k, r in enumerate(rows):
-                    tail = symbol[r] >= vocab.n_head
-                    # a tail word: its class's probability times (count + 1) / total of the class
-                    log_model = scores[k] + float((log_count[r][tail] - divisor[r][tail]).sum())
-                    out.append((row_no, ids[lo + k], held_out(ids[lo + k]), len(r), int((count[r] > 0).sum()),
-                                float(log_count[r].sum()), log_model, None, None))
-                    rare, times = np.unique(key[r][key[r] != 0], return_counts=True)
-                    out += [(row_no, None, None, None, None, None, None, w, n) for w, n in zip(rare.tolist(), times.tolist(), strict=True)]
-                    row_no += 1
-                yield rows_out(out, _SCORE_TYPES)
+                flat, ends = np.concatenate(rows), np.cumsum([len(r) for r in rows])
+                symbols = symbol[flat]
+                scores = model.score(np.split(symbols, ends[:-1])) / LOG10
+                tail = symbols >= vocab.n_head
+                log_count = np.log10(count + 1.0)[flat]
+                # a tail word: its class's probability times (count + 1) / total of the class
+                gain = (log_count - divisor[flat])[tail]
+                bounds = np.r_[0, ends]
+                tails, seen = (np.r_[0, np.cumsum(a)][bounds].tolist() for a in (tail, count[flat] > 0))
+                yield rows_out([(row_no + k, ids[lo + k], held_out(ids[lo + k]), len(r), seen[k + 1] - seen[k],
+                                 float(log_count[bounds[k]:bounds[k + 1]].sum()),
+                                 scores[k] + float(gain[tails[k]:tails[k + 1]].sum()), None, None) for k, r in enumerate(rows)],
+                               _SCORE_TYPES)
+                key = key[flat]
+                rare = np.flatnonzero(key)
+                yield _rare_rows(row_no + np.searchsorted(ends, rare, side="right"), key[rare])
+                row_no += len(rows)
     return run
 
 

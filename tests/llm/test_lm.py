@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from basketcast.llm import lm_score
+from basketcast.llm import lm_score, shingles
 from basketcast.llm.gru import Gru
 from helpers import ROWS, awkward, empty
 
@@ -148,3 +148,20 @@ def test_places_lead_to_the_facts_of_every_word():
                 for got, want in zip(known.facts, vocabulary.look_up(lm_score.keys_of(text, 6)), strict=True):
                     assert got[row].tolist() == want.tolist()
         assert known.rows([]) == []
+
+
+def test_short_texts_are_hashed_together(monkeypatch):
+    texts = ["", "a", " B\x0bab ", "né é  x", "z" * 70_000 + " yz", "", "\ud800 q", *(f"word{i} of text" for i in range(400)), "w " * 9_000]
+    calls, hashed = [], shingles._hashes_at
+    monkeypatch.setattr(shingles, "_hashes_at", lambda *a: calls.append(1) or hashed(*a))
+    keys, ends = lm_score.keys_of_all(texts, 7)
+    assert len(calls) < 10
+    for text, lo, hi in zip(texts, [0, *ends], ends, strict=False):
+        assert keys[lo:hi].tolist() == [lm_score.keyed(w, 7) for w in lm_score.tokens(text)]
+
+
+def test_words_a_task_does_not_know_are_counted_by_row():
+    row, word = np.array([7, 7, 3, 7, 3]), np.array([5, 9, 5, 5, 8])
+    got = lm_score._rare_rows(row, word).select(["row", "word", "times", "doc_id"]).to_pylist()
+    assert [tuple(r.values()) for r in got] == [(3, 5, 1, None), (3, 8, 1, None), (7, 5, 2, None), (7, 9, 1, None)]
+    assert lm_score._rare_rows(row[:0], word[:0]).num_rows == 0
