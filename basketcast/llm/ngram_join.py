@@ -349,6 +349,23 @@ def _cross_pairs(best: bool):
     return of
 
 
+def half_sketches(sketches: DataFrame) -> DataFrame:
+    """``node, sketch``: the sketches folded once (those of over 64 bits), for the many rows of a node in round three."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield rows_out([(node, halved(sketch)) for node, sketch in zip(*columns_of(batch, "node", "sketch"), strict=True)],
+                           [("node", pa.int64()), ("sketch", pa.binary())])
+
+    return sketches.select("node", "sketch").mapInArrow(run, "node long, sketch binary")
+
+
+def halved(sketch: bytes) -> bytes:
+    half = len(sketch) // 2
+    if half < 8:
+        return sketch
+    return (int.from_bytes(sketch[:half], "little") ^ int.from_bytes(sketch[half:], "little")).to_bytes(half, "little")
+
+
 def in_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``rows`` with ``key, left, right, block``: a gram of over ``block_rows`` rows is dealt into blocks by a hash of the
     node, and every two blocks (and each with itself) are a group of their own, so no task gathers the gram."""
@@ -371,6 +388,8 @@ def sketch_filter(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFr
                     rows.append((a, b))
             yield rows_out(rows, _PAIR_TYPES)
 
+    asked = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sketches = sketches.join(asked, "node", "left_semi")  # later rounds ask for few
     left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("n_a"))
     right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("n_b"))
     return (pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n_a", "n_b")
@@ -450,12 +469,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     by_gram = prefix_rows(source, frequency, percent).repartition(n_parts, "gram").sortWithinPartitions("gram", "node")
     shared = stored(by_gram.mapInArrow(_shared, "gram long, node long, place int, many boolean"))
 
-    nodes = marks.where("sketch IS NOT NULL").dropDuplicates(["node"]).select("node", "n_shingles", "small", "sketch")
+    meeting = broadcast_if_small(shared.select("node").distinct())
+    nodes = (marks.where("sketch IS NOT NULL").join(meeting, "node", "left_semi").dropDuplicates(["node"])
+             .select("node", "n_shingles", "small", "sketch"))
     members = marks.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sizes = broadcast_if_small(nodes.select("node", F.col("n_shingles").cast("int").alias("n"), "small")
-                               .join(shared.select("node").distinct(), "node", "left_semi"))
+    sizes = broadcast_if_small(nodes.select("node", F.col("n_shingles").cast("int").alias("n"), "small"))
     shared = stored(shared.join(sizes, "node").select(*_NAMES, "many"))
-    sketches = stored(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "sketch"))
+    sketches = stored(nodes.select("node", "n_shingles", "sketch"))
+    crowds = shared.where("many").select(*_NAMES)  # grams of two nodes are settled in round one
+    halves = stored(half_sketches(sketches.join(crowds.select("node").distinct(), "node", "left_semi")))
 
     def meet(rows: DataFrame, pairs_of, key: str = "gram") -> DataFrame:
         grouped = rows.repartition(n_parts, key).sortWithinPartitions(key)
@@ -464,12 +486,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
     known, links, labels = None, None, None
 
-    def settle(pairs: DataFrame, sketched: bool) -> bool:
+    def settle(pairs: DataFrame) -> bool:
         """Looks at the pairs that are new, and whether that gave links."""
         nonlocal known, links, labels
         fresh = stored(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
         known = fresh if known is None else known.unionByName(fresh)
-        likely = fresh if sketched else stored(sketch_filter(fresh, sketches, percent))
+        likely = stored(sketch_filter(fresh, sketches, percent))
         n = likely.count()
         if not n and links is not None:
             return False
@@ -477,27 +499,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         gained = links is None or found.limit(1).count() > 0
         links = found if links is None else links.unionByName(found)
         if gained:
-            labels = connected_components(links)
+            labels = broadcast_if_small(connected_components(links))  # rows of shared grams stay where they are
         return gained
 
     def labelled() -> DataFrame:
-        # grams of two nodes were settled in round one
-        return (shared.where("many").join(labels, "node", "left")
-                .select(*_NAMES, F.coalesce("label", "node").alias("label")))
+        return crowds.join(labels, "node", "left").select(*_NAMES, F.coalesce("label", "node").alias("label"))
 
     def crossing(best: bool) -> DataFrame:
         rows = labelled()
         apart = (rows.groupBy("gram").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.count(F.lit(1)).alias("_n"))
                  .where(F.col("_l") != F.col("_h")).where(F.col("_n") >= (CROWDED if best else 2)).select("gram"))
-        rows = in_blocks(stored(rows.join(apart, "gram", "left_semi"))).join(sketches.select("node", "sketch"), "node")
+        rows = in_blocks(stored(rows.join(apart, "gram", "left_semi"))).join(halves, "node")
         return meet(rows, _cross_pairs(best), "key")
 
-    settle(meet(shared, _near_pairs), False)
-    settle(meet(labelled(), _steps_between), False)
+    settle(meet(shared, _near_pairs))
+    settle(meet(labelled(), _steps_between))
     for _ in range(NEAREST_ROUNDS):  # components grow by each row's nearest partner first
-        if not settle(crossing(best=True), True):
+        if not settle(crossing(best=True)):
             break
-    settle(crossing(best=False), True)
+    settle(crossing(best=False))
 
     rows = marks.where("part IS NULL").select("doc_id", "n_shingles", "node")
     named = (rows.join(labels, "node", "left")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from basketcast.llm import ngram_join
 from basketcast.llm.components import connected_components
 from basketcast.llm.ngram_join import near_duplicates
@@ -139,3 +141,14 @@ def test_set_names_are_mixed_as_arrays_are():
         total = np.array([np.add.reduce(grams) ^ np.uint64(len(grams)), np.bitwise_xor.reduce(grams)], dtype=np.uint64)
         assert ngram_join.node_of(grams) == int((mix(total[:1]) + mix(mix(total[1:])))[0].astype(np.int64))
     assert len(shingle_set("a b c d e a b c d e a b c d e")) == 5
+
+
+def test_halved_sketches_still_bound_the_difference():
+    rng = np.random.default_rng(11)
+    for n, m in ((400, 400), (900, 700), (20, 25), (40, 300)):
+        base = rng.integers(0, 1 << 63, n + m, dtype=np.int64).view(np.uint64)
+        a, b = np.unique(base[:n]), np.unique(base[n // 4:n // 4 + m])
+        x, y = ngram_join.sketch_of(a), ngram_join.sketch_of(b)
+        short = ngram_join.halved(x)
+        assert len(short) == max(8, len(x) // 2)
+        assert ngram_join.differing_bits(short, ngram_join.halved(y)) <= ngram_join.differing_bits(x, y) <= len(np.setxor1d(a, b))
